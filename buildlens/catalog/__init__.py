@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ["builds"]
+AREAS = ["builds", "benchmarks", "store"]
 
 
 def registered():

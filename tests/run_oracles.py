@@ -10,13 +10,23 @@ from compare import connect, differences
 
 from buildlens.session import tuned_builder
 
+
+
+def area_of(name):
+    from importlib import import_module
+
+    from buildlens.catalog import AREAS
+
+    return [a for a in AREAS if name in import_module(f"buildlens.catalog.{a}").QUERIES]
+
+
 if __name__ == "__main__":
     sf = sys.argv[1]
     spark = tuned_builder("local[8]").config("spark.sql.shuffle.partitions", "8").config(
-        "spark.driver.memory", "8g").getOrCreate()
+        "spark.driver.memory", "8g").config("spark.ui.showConsoleProgress", "false").getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf)
-    names = [n for n in E.queries() if not sys.argv[2:] or n in sys.argv[2:]]
+    names = [n for n in E.queries() if not sys.argv[2:] or n in sys.argv[2:] or any(f":{a}" in sys.argv[2:] for a in area_of(n))]
     failed = 0
     for n in names:
         t = time.time()
