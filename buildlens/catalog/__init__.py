@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ["builds", "benchmarks", "store"]
+AREAS = ["builds", "benchmarks", "store", "execution"]
 
 
 def registered():

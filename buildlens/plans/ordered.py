@@ -63,18 +63,20 @@ def carry(
     order: list[str],
     last: dict[str, Column] | None = None,
     total: dict[str, Column] | None = None,
+    peak: dict[str, Column] | None = None,
     *,
     include_current: bool = False,
     descending: bool = False,
     slicing: Slicing | None = None,
     max_rows: int = MAX_GROUP_ROWS,
 ) -> DataFrame:
-    """Add, per row, the latest non-null value (``last``) and the sum (``total``) over the key's earlier rows.
+    """Add, per row, the latest non-null value (``last``), the sum (``total``) and the largest value (``peak``)
+    over the key's earlier rows.
 
     ``descending`` looks at later rows instead, which turns ``last`` into "next". Ties in the first order column
     never straddle a slice; the full ``order`` list must be unique within a key.
     """
-    last, total = dict(last or {}), dict(total or {})
+    last, total, peak = dict(last or {}), dict(total or {}), dict(peak or {})
     if slicing is None:
         slicing = measure(df, keys, order[0], max_rows)
     upto = Window.currentRow if include_current else -1
@@ -83,6 +85,7 @@ def carry(
         return df.withColumns(
             {n: F.last(c, ignorenulls=True).over(w) for n, c in last.items()}
             | {n: F.coalesce(F.sum(c).over(w), F.lit(0)) for n, c in total.items()}
+            | {n: F.max(c).over(w) for n, c in peak.items()}
         )
     rows = sliced(df, order[0], slicing)
     part = [*keys, SLICE]
@@ -92,6 +95,7 @@ def carry(
     summary = rows.groupBy(*part).agg(
         *[edge(c, F.when(c.isNotNull(), position)).alias(f"_l_{n}") for n, c in last.items()],
         *[F.sum(c).alias(f"_t_{n}") for n, c in total.items()],
+        *[F.max(c).alias(f"_p_{n}") for n, c in peak.items()],
     )
     over_slices = (
         Window.partitionBy(*keys).orderBy(*_sort([SLICE], descending)).rowsBetween(Window.unboundedPreceding, -1)
@@ -100,17 +104,21 @@ def carry(
         *part,
         *[F.last(f"_l_{n}", ignorenulls=True).over(over_slices).alias(f"_bl_{n}") for n in last],
         *[F.sum(f"_t_{n}").over(over_slices).alias(f"_bt_{n}") for n in total],
+        *[F.max(f"_p_{n}").over(over_slices).alias(f"_bp_{n}") for n in peak],
     )
     local = rows.withColumns(
         {n: F.last(c, ignorenulls=True).over(w) for n, c in last.items()}
         | {n: F.sum(c).over(w) for n, c in total.items()}
+        | {n: F.max(c).over(w) for n, c in peak.items()}
     )
     joined = null_safe_join(local, before, part)
     done = joined.withColumns(
         {n: F.coalesce(F.col(n), F.col(f"_bl_{n}")) for n in last}
         | {n: F.coalesce(F.col(n), F.lit(0)) + F.coalesce(F.col(f"_bt_{n}"), F.lit(0)) for n in total}
+        | {n: F.greatest(F.col(n), F.col(f"_bp_{n}")) for n in peak}
     )
-    return done.drop(SLICE, *[f"_bl_{n}" for n in last], *[f"_bt_{n}" for n in total])
+    helpers = [f"_bl_{n}" for n in last] + [f"_bt_{n}" for n in total] + [f"_bp_{n}" for n in peak]
+    return done.drop(SLICE, *helpers)
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
