@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ["builds", "benchmarks", "store", "execution"]
+AREAS = ["builds", "benchmarks", "store", "execution", "trees"]
 
 
 def registered():
