@@ -399,21 +399,3 @@ def _(s, d):
     # versions that cannot be read form one group of their own
     unread = F.col("major").isNull()
     return out.withColumn("patch", F.when(unread, F.lit(0)).otherwise(F.col("patch")))
-
-
-@query(
-    "write_summary_defaults",
-    with_ctes(
-        "summary",
-        "SELECT c_custkey AS invocation_id, coalesce(status, 'in_progress') AS status, "
-        "coalesce(total_actions, 0) AS total_actions, coalesce(duration_ms, 0) AS duration_ms "
-        "FROM customer LEFT JOIN summary ON inv = c_custkey * 3",
-    ),
-)
-def _(s, d):
-    ids = customer_ids(s, d)
-    renamed = summary(s, d, targets=False).select(
-        (F.col("invocation_id") / 3).alias("third"), "status", "total_actions", "duration_ms"
-    )
-    renamed = renamed.filter(F.col("third") == F.floor("third")).withColumn("invocation_id", F.col("third").cast("bigint"))
-    return B.read_side_defaults(renamed.drop("third"), ids)

@@ -15,6 +15,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return use_utc(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The same table as an unbounded one: files are picked up as they arrive."""
+    schema = table(spark, sf_dir, name).schema
+    return (
+        spark.readStream.schema(schema)
+        .option("pathGlobFilter", f"{name}.parquet")
+        .option("maxFilesPerTrigger", 64)
+        .parquet(sf_dir)
+    )
+
+
 def rfc3339(ts: Column) -> Column:
     return F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit("+00:00"))
 
@@ -132,9 +143,9 @@ def _flat(**given: Column) -> Column:
     )
 
 
-def build_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def build_events(spark: SparkSession, sf_dir: str, read=table) -> DataFrame:
     """Flat event stream: start, metrics and finish from orders; actions and test results from one lineitem scan."""
-    o = table(spark, sf_dir, "orders")
+    o = read(spark, sf_dir, "orders")
     start = F.col("o_orderdate").cast("timestamp")
     end = F.timestamp_micros(F.unix_micros(start) + F.floor("o_totalprice").cast("bigint") * 1000000)
     inv = F.col("o_orderkey")
@@ -162,7 +173,7 @@ def build_events(spark: SparkSession, sf_dir: str) -> DataFrame:
             end_time=rfc3339(end),
         ),
     )
-    li = table(spark, sf_dir, "lineitem")
+    li = read(spark, sf_dir, "lineitem")
     a = _action_columns()
     inv, label = F.col("l_orderkey"), F.col("l_partkey")
     lines = F.array(
@@ -225,9 +236,9 @@ def target_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+def event_log(spark: SparkSession, sf_dir: str, read=table) -> DataFrame:
     """The events table with its integer key pulled out of the JSON text."""
-    e = table(spark, sf_dir, "events")
+    e = read(spark, sf_dir, "events")
     return e.select(
         "event_id",
         F.col("ts").cast("timestamp").alias("ts"),
@@ -289,8 +300,8 @@ def connection_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def worker_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = event_log(spark, sf_dir)
+def worker_states(spark: SparkSession, sf_dir: str, read=table) -> DataFrame:
+    e = event_log(spark, sf_dir, read)
     # Fixed values of this stand-in: event type -> worker state code.
     codes = {"view": 0, "click": 1, "signup": 1, "purchase": 1, "error": 2}
     return e.select(
@@ -367,3 +378,64 @@ def tree_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
             .toDF(*schema)
         )
     return top.unionByName(mid).unionByName(leaves[0]).unionByName(leaves[1])
+
+
+def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as they are logged: an id, announced children and a one-key JSON payload."""
+    o = table(spark, sf_dir, "orders")
+    start = rfc3339(F.col("o_orderdate").cast("timestamp"))
+    note = lambda *c: F.to_json(F.struct(*c))
+    inv = F.col("o_orderkey").cast("string")
+    url = F.lit("type.googleapis.com/build_event_stream.BuildEvent")
+    child = F.array(F.create_map(F.lit("pattern"), F.lit('["//a","//b"]')), F.create_map(F.lit("build_finished"), F.lit("{}")))
+    none = F.array().cast("array<map<string,string>>")
+    started = note(F.struct(F.col("o_orderpriority").alias("command"), start.alias("start_time")).alias("Started"))
+    finished = note(
+        F.struct(
+            (F.col("o_orderstatus") == "F").alias("overall_success"), F.lit(3).alias("exit_code"), start.alias("finish_time")
+        ).alias("Finished")
+    )
+
+    def event(seq, type_url, last, id_, children, payload):
+        return F.struct(
+            F.lit(seq).cast("bigint").alias("sequence_number") if isinstance(seq, int) else seq.alias("sequence_number"),
+            type_url.alias("type_url"),
+            F.lit(last).alias("last_message"),
+            id_.alias("id"),
+            children.alias("children"),
+            payload.alias("payload"),
+        )
+
+    builds = F.array(
+        event(0, url, False, F.lit("BuildStarted"), child, started),
+        event(1000000000, F.lit(""), True, F.lit("BuildFinished"), none, finished),
+        event(1000000001, F.lit("type.googleapis.com/other.Message"), False, F.lit("Progress"), none, F.lit("{}")),
+    )
+    li = table(spark, sf_dir, "lineitem")
+    a = _action_columns()
+    label = F.col("l_partkey").cast("string")
+    action = note(
+        F.struct(
+            a["success"].alias("success"),
+            a["action_type"].alias("type"),
+            a["exit_code"].alias("exit_code"),
+            label.alias("label"),
+            a["start_time"].alias("start_time"),
+            a["end_time"].alias("end_time"),
+        ).alias("ActionExecuted")
+    )
+    result = note(
+        F.struct(
+            _test_status().alias("status"),
+            (F.col("l_discount") == 0).alias("cached_locally"),
+            a["start_time"].alias("test_attempt_start"),
+        ).alias("TestResult")
+    )
+    announce = F.array(F.create_map(F.lit("test_result"), note(label.alias("label"))))
+    lines = F.array(
+        event(line_seq(), url, False, F.concat(F.lit("ActionCompleted:"), label), announce, action),
+        event(line_seq(), url, False, F.concat(F.lit("TestResult:"), label), none, result),
+    )
+    return o.select(inv.alias("invocation_id"), F.inline(builds)).unionByName(
+        li.select(F.col("l_orderkey").cast("string").alias("invocation_id"), F.inline(lines))
+    )
