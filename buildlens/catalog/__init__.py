@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ["builds", "benchmarks", "store", "execution", "trees", "sources"]
+AREAS = ["builds", "benchmarks", "store", "execution", "trees", "sources", "streams"]
 
 
 def registered():

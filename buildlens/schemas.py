@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
 # Test status codes of the build-event wire format.
 TEST_STATUS = {
     0: "NO_STATUS",
@@ -78,22 +76,14 @@ VERSION_HANDLERS = [
     ("v9", (9, 0, 0), None),
 ]
 
-RAW_EVENT = T.StructType(
-    [
-        T.StructField("invocation_id", T.StringType()),
-        T.StructField("sequence_number", T.LongType()),
-        T.StructField("type_url", T.StringType()),
-        T.StructField("last_message", T.BooleanType()),
-        T.StructField("id", T.StringType()),
-        T.StructField("kind", T.StringType()),
-        T.StructField("timestamp", T.StringType()),
-        T.StructField("children", T.ArrayType(T.MapType(T.StringType(), T.StringType()))),
-        T.StructField("payload", T.StringType()),
-    ]
+# Schemas are kept as DDL text, which needs no running session to write down.
+RAW_EVENT = (
+    "sequence_number BIGINT, type_url STRING, last_message BOOLEAN, id STRING, kind STRING, timestamp STRING, "
+    "children ARRAY<MAP<STRING, STRING>>, payload STRING"
 )
 
 # The union of payload fields the analytics use; every payload is an object with one of these keys.
-PAYLOAD = T.StructType.fromDDL(
+PAYLOAD = (
     "Progress STRUCT<stdout STRING, stderr STRING>,"
     "Aborted STRUCT<reason STRING, description STRING>,"
     "Started STRUCT<uuid STRING, command STRING, workspace_directory STRING, working_directory STRING,"
@@ -116,18 +106,18 @@ PAYLOAD = T.StructType.fromDDL(
     "StructuredCommandLine STRUCT<type_url STRING>"
 )
 
-TARGET_HISTORY = T.StructType.fromDDL(
+TARGET_HISTORY = (
     "label STRING, target_kind STRING, invocation_id STRING, status STRING, tags ARRAY<STRING>,"
     "build_start_time STRING, build_end_time STRING, build_duration_ms BIGINT, action_duration_ms BIGINT,"
     "action_count BIGINT, cached_actions BIGINT, failed_actions BIGINT, env_vars MAP<STRING, STRING>"
 )
 
-TEST_HISTORY = T.StructType.fromDDL(
+TEST_HISTORY = (
     "label STRING, invocation_id STRING, status STRING, cached_locally BOOLEAN, cached_remotely BOOLEAN,"
     "start_time STRING, end_time STRING, duration_ms BIGINT"
 )
 
-BUILD_SUMMARY = T.StructType.fromDDL(
+BUILD_SUMMARY = (
     "invocation_id STRING, command STRING, workspace STRING, start_time STRING, end_time STRING,"
     "duration_ms BIGINT, status STRING, total_actions BIGINT, cached_actions BIGINT, local_actions BIGINT,"
     "failed_actions BIGINT, remote_cache_hits BIGINT, targets ARRAY<STRING>, errors ARRAY<STRING>"

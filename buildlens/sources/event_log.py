@@ -33,15 +33,12 @@ def read_event_log(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     )
     parsed = lines.withColumn("e", _parse(F.col("line")))
     bad = F.col(f"e.{_BAD}").isNotNull() | ~F.startswith("line", F.lit("{"))
-    fields = [f.name for f in S.RAW_EVENT if f.name != "invocation_id"]
-    events = parsed.filter(~bad).select("invocation_id", "line_order", *[F.col(f"e.{n}").alias(n) for n in fields])
+    events = parsed.filter(~bad).select("invocation_id", "line_order", "e.*").drop(_BAD)
     return events, parsed.filter(bad).select("invocation_id", "line")
 
 
 def _parse(line: Column) -> Column:
-    fields = [f for f in S.RAW_EVENT if f.name != "invocation_id"]
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields) + f", {_BAD} string"
-    return F.from_json(line, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BAD})
+    return F.from_json(line, f"{S.RAW_EVENT}, {_BAD} STRING", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BAD})
 
 
 def decode_filter(wrapped: DataFrame) -> DataFrame:

@@ -9,16 +9,17 @@ from pyspark.sql import types as T
 from buildlens import schemas as S
 
 
-def _append(records: DataFrame, schema: T.StructType, path: str) -> None:
-    given = [F.col(f.name).cast(f.dataType).alias(f.name) for f in schema if f.name in records.columns]
+def _append(records: DataFrame, ddl: str, path: str) -> None:
+    given = [F.col(f.name).cast(f.dataType).alias(f.name) for f in T.StructType.fromDDL(ddl) if f.name in records.columns]
     records.select(*given).write.mode("append").json(path)
 
 
-def _read(spark: SparkSession, schema: T.StructType, path: str) -> DataFrame:
+def _read(spark: SparkSession, ddl: str, path: str) -> DataFrame:
     """Records in the schema; lines that are none are dropped, missing numbers read as zero.
 
     ``ingest_order`` is the append order: when the file was written, then the place in it.
     """
+    schema = T.StructType.fromDDL(ddl)
     rows = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
     zero = {f.name: F.coalesce(f.name, F.lit(0).cast("bigint")) for f in schema if isinstance(f.dataType, T.LongType)}
     order = F.struct(
