@@ -239,23 +239,23 @@ def merge_inflight(requests: DataFrame, slicing: Slicing | None = None) -> DataF
     rows = carry(rows, keys, order, peak={"busy_until": F.col("completed_us")}, **opts)
     rows = rows.withColumn("certain", F.col("busy_until").isNull() | (F.col("busy_until") <= F.col("enqueued_us")))
     rows = checkpointed(rows.drop("busy_until"))
-    # completions look ahead for the first request at or after them
+    # Completions look ahead for the first request at or after them; one that completes on arrival looks ahead
+    # from its own place among the requests of that instant.
+    at_once = (F.col("completed_us") == F.col("enqueued_us")).cast("int")
     marks = rows.select(
         "hash",
         F.inline(
             F.array(
-                F.struct(F.col("enqueued_us").alias("at"), F.lit(1).alias("is_request"), "seq", "certain"),
-                F.struct(F.col("completed_us").alias("at"), F.lit(0).alias("is_request"), "seq", "certain"),
+                F.struct(F.col("enqueued_us").alias("at"), F.lit(1).alias("rank"), "seq", F.lit(0).alias("is_end"), "certain"),
+                F.struct(F.col("completed_us").alias("at"), at_once.alias("rank"), "seq", F.lit(1).alias("is_end"), "certain"),
             )
         ),
     )
-    ahead = F.when(F.col("is_request") == 1, F.struct(F.col("seq").alias("seq"), F.col("certain").alias("certain")))
-    width = Slicing(slicing.count, slicing.width)
-    marks = carry(marks, keys, ["at", "is_request", "seq"], last={"nxt": ahead}, descending=True, slicing=width)
+    ahead = F.when(F.col("is_end") == 0, F.struct(F.col("seq").alias("seq"), F.col("certain").alias("certain")))
+    marks = carry(marks, keys, ["at", "rank", "seq", "is_end"], last={"nxt": ahead}, descending=True, slicing=slicing)
     # a pointer to a certain leader adds nothing
-    jump = marks.filter((F.col("is_request") == 0) & ~F.col("nxt.certain")).select("seq", F.col("nxt.seq").alias("to"))
-    # a request completed on arrival must not point at itself
-    jump = checkpointed(jump.filter(F.col("seq") != F.col("to")))
+    jump = marks.filter((F.col("is_end") == 1) & ~F.col("nxt.certain")).select("seq", F.col("nxt.seq").alias("to"))
+    jump = checkpointed(jump)
     leaders = rows.filter("certain").select("seq")
     while not jump.isEmpty():
         reached = jump.join(leaders, "seq", "left_semi").select(F.col("to").alias("seq"))
