@@ -9,6 +9,7 @@ from buildlens.functions import exprs as X
 from buildlens.operators import cache as C
 from buildlens.operators import store as B
 from buildlens.plans import standins as D
+from buildlens.session import checkpointed
 from buildlens.sources import inventory as I
 
 QUERIES, SQL = {}, {}
@@ -259,7 +260,8 @@ def accessed_blobs(s, d):
     ),
 )
 def _(s, d):
-    return B.eviction_plan(accessed_blobs(s, d), 500000)
+    # the plan reads the inventory several times; a derived one is stored first
+    return B.eviction_plan(checkpointed(accessed_blobs(s, d)), 500000)
 
 
 ENTRIES = (
@@ -277,7 +279,7 @@ def entries(s, d):
 for _policy, _column in (("fifo", "inserted_us"), ("lru", "accessed_us")):
 
     def _cap(s, d, policy=_policy):
-        return B.entry_cap_eviction(entries(s, d), 300, policy)
+        return B.entry_cap_eviction(checkpointed(entries(s, d)), 300, policy)
 
     query(
         "entry_cap_eviction" if _policy == "fifo" else "entry_cap_eviction_lru",

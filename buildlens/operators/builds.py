@@ -29,43 +29,75 @@ def targets_seen(events: DataFrame) -> DataFrame:
     return named.groupBy("invocation_id", "label").agg(F.min(SEQ).alias("first_seq"))
 
 
-def build_summary(events: DataFrame, compat: bool = False, targets: bool = True) -> DataFrame:
+# Kinds of events a summary is made from.
+_SUMMARY_KINDS = ["BuildStarted", "BuildFinished", "BuildMetrics", "ActionExecuted", "TestResult", "TestSummary"]
+
+
+def build_summary(
+    events: DataFrame, compat: bool = False, targets: bool = True, other_kinds: bool = True
+) -> DataFrame:
     """Fold the flat events of each invocation into one row.
 
-    Counters and last-writer fields are one combined aggregate, so a huge invocation is reduced before the
-    shuffle. Test hits that follow the last metrics event need that event's position and are counted in a second
-    aggregate over remote test hits only. The target list is collected from labels already made distinct.
+    The few events that open and close a build give its text fields; actions and tests, which are nearly all
+    events, only feed counters, so they go through a hash aggregate that combines before the shuffle. Test hits
+    that follow the last metrics event need that event's position and are counted apart, over remote test hits
+    only. The target list is collected from labels already made distinct.
 
     ``compat`` adds cached tests to ``cached_actions`` as the original reports do, which can exceed the total.
     """
     finished = _is("BuildFinished")
     ok = F.coalesce(F.col("overall_success"), F.lit(False)) | F.coalesce(F.col("exit_code") == 0, F.lit(False))
-    status = F.when(_is("BuildStarted"), "in_progress").when(finished & ok, "success").when(finished, "failure")
+    status = F.when(_is("BuildStarted"), "in_progress").when(finished, F.when(ok, "success").otherwise("failure"))
+    metrics = F.col("remote_cache_hits").isNotNull() & _is("BuildMetrics")
+    frame = (
+        events.filter(F.col("kind").isin("BuildStarted", "BuildFinished", "BuildMetrics"))
+        .groupBy("invocation_id")
+        .agg(
+            _newest("command", _is("BuildStarted")).alias("command"),
+            _newest("workspace", _is("BuildStarted")).alias("workspace"),
+            _newest("start_time", _is("BuildStarted") & F.col("start_time").isNotNull()).alias("start_time"),
+            _newest("end_time", finished & F.col("end_time").isNotNull()).alias("end_time"),
+            _newest(status, status.isNotNull()).alias("status"),
+            _newest("remote_cache_hits", metrics).alias("metric_hits"),
+        )
+    )
     action = _is("ActionExecuted")
-    cached = action & F.col("success") & X.same_instant(F.col("start_time"), F.col("end_time"))
-    has_metrics = _is("BuildMetrics") & F.col("remote_cache_hits").isNotNull()
-    base = events.groupBy("invocation_id").agg(
-        _newest("command", _is("BuildStarted")).alias("command"),
-        _newest("workspace", _is("BuildStarted")).alias("workspace"),
-        _newest("start_time", _is("BuildStarted") & F.col("start_time").isNotNull()).alias("start_time"),
-        _newest("end_time", finished & F.col("end_time").isNotNull()).alias("end_time"),
-        F.coalesce(_newest(status, status.isNotNull()), F.lit("in_progress")).alias("status"),
-        _count(action).alias("total_actions"),
-        _count(cached).alias("cached_only_actions"),
-        _count(action & F.col("success")).alias("ok_actions"),
-        _count(_is("TestResult") & F.col("cached_locally")).alias("cached_test_results"),
-        F.coalesce(F.sum(F.when(_is("TestSummary"), F.col("total_num_cached"))), F.lit(0)).alias("cached_test_runs"),
-        _newest("remote_cache_hits", has_metrics).alias("metric_hits"),
-        F.max(F.when(has_metrics, F.col(SEQ))).alias("metric_seq"),
+    success = action & F.col("success")
+    cached = success & X.same_instant(F.col("start_time"), F.col("end_time"))
+    counters = {
+        "total_actions": _count(action),
+        "cached_only_actions": _count(cached),
+        "ok_actions": _count(success),
+        "cached_test_results": _count(_is("TestResult") & F.col("cached_locally")),
+        "cached_test_runs": F.coalesce(F.sum(F.when(_is("TestSummary"), F.col("total_num_cached"))), F.lit(0)),
+    }
+    counted = (
+        events.filter(F.col("kind").isin("ActionExecuted", "TestResult", "TestSummary"))
+        .groupBy("invocation_id")
+        .agg(*[c.alias(n) for n, c in counters.items()])
+    )
+    rest = events.filter(~F.col("kind").isin(_SUMMARY_KINDS)).select("invocation_id").distinct()
+    out = frame.join(counted, "invocation_id", "full").withColumns(
+        {n: F.coalesce(n, F.lit(0)) for n in counters} | {"status": F.coalesce("status", F.lit("in_progress"))}
+    )
+    if other_kinds:
+        # an invocation may have sent nothing but other events so far
+        only_rest = rest.join(out.select("invocation_id"), "invocation_id", "left_anti")
+        only_rest = only_rest.withColumns(
+            {"status": F.lit("in_progress")} | {n: F.lit(0).cast("bigint") for n in counters}
+        )
+        out = out.unionByName(only_rest, allowMissingColumns=True)
+    position = (
+        events.filter(metrics).groupBy("invocation_id").agg(F.max(SEQ).alias("metric_seq"))
     )
     remote_tests = events.filter(_is("TestResult") & F.col("cached_remotely")).select("invocation_id", SEQ)
     after = (
-        remote_tests.join(base.select("invocation_id", "metric_seq"), "invocation_id")
+        remote_tests.join(position, "invocation_id", "left")
         .filter(F.col("metric_seq").isNull() | (F.col(SEQ) > F.col("metric_seq")))
         .groupBy("invocation_id")
         .agg(F.count(F.lit(1)).alias("later_hits"))
     )
-    out = base.join(after, "invocation_id", "left")
+    out = out.join(after, "invocation_id", "left")
     if targets:
         listed = (
             targets_seen(events)
@@ -180,7 +212,7 @@ def action_metrics(actions: DataFrame) -> DataFrame:
 
 
 def cache_misses(actions: DataFrame) -> DataFrame:
-    """Actions that really ran: all but successes whose start and end texts are equal."""
+    """Actions that really ran: all but successes whose start and end texts are equal. Map-only."""
     ok = F.coalesce(F.col("success"), F.lit(False))
     return actions.filter(~(ok & X.same_instant(F.col("start_time"), F.col("end_time")))).select(
         "invocation_id",
@@ -189,7 +221,7 @@ def cache_misses(actions: DataFrame) -> DataFrame:
         ok.alias("success"),
         F.lit(False).alias("cached"),
         "exit_code",
-        X.span_ms(X.instant(F.col("start_time")), X.instant(F.col("end_time"))).alias("duration_ms"),
+        X.span_ms(F.col("start_ts"), F.col("end_ts")).alias("duration_ms"),
         F.col("id").alias("event_id"),
     )
 

@@ -258,9 +258,9 @@ def merge_inflight(requests: DataFrame, slicing: Slicing | None = None) -> DataF
     jump = checkpointed(jump)
     leaders = rows.filter("certain").select("seq")
     while not jump.isEmpty():
+        # leaders of one digest come one after another, so what is reached is new and reached once
         reached = jump.join(leaders, "seq", "left_semi").select(F.col("to").alias("seq"))
-        fresh = reached.distinct().join(leaders, "seq", "left_anti")
-        leaders = checkpointed(leaders.unionByName(fresh))
+        leaders = checkpointed(leaders.unionByName(reached))
         second = jump.select(F.col("seq").alias("to"), F.col("to").alias("to2"))
         jump = checkpointed(jump.join(second, "to").select("seq", F.col("to2").alias("to")))
     led = rows.join(leaders.withColumn("leads", F.lit(True)), "seq", "left")

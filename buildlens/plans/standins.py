@@ -137,64 +137,63 @@ _FLAT = {
 }
 
 
-def _flat(**given: Column) -> Column:
-    return F.struct(
-        *[(given[n] if n in given else F.lit(None)).cast(t).alias(n) for n, t in _FLAT.items()]
-    )
+def _flat(df: DataFrame, **given: Column) -> DataFrame:
+    return df.select(*[(given[n] if n in given else F.lit(None)).cast(t).alias(n) for n, t in _FLAT.items()])
 
 
 def build_events(spark: SparkSession, sf_dir: str, read=table) -> DataFrame:
-    """Flat event stream: start, metrics and finish from orders; actions and test results from one lineitem scan."""
+    """Flat event stream, one branch per kind, so that a filter on the kind leaves only the branches it needs."""
     o = read(spark, sf_dir, "orders")
     start = F.col("o_orderdate").cast("timestamp")
     end = F.timestamp_micros(F.unix_micros(start) + F.floor("o_totalprice").cast("bigint") * 1000000)
     inv = F.col("o_orderkey")
-    builds = F.array(
-        _flat(
-            kind=F.lit("BuildStarted"),
-            invocation_id=inv,
-            sequence_number=F.lit(0),
-            command=F.col("o_orderpriority"),
-            workspace=F.col("o_custkey"),
-            start_time=rfc3339(start),
-        ),
-        _flat(
-            kind=F.lit("BuildMetrics"),
-            invocation_id=inv,
-            sequence_number=(day_number(start) + 30) * 16,
-            remote_cache_hits=F.col("o_custkey") % 7,
-        ),
-        _flat(
-            kind=F.when(F.col("o_orderstatus") != "O", F.lit("BuildFinished")),
-            invocation_id=inv,
-            sequence_number=F.lit(1000000000),
-            overall_success=F.col("o_orderstatus") == "F",
-            exit_code=F.when(F.col("o_orderstatus") == "F", 0).otherwise(1),
-            end_time=rfc3339(end),
-        ),
+    started = _flat(
+        o,
+        kind=F.lit("BuildStarted"),
+        invocation_id=inv,
+        sequence_number=F.lit(0),
+        command=F.col("o_orderpriority"),
+        workspace=F.col("o_custkey"),
+        start_time=rfc3339(start),
+    )
+    metrics = _flat(
+        o,
+        kind=F.lit("BuildMetrics"),
+        invocation_id=inv,
+        sequence_number=(day_number(start) + 30) * 16,
+        remote_cache_hits=F.col("o_custkey") % 7,
+    )
+    finished = _flat(
+        o.filter(F.col("o_orderstatus") != "O"),
+        kind=F.lit("BuildFinished"),
+        invocation_id=inv,
+        sequence_number=F.lit(1000000000),
+        overall_success=F.col("o_orderstatus") == "F",
+        exit_code=F.when(F.col("o_orderstatus") == "F", 0).otherwise(1),
+        end_time=rfc3339(end),
     )
     li = read(spark, sf_dir, "lineitem")
     a = _action_columns()
     inv, label = F.col("l_orderkey"), F.col("l_partkey")
-    lines = F.array(
-        _flat(
-            kind=F.lit("ActionExecuted"),
-            invocation_id=inv,
-            sequence_number=line_seq(),
-            label=label,
-            **{k: a[k] for k in ("success", "start_time", "end_time", "exit_code", "spawn_cache_hit")},
-        ),
-        _flat(
-            kind=F.when(F.col("l_linestatus") == "F", F.lit("TestResult")),
-            invocation_id=inv,
-            sequence_number=line_seq(),
-            label=label,
-            test_status=_test_status(),
-            cached_locally=F.col("l_discount") == 0,
-            cached_remotely=F.col("l_tax") == 0,
-        ),
+    done = _flat(
+        li,
+        kind=F.lit("ActionExecuted"),
+        invocation_id=inv,
+        sequence_number=line_seq(),
+        label=label,
+        **{k: a[k] for k in ("success", "start_time", "end_time", "exit_code", "spawn_cache_hit")},
+    )
+    tested = _flat(
+        li.filter(F.col("l_linestatus") == "F"),
+        kind=F.lit("TestResult"),
+        invocation_id=inv,
+        sequence_number=line_seq(),
+        label=label,
+        test_status=_test_status(),
+        cached_locally=F.col("l_discount") == 0,
+        cached_remotely=F.col("l_tax") == 0,
     )
-    return o.select(F.inline(builds)).unionByName(li.select(F.inline(lines))).filter(F.col("kind").isNotNull())
+    return started.unionByName(metrics).unionByName(finished).unionByName(done).unionByName(tested)
 
 
 def command_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

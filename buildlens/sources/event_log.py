@@ -108,10 +108,11 @@ def label_of(id_: Column) -> Column:
 def normalize_event(raw: DataFrame, order: str = "sequence_number") -> DataFrame:
     """Raw events -> one flat table with the fields of all payload kinds, null where a kind has none.
 
-    Payload objects are parsed once with the union of their schemas, so the parser reads only what is selected.
+    Payload objects are parsed once with the union of their schemas, so the parser reads only what is selected;
+    the kind is the one key of the object and needs no parsing.
     """
-    p = F.from_json("payload", S.PAYLOAD)
-    e = raw.withColumn("p", p).withColumn("variant", F.try_element_at(F.json_object_keys("payload"), F.lit(1)))
+    variant = F.regexp_extract("payload", r'^\s*\{\s*"([A-Za-z]+)"', 1)
+    e = raw.withColumns({"p": F.from_json("payload", S.PAYLOAD), "variant": F.when(variant != "", variant)})
     kind = F.coalesce(X.lookup(F.col("variant"), S.KIND_OF_PAYLOAD), F.col("variant"))
     time = F.coalesce(
         "p.Started.start_time",
