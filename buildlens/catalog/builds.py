@@ -38,11 +38,12 @@ def metrics(s, d):
     return B.action_metrics(D.actions(s, d))
 
 
-def executions(s, d):
-    """Target executions; the environment stays a separate table, joined only where it is shown."""
+def executions(s, d, build=True, env=True):
+    """Target executions, with the build's times and environment where they are asked for."""
     done = D.completions(s, d)
-    env = B.env_maps(B.build_env(D.command_lines(s, d)))
-    rows = T.target_executions(done, D.target_kinds(s, d), metrics(s, d), summary(s, d, targets=False), env)
+    times = summary(s, d, targets=False) if build else None
+    maps = B.env_maps(B.build_env(D.command_lines(s, d))) if env else None
+    rows = T.target_executions(done, D.target_kinds(s, d), metrics(s, d), times, maps)
     return rows.withColumn("ingest_order", F.struct("event_ts", "invocation_id"))
 
 
@@ -221,7 +222,7 @@ def _(s, d):
               "ORDER BY inv, label"),
 )
 def _(s, d):
-    return shown(T.build_targets(executions(s, d).drop("env_vars"), customer_ids(s, d)))
+    return shown(T.build_targets(executions(s, d, env=False), customer_ids(s, d)))
 
 
 @query(
@@ -230,7 +231,7 @@ def _(s, d):
               " ORDER BY label, pos"),
 )
 def _(s, d):
-    return shown(T.history(executions(s, d).drop("env_vars"), supplier_labels(s, d)))
+    return shown(T.history(executions(s, d, env=False), supplier_labels(s, d)))
 
 
 ROLLUP = with_ctes(
@@ -249,8 +250,7 @@ ROLLUP = with_ctes(
 
 
 def rollup(s, d):
-    """Only the columns the rollup reads survive the joins; the optimizer drops the rest of the executions."""
-    return T.target_rollup(executions(s, d))
+    return T.target_rollup(executions(s, d, build=False, env=False))
 
 
 @query("target_rollup", ROLLUP)
@@ -277,12 +277,12 @@ def _(s, d):
     f"SELECT label, tags FROM ({ROLLUP}) WHERE tags <> ''",
 )
 def _(s, d):
-    return shown(T.distinct_ordered(executions(s, d), "label", "tags", "ingest_order"))
+    return shown(T.distinct_ordered(executions(s, d, build=False, env=False), "label", "tags", "ingest_order"))
 
 
 @query("latest_status", with_ctes("execs", "SELECT label, arg_max(status, pos) AS latest_status FROM execs GROUP BY label"))
 def _(s, d):
-    return T.latest_status(executions(s, d))
+    return T.latest_status(executions(s, d, build=False, env=False))
 
 
 @query(
@@ -291,7 +291,7 @@ def _(s, d):
               "JOIN env USING (inv)"),
 )
 def _(s, d):
-    return T.latest_env(executions(s, d))
+    return T.latest_env(executions(s, d, build=False))
 
 
 @query(
@@ -305,7 +305,7 @@ def _(s, d):
     ),
 )
 def _(s, d):
-    out = T.duration_timeline(executions(s, d))
+    out = T.duration_timeline(executions(s, d, env=False))
     return out.select("invocation_id", "label", "bar_ms", "longest_ms", "width_percent")
 
 

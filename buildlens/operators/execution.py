@@ -77,7 +77,10 @@ def result_join(operations: DataFrame, results: DataFrame) -> DataFrame:
     """Results to operations by the number in ``exec-N``; either side without a partner is listed."""
     number = F.regexp_extract("execution_id", "^exec-([0-9]+)$", 1).try_cast("bigint")
     r = results.withColumn("operation_number", number)
-    out = operations.join(r, F.col("operation_id") == F.col("operation_number"), "full")
+    # results without a number match nothing; as null keys they would all meet in one task
+    numbered, rest = r.filter(number.isNotNull()), r.filter(number.isNull())
+    out = operations.join(numbered, F.col("operation_id") == F.col("operation_number"), "full")
+    out = out.unionByName(rest, allowMissingColumns=True)
     return out.select(
         "operation_id",
         "execution_id",

@@ -14,28 +14,29 @@ def _count(cond: Column) -> Column:
 
 
 def target_executions(
-    completions: DataFrame, kinds: DataFrame, metrics: DataFrame, summary: DataFrame, env: DataFrame
+    completions: DataFrame,
+    kinds: DataFrame,
+    metrics: DataFrame,
+    summary: DataFrame | None = None,
+    env: DataFrame | None = None,
 ) -> DataFrame:
     """Completion events with kind, action metrics, build times and environment; missing sides get defaults.
 
-    ``kinds`` is keyed by label, or by build and label where the log holds configuration events.
+    ``kinds`` is keyed by label, or by build and label where the log holds configuration events. Rollups need
+    neither the build's times nor its environment and leave those joins out.
     """
     kind_keys = [k for k in ("invocation_id", "label") if k in kinds.columns]
-    out = (
-        completions.join(metrics, ["invocation_id", "label"], "left")
-        .join(kinds, kind_keys, "left")
-        .join(
-            summary.select(
-                "invocation_id",
-                F.col("start_time").alias("build_start_time"),
-                F.col("end_time").alias("build_end_time"),
-                F.col("duration_ms").alias("build_duration_ms"),
-            ),
+    out = completions.join(metrics, ["invocation_id", "label"], "left").join(kinds, kind_keys, "left")
+    if summary is not None:
+        times = summary.select(
             "invocation_id",
-            "left",
+            F.col("start_time").alias("build_start_time"),
+            F.col("end_time").alias("build_end_time"),
+            F.col("duration_ms").alias("build_duration_ms"),
         )
-        .join(env, "invocation_id", "left")
-    )
+        out = out.join(times, "invocation_id", "left")
+    if env is not None:
+        out = out.join(env, "invocation_id", "left")
     zero = {c: F.coalesce(F.col(c), F.lit(0)) for c in
             ("action_duration_ms", "action_count", "cached_actions", "failed_actions")}
     return out.withColumns(zero).withColumns(

@@ -155,17 +155,21 @@ def connection_metrics(log: DataFrame, compat: bool = False, **options) -> DataF
     return out.withColumn("mean_length_us", F.coalesce("mean_length_us", F.lit(0.0)))
 
 
-def round_trips_since_reconnect(log: DataFrame) -> DataFrame:
-    """Successful checks after each worker's latest connect. The latest connect is a combined maximum."""
+def last_round_trips(log: DataFrame, n: int) -> DataFrame:
+    """The last ``n`` successful checks of each worker, as far as they follow its latest connect.
+
+    What follows the latest connect is the newest part of a worker's checks, so the newest ``n`` are taken first:
+    Spark keeps no more than that per worker and task before it shuffles. The latest connect is a combined maximum.
+    """
     at = F.struct(*ORDER)
     reset = log.groupBy("worker_id").agg(F.max(F.when(F.col("event") == "connected", at)).alias("reset"))
-    ok = log.filter(F.col("event") == "health_check_passed")
+    ok = latest_rows(log.filter(F.col("event") == "health_check_passed"), ["worker_id"], ORDER, n)
     return ok.join(reset, "worker_id").filter(F.col("reset").isNull() | (at > F.col("reset"))).drop("reset")
 
 
 def rtt_stats(log: DataFrame, n: int = 100) -> DataFrame:
     """Mean, smallest and largest of the last ``n`` round trips since the last reconnect."""
-    last = latest_rows(round_trips_since_reconnect(log), ["worker_id"], ORDER, n)
+    last = last_round_trips(log, n)
     return last.groupBy("worker_id").agg(
         F.count(F.lit(1)).alias("round_trips"),
         F.avg("rtt_us").alias("mean_us"),
@@ -181,7 +185,7 @@ def latency_degradation(log: DataFrame) -> DataFrame:
     failing = log.filter(relevant).groupBy("worker_id").agg(
         (F.max_by("event", F.struct(*ORDER)) == "health_check_failed").alias("failing")
     )
-    last = latest_rows(round_trips_since_reconnect(log), ["worker_id"], ORDER, 20)
+    last = last_round_trips(log, 20)
     recent = F.col("recency") <= 10
     means = last.groupBy("worker_id").agg(
         F.count(F.lit(1)).alias("round_trips"),

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BANDS_PER_OCTAVE = 512
+BANDS_PER_OCTAVE = 4096
 
 
 def band(value: Column) -> Column:

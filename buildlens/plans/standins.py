@@ -6,13 +6,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from buildlens.functions import exprs as X
-from buildlens.session import use_utc
+from buildlens.session import prepared
 
 RFC = "yyyy-MM-dd'T'HH:mm:ss.SSSXXX"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return use_utc(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return prepared(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

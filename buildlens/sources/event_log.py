@@ -100,16 +100,19 @@ def id_text(key: Column, body: Column) -> Column:
     )
 
 
+def _after(text: Column, prefix: str) -> Column:
+    return F.when(F.startswith(text, F.lit(prefix)), F.substring(text, len(prefix) + 1, 1_000_000))
+
+
 def label_of(id_: Column) -> Column:
-    known = "^(" + "|".join(LABEL_PREFIXES) + ")"
-    return F.when(id_.rlike(known), F.regexp_replace(id_, known, ""))
+    return F.coalesce(*[_after(id_, p) for p in LABEL_PREFIXES])
 
 
 def normalize_event(raw: DataFrame, order: str = "sequence_number") -> DataFrame:
     """Raw events -> one flat table with the fields of all payload kinds, null where a kind has none.
 
-    Payload objects are parsed once with the union of their schemas, so the parser reads only what is selected;
-    the kind is the one key of the object and needs no parsing.
+    Payload objects are parsed once, with the union of their schemas; the kind is the one key of the object and
+    needs no parsing.
     """
     variant = F.regexp_extract("payload", r'^\s*\{\s*"([A-Za-z]+)"', 1)
     e = raw.withColumns({"p": F.from_json("payload", S.PAYLOAD), "variant": F.when(variant != "", variant)})
@@ -122,8 +125,7 @@ def normalize_event(raw: DataFrame, order: str = "sequence_number") -> DataFrame
         "p.TestSummary.first_start_time",
     )
     start, end = "p.ActionExecuted.start_time", "p.ActionExecuted.end_time"
-    action_label = F.coalesce("p.ActionExecuted.label", F.when(F.startswith("id", F.lit("ActionCompleted:")),
-                                                               F.regexp_replace("id", "^ActionCompleted:", "")))
+    action_label = F.coalesce(_after(F.col("id"), "ActionCompleted:"), "p.ActionExecuted.label")
     return e.select(
         "invocation_id",
         F.col(order).alias("sequence_number"),
