@@ -93,9 +93,13 @@ def version_of(raw: Column) -> Column:
     )
 
 
+# Fixed value: how a user agent names the build tool and its version.
+TOOL_TOKEN = r"(?i)bazel/\s*(\S+)"
+
+
 def client_version(header: Column, user_agent: Column) -> Column:
     """Version from the dedicated header, else from the tool token of the user agent."""
-    token = F.regexp_extract(user_agent, r"(?i)bazel/\s*(\S+)", 1)
+    token = F.regexp_extract(user_agent, TOOL_TOKEN, 1)
     return F.coalesce(version_of(F.trim(header)), version_of(F.when(token != "", token)))
 
 

@@ -26,6 +26,18 @@ def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     )
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores when the scan has fewer splits than there are cores.
+
+    A small driver table is one row group, hence one task, however costly the work per row. A large table has more
+    splits than cores and is left as it is, without a shuffle. Streams are never touched.
+    """
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def rfc3339(ts: Column) -> Column:
     return F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSS"), F.lit("+00:00"))
 
@@ -172,7 +184,7 @@ def build_events(spark: SparkSession, sf_dir: str, read=table) -> DataFrame:
         exit_code=F.when(F.col("o_orderstatus") == "F", 0).otherwise(1),
         end_time=rfc3339(end),
     )
-    li = read(spark, sf_dir, "lineitem")
+    li = spread(read(spark, sf_dir, "lineitem"))
     a = _action_columns()
     inv, label = F.col("l_orderkey"), F.col("l_partkey")
     done = _flat(
@@ -198,7 +210,7 @@ def build_events(spark: SparkSession, sf_dir: str, read=table) -> DataFrame:
 
 def command_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One command-line event per build: a client value, then output flags with and without their own value."""
-    o = table(spark, sf_dir, "orders")
+    o = spread(table(spark, sf_dir, "orders"))
     prio = F.col("o_orderpriority")
     cust = F.col("o_custkey").cast("string")
     return o.select(
@@ -384,7 +396,6 @@ def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     start = rfc3339(F.col("o_orderdate").cast("timestamp"))
     note = lambda *c: F.to_json(F.struct(*c))
-    inv = F.col("o_orderkey").cast("string")
     url = F.lit("type.googleapis.com/build_event_stream.BuildEvent")
     child = F.array(F.create_map(F.lit("pattern"), F.lit('["//a","//b"]')), F.create_map(F.lit("build_finished"), F.lit("{}")))
     none = F.array().cast("array<map<string,string>>")
@@ -395,9 +406,10 @@ def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         ).alias("Finished")
     )
 
-    def event(seq, type_url, last, id_, children, payload):
-        return F.struct(
-            F.lit(seq).cast("bigint").alias("sequence_number") if isinstance(seq, int) else seq.alias("sequence_number"),
+    def event(df, inv, seq, type_url, last, id_, children, payload):
+        return df.select(
+            inv.cast("string").alias("invocation_id"),
+            seq.cast("bigint").alias("sequence_number"),
             type_url.alias("type_url"),
             F.lit(last).alias("last_message"),
             id_.alias("id"),
@@ -405,12 +417,14 @@ def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
             payload.alias("payload"),
         )
 
-    builds = F.array(
-        event(0, url, False, F.lit("BuildStarted"), child, started),
-        event(1000000000, F.lit(""), True, F.lit("BuildFinished"), none, finished),
-        event(1000000001, F.lit("type.googleapis.com/other.Message"), False, F.lit("Progress"), none, F.lit("{}")),
-    )
-    li = table(spark, sf_dir, "lineitem")
+    inv = F.col("o_orderkey")
+    other = F.lit("type.googleapis.com/other.Message")
+    branches = [
+        event(o, inv, F.lit(0), url, False, F.lit("BuildStarted"), child, started),
+        event(o, inv, F.lit(1000000000), F.lit(""), True, F.lit("BuildFinished"), none, finished),
+        event(o, inv, F.lit(1000000001), other, False, F.lit("Progress"), none, F.lit("{}")),
+    ]
+    li = spread(table(spark, sf_dir, "lineitem"))
     a = _action_columns()
     label = F.col("l_partkey").cast("string")
     action = note(
@@ -431,10 +445,10 @@ def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         ).alias("TestResult")
     )
     announce = F.array(F.create_map(F.lit("test_result"), note(label.alias("label"))))
-    lines = F.array(
-        event(line_seq(), url, False, F.concat(F.lit("ActionCompleted:"), label), announce, action),
-        event(line_seq(), url, False, F.concat(F.lit("TestResult:"), label), none, result),
-    )
-    return o.select(inv.alias("invocation_id"), F.inline(builds)).unionByName(
-        li.select(F.col("l_orderkey").cast("string").alias("invocation_id"), F.inline(lines))
-    )
+    inv, seq = F.col("l_orderkey"), line_seq()
+    branches.append(event(li, inv, seq, url, False, F.concat(F.lit("ActionCompleted:"), label), announce, action))
+    branches.append(event(li, inv, seq, url, False, F.concat(F.lit("TestResult:"), label), none, result))
+    out = branches[0]
+    for b in branches[1:]:
+        out = out.unionByName(b)
+    return out

@@ -26,6 +26,8 @@ def tuned_builder(master: str | None = None, app: str = "buildlens") -> SparkSes
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+        # plans here have hundreds of expressions; recording the Python call site of each costs more than the plan
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.enabled", "false")
     )
     for key, value in RUNTIME.items():
