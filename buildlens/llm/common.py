@@ -176,23 +176,26 @@ def with_end(ids: np.ndarray, starts: np.ndarray, end_id: int) -> tuple[np.ndarr
     return np.insert(ids, starts[1:], end_id).astype(np.uint32), starts + np.arange(len(starts))
 
 
-def sorted_groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Groups of rows with equal keys from batches sorted by them; a group may run over several batches."""
+def whole_groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups from batches sorted by ``keys``, and where each group starts (with the end of the last)."""
     rest: pa.Table | None = None
+
+    def cuts_of(rows: pa.Table) -> np.ndarray:
+        change = np.zeros(rows.num_rows, bool)
+        for k in keys:
+            col = rows[k].combine_chunks().to_numpy(zero_copy_only=False)
+            change[1:] |= col[1:] != col[:-1]
+        return np.concatenate(([0], np.flatnonzero(change), [rows.num_rows]))
+
     for batch in batches:
         if not batch.num_rows:
             continue
         rows = pa.Table.from_batches([batch])
         if rest is not None:
-            rows = pa.concat_tables([rest, rows])
-        change = np.zeros(rows.num_rows, bool)
-        for k in keys:
-            col = rows[k].combine_chunks().to_numpy(zero_copy_only=False)
-            change[1:] |= col[1:] != col[:-1]
-        cuts = np.concatenate(([0], np.flatnonzero(change), [rows.num_rows]))
-        rows = rows.combine_chunks()
-        for a, b in zip(cuts[:-2], cuts[1:-1]):
-            yield rows.slice(a, b - a)
+            rows = pa.concat_tables([rest, rows]).combine_chunks()
+        cuts = cuts_of(rows)
+        if len(cuts) > 2:
+            yield rows.slice(0, cuts[-2]), cuts[:-1]
         rest = rows.slice(cuts[-2])
     if rest is not None:
-        yield rest
+        yield rest, cuts_of(rest)

@@ -57,7 +57,7 @@ def _cell(k: int):
     def product(queries: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[int, int, int, int, int]] = []
         if len(queries) and len(candidates):
-            q, c, own = _matrix(queries["v"]), _matrix(candidates["v"]), candidates["id"].to_numpy()
+            q, c, own = _matrix(queries["v"]), _matrix(candidates["cv"]), candidates["cid"].to_numpy()
             most = float(np.abs(q).max()) * float(np.abs(c).max()) * q.shape[1]
             exact = most < EXACT
             ct = (c.astype(float) if exact else c).T
@@ -80,7 +80,7 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int, tile_rows: int = TI
     spot = lambda n, seed: F.pmod(F.xxhash64("id", "v", F.lit(seed)), F.lit(n)).cast("int")
     dims = F.size("v").alias("dims")
     left = queries.select("id", "v", dims, spot(tiles, 1).alias("tile"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-    right = candidates.select("id", "v", dims, F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("tile"), spot(shards, 2).alias("shard"))
+    right = candidates.select(F.col("id").alias("cid"), F.col("v").alias("cv"), dims, F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("tile"), spot(shards, 2).alias("shard"))
     cell = ["tile", "shard", "dims"]
     found = left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInPandas(_cell(k), "query_id long, shard int, vec_id long, score long, tile int")
     found = found.select("query_id", "shard", "vec_id", "score")
