@@ -113,10 +113,13 @@ def fit_text_model(rows: DataFrame, lang: str = "lang", text: str = "text", samp
 
 
 def text_likelihoods(rows: DataFrame, model: dict) -> DataFrame:
-    """``rows`` (with a ``text``) and ``ll`` in its place: one number for each language and for "und"."""
+    """``rows`` with, instead of ``text``, ``ll``: its log-likelihood under each language and "und", and ``alone``: their
+    probabilities with nothing but the text known."""
     keep = [c for c in rows.columns if c != "text"]
-    schema = ", ".join([f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep] + ["ll array<double>"])
+    schema = ", ".join([f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep] + ["ll array<double>", "alone array<double>"])
     tables = model["tables"]
+    n = tables.shape[1]
+    start = np.log(np.array([(1 - UND) / max(n - 1, 1)] * (n - 1) + [UND]))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = np.ascontiguousarray(tables.T)
@@ -129,17 +132,20 @@ def text_likelihoods(rows: DataFrame, model: dict) -> DataFrame:
             for k, one in enumerate(columns):
                 if len(some):
                     ll[some, k] = np.add.reduceat(one[used], at[some], dtype=np.float64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * len(columns), pa.int32()), pa.array((ll / GRAM).ravel()))
-            yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(c)) for c in keep], lists], [*keep, "ll"])
+            ll /= GRAM
+            alone = np.exp(ll + start - (ll + start).max(1, keepdims=True, initial=-np.inf))
+            alone /= alone.sum(1, keepdims=True)
+            at = pa.array(np.arange(batch.num_rows + 1) * n, pa.int32())
+            lists = [pa.ListArray.from_arrays(at, pa.array(x.ravel())) for x in (ll, alone)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(c)) for c in keep], *lists], [*keep, "ll", "alone"])
 
     return rows.mapInArrow(score, schema)
 
 
-def _softmax(logs: list[Column]) -> list[Column]:
-    top = F.greatest(*logs)
-    weights = [F.exp(x - top) for x in logs]
-    total = sum(weights[1:], weights[0])
-    return [w / total for w in weights]
+def _sums(rows: DataFrame, key: str, n: int, name: str) -> DataFrame:
+    """For each value of ``key`` the sums of ``alone`` as an array ``name``, and the number of rows."""
+    each = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(*[F.sum(F.col("alone")[k]).alias(f"_{k}") for k in range(n)], F.count(F.lit(1)).alias(f"{name}_rows"))
+    return each.select(key, F.array(*[f"_{k}" for k in range(n)]).alias(name), f"{name}_rows")
 
 
 def identified(rows: DataFrame, model: dict, least: float = LEAST) -> DataFrame:
@@ -150,32 +156,30 @@ def identified(rows: DataFrame, model: dict, least: float = LEAST) -> DataFrame:
         return rows.select("id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), F.lit(UNKNOWN).alias("language"), F.lit(1.0).alias("posterior"), F.lit(False).alias("rejected"))
     evidence = rows.select("id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), *[F.nullif(F.col(c), F.lit("")).alias(c) for c in ("markup", "suffix", "host")])
     scored = stored(text_likelihoods(evidence, model), "language")
-    start = [np.log((1 - UND) / (n - 1))] * (n - 1) + [np.log(UND)]
-    alone = _softmax([F.col("ll")[k] + F.lit(float(start[k])) for k in range(n)])
-    scored = scored.withColumns({f"t{k}": alone[k] for k in range(n)})
-    shares = [F.sum(f"t{k}").alias(f"s{k}") for k in range(n)]
-    whole = scored.agg(*shares, F.count(F.lit(1)).alias("rows")).first()
-    all_rows = max(whole["rows"], 1)
-    base = [((whole[f"s{k}"] or 0.0) + 1.0 / n) / (all_rows + 1.0) for k in range(n)]
-    by_suffix = scored.filter("suffix IS NOT NULL").groupBy("suffix").agg(*[F.sum(f"t{k}").alias(f"x{k}") for k in range(n)], F.count(F.lit(1)).alias("xn"))
-    by_host = scored.filter("host IS NOT NULL").groupBy("host").agg(*[F.sum(f"t{k}").alias(f"h{k}") for k in range(n)], F.count(F.lit(1)).alias("hn"))
-    declared = scored.filter("markup IS NOT NULL").groupBy("markup").agg(*[F.sum(f"t{k}").alias(f"m{k}") for k in range(n)])
-    made = declared.agg(*[F.sum(f"m{k}").alias(f"d{k}") for k in range(n)], F.count(F.lit(1)).alias("kinds")).first()
-    joined = scored.join(by_suffix, "suffix", "left").join(by_host, "host", "left").join(declared, "markup", "left")
+    whole = scored.agg(*[F.sum(F.col("alone")[k]) for k in range(n)], F.count(F.lit(1))).first()
+    base = [((x or 0.0) + 1.0 / n) / (whole[n] + 1.0) for x in whole[:n]]
+    declared = _sums(scored, "markup", n, "by_markup")
+    made = declared.agg(*[F.sum(F.col("by_markup")[k]) for k in range(n)], F.count(F.lit(1))).first()
+    says_all = [(x or 0.0) + DECLARED_START * (made[n] + 1) for x in made[:n]]
+    joined = scored.join(_sums(scored, "suffix", n, "by_suffix"), "suffix", "left").join(_sums(scored, "host", n, "by_host"), "host", "left").join(declared, "markup", "left")
     zero = F.lit(0.0)
-    logs = []
-    for k in range(n):
-        own = F.col(f"t{k}")
-        outer = (F.coalesce(F.col(f"x{k}") - own, zero) + DRAW * base[k]) / (F.coalesce(F.col("xn") - 1, zero) + DRAW)
-        prior = (F.coalesce(F.col(f"h{k}") - own, zero) + DRAW * outer) / (F.coalesce(F.col("hn") - 1, zero) + DRAW)
-        says = (F.col(f"m{k}") - own + DECLARED_START) / F.lit((made[f"d{k}"] or 0.0) + DECLARED_START * ((made["kinds"] or 0) + 1))
-        logs.append(F.col("ll")[k] + F.log(F.greatest(prior, F.lit(1e-12))) + F.coalesce(F.log(F.greatest(says, F.lit(1e-12))), zero))
-    posterior = _softmax(logs)
-    best = F.array(*posterior)
-    out = joined.withColumn("p", best).withColumn("posterior", F.array_max("p"))
-    out = out.withColumn("language", F.element_at(F.array(*map(F.lit, names)), F.array_position("p", F.col("posterior")).cast("int")))
-    rejected = (F.col("language") == UNKNOWN) | (F.col("posterior") < least)
-    return out.select("id", "text_hash", "language", "posterior", rejected.alias("rejected"))
+
+    def share(sums: str, k: Column, outer: Column) -> Column:
+        """Share of language k among the other rows of a group, drawn towards ``outer``."""
+        others = F.coalesce(F.get(sums, k) - F.get("alone", k), zero)
+        return (F.greatest(others, zero) + DRAW * outer) / (F.coalesce(F.col(f"{sums}_rows") - 1, zero) + DRAW)
+
+    def log_evidence(k: Column) -> Column:
+        prior = share("by_host", k, share("by_suffix", k, F.get(F.array(*map(F.lit, base)), k)))
+        says = (F.greatest(F.get("by_markup", k) - F.get("alone", k), zero) + DECLARED_START) / F.get(F.array(*map(F.lit, says_all)), k)
+        return F.get("ll", k) + F.log(prior) + F.coalesce(F.log(says), zero)
+
+    logs = joined.withColumn("logs", F.transform(F.sequence(F.lit(0), F.lit(n - 1)), log_evidence))
+    top = F.array_max("logs")
+    total = F.aggregate("logs", zero, lambda sum_, x: sum_ + F.exp(x - F.array_max("logs")))
+    best = F.element_at(F.array(*map(F.lit, names)), F.array_position("logs", top).cast("int"))
+    out = logs.select("id", "text_hash", best.alias("language"), (1 / total).alias("posterior"))
+    return out.withColumn("rejected", (F.col("language") == UNKNOWN) | (F.col("posterior") < least))
 
 
 def document_evidence(docs: DataFrame) -> DataFrame:
