@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from buildlens.session import scratch_path
 
 #: Entries that a task's word cache may hold before it starts anew.
-CACHE_WORDS = 700_000
+CACHE_WORDS = 400_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,7 +83,10 @@ def gathered(flat: np.ndarray, ends: np.ndarray, rows: np.ndarray) -> tuple[np.n
     """The runs ``flat[ends[r]:ends[r + 1]]`` one after the other for each r of ``rows``, and where each starts."""
     sizes = ends[rows + 1] - ends[rows]
     starts = np.concatenate(([0], np.cumsum(sizes)))
-    return flat[np.arange(starts[-1]) + np.repeat(ends[rows] - starts[:-1], sizes)], starts
+    kind = np.int32 if max(starts[-1], len(flat)) < 1 << 31 else np.int64
+    at = np.arange(starts[-1], dtype=kind)
+    at += np.repeat((ends[rows] - starts[:-1]).astype(kind), sizes)
+    return flat[at], starts
 
 
 class Encoder:
@@ -104,9 +107,6 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.forget()
-
-    def forget(self) -> None:
         self.kept: dict[str, int] = {}
         self.flat, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
@@ -148,10 +148,14 @@ class Encoder:
     def rows_of(self, parts: list[str], codes: np.ndarray) -> np.ndarray:
         """Where ``flat`` holds the ids of the parts that ``codes`` number; new parts are encoded and added."""
         new = [p for p in parts if p not in self.kept]
-        if self.kept and len(self.kept) + len(new) > CACHE_WORDS:
-            self.forget()
-            new = parts
-        got = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+        if self.kept and len(self.kept) + len(new) > CACHE_WORDS:  # keep what this batch needs too
+            held = [p for p in parts if p in self.kept]
+            rows = np.fromiter(map(self.kept.__getitem__, held), np.int64, len(held))
+            self.flat, self.ends = gathered(self.flat, self.ends, rows)
+            self.kept = dict(zip(held, range(len(held))))
+        got: list[list[int]] = []
+        for k in range(0, len(new), 10_000):  # the library's own results are large
+            got += [e.ids for e in self.tokenizer.encode_batch_fast(new[k : k + 10_000], add_special_tokens=False)]
         sizes = np.fromiter(map(len, got), np.int64, len(got))
         self.kept.update(zip(new, range(len(self.kept), len(self.kept) + len(new))))
         self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(got), np.uint32, int(sizes.sum()))])
@@ -159,7 +163,7 @@ class Encoder:
         return np.fromiter(map(self.kept.__getitem__, parts), np.int64, len(parts))[codes]
 
 
-def slices(batches: Iterable[pa.RecordBatch], column: str = "text", most: int = 32 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterable[pa.RecordBatch], column: str = "text", most: int = 12 << 20) -> Iterator[pa.RecordBatch]:
     """The batches, cut so that the texts of each take no more than ``most`` bytes (or are a single row)."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(text_of(batch, column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
