@@ -14,7 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from buildlens.session import scratch_path
 
 #: Entries that a task's word cache may hold before it starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
+#: Bytes of an Arrow batch on its way to and from a task's Python, so that both sides stay small with long texts.
+BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +31,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
+def in_arrow(df: DataFrame, function, schema: str) -> DataFrame:
+    """``df.mapInArrow`` with batches of bounded size."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df.mapInArrow(function, schema)
+
+
 def text_of(batch: pa.RecordBatch, name: str = "text") -> pa.Array:
     """A text column with null as the empty text."""
     col = batch.column(batch.schema.get_field_index(name))
@@ -163,7 +171,7 @@ class Encoder:
         return np.fromiter(map(self.kept.__getitem__, parts), np.int64, len(parts))[codes]
 
 
-def slices(batches: Iterable[pa.RecordBatch], column: str = "text", most: int = 12 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterable[pa.RecordBatch], column: str = "text", most: int = 6 << 20) -> Iterator[pa.RecordBatch]:
     """The batches, cut so that the texts of each take no more than ``most`` bytes (or are a single row)."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(text_of(batch, column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)

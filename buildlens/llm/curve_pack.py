@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from buildlens.llm.common import Encoder, mixed, slices, stored, table, text_of, with_end, word_hashes, words_of
+from buildlens.llm.common import Encoder, in_arrow, mixed, slices, stored, table, text_of, with_end, word_hashes, words_of
 
 #: Dimensions of the projection and bits of each in the key; ids of a stretch of the curve on average.
 DIMS, BITS, STRETCH_IDS = 4, 8, 4_000_000
@@ -87,7 +87,7 @@ def on_curve(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
             )
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(encode, "doc_id long, place long, n_tokens long, ids binary")
+    return in_arrow(rows, encode, "doc_id long, place long, n_tokens long, ids binary")
 
 
 def _cut(length: int):
@@ -125,8 +125,8 @@ def packed(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int =
     total = rows.agg(F.sum("n_tokens")).first()[0] or 0
     key = ["place", "doc_id", "n_tokens"]
     ranged = rows.repartitionByRange(max(1, math.ceil(total / STRETCH_IDS)), *key).sortWithinPartitions(*key, "ids")
-    return ranged.select("doc_id", "n_tokens", "ids").mapInArrow(
-        _cut(length), "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
+    return in_arrow(
+        ranged.select("doc_id", "n_tokens", "ids"), _cut(length), "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
     )
 
 

@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from buildlens.llm.common import slices, stored, table, text_of
+from buildlens.llm.common import in_arrow, slices, stored, table, text_of
 
 #: Labelled rows that the text model is fitted on (about), languages at most, buckets of 4-grams, letters of a gram.
 SAMPLE_ROWS, MOST_LANGUAGES, BUCKETS, GRAM = 8_000, 64, 1 << 15, 4
@@ -88,7 +88,7 @@ def fit_text_model(rows: DataFrame, lang: str = "lang", text: str = "text", samp
             at = np.flatnonzero(one)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at)), pa.array(at, pa.int32()), pa.array(one[at])], ["lang", "cell", "n"])
 
-    cells = sample.mapInArrow(count, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toPandas()
+    cells = in_arrow(sample, count, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toPandas()
     sizes = cells[cells["cell"] < BUCKETS].groupby("lang")["n"].sum().sort_values(ascending=False)
     names = sorted(sizes.index[:MOST_LANGUAGES])
     tables = np.zeros((BUCKETS, len(names) + 1), np.float32)
@@ -139,7 +139,7 @@ def text_likelihoods(rows: DataFrame, model: dict) -> DataFrame:
             lists = [pa.ListArray.from_arrays(at, pa.array(x.ravel())) for x in (ll, alone)]
             yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(c)) for c in keep], *lists], [*keep, "ll", "alone"])
 
-    return rows.mapInArrow(score, schema)
+    return in_arrow(rows, score, schema)
 
 
 def _sums(rows: DataFrame, key: str, n: int, name: str) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from buildlens.llm.common import slices, table, text_of, words_of
+from buildlens.llm.common import in_arrow, slices, table, text_of, words_of
 
 #: Labelled documents that the model is fitted on at most; lines of a chain in fitting (longer documents are cut).
 SAMPLE_DOCUMENTS, CHAIN_LINES = 4_000, 256
@@ -54,7 +54,7 @@ def line_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     kinds = CLASSES[data]
     counts = np.zeros((6, n))
     for k in range(1, 6):
-        counts[k] = np.diff(np.concatenate(([0], np.cumsum(kinds == k, dtype=np.int64)))[ends])
+        counts[k] = np.diff(np.concatenate(([0], np.cumsum(kinds == k, dtype=np.int32)))[ends])
     size = np.diff(ends)
     seen = np.maximum(counts[1:].sum(0), 1)
     letters = np.maximum(counts[1] + counts[2], 1)
@@ -165,7 +165,7 @@ def fit(docs: DataFrame, labelled: DataFrame, most: int = SAMPLE_DOCUMENTS) -> d
     chosen = held.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, most=8 << 20):
+        for batch in slices(batches, most=3 << 20):
             x, size, starts = line_features(text_of(batch))
             rows = [np.hstack([x[a:b], size[a:b, None]]).astype("<f4").tobytes() for a, b in zip(starts[:-1], starts[1:])]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.binary())], ["doc_id", "label", "lines"])
@@ -173,7 +173,7 @@ def fit(docs: DataFrame, labelled: DataFrame, most: int = SAMPLE_DOCUMENTS) -> d
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
     # at most ``most`` ids and labels, so the smaller side has a fixed bound
     sample = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")
-    rows = sample.mapInArrow(features, "doc_id long, label int, lines binary").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
+    rows = in_arrow(sample, features, "doc_id long, label int, lines binary").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
     labels = np.array([r["label"] for r in rows], int)
     share = float(labels.mean()) if len(labels) else 0.5
     if len(set(labels.tolist())) < 2:
@@ -202,7 +202,7 @@ def scored(docs: DataFrame, model: dict, column: str = "quality_score") -> DataF
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + [f"`{column}` double"])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, most=8 << 20):
+        for batch in slices(batches, most=3 << 20):
             if "curve" in model:
                 x, size, starts = line_features(text_of(batch))
                 mean, _ = _figures(x, size, starts, model)
@@ -211,7 +211,7 @@ def scored(docs: DataFrame, model: dict, column: str = "quality_score") -> DataF
                 got = np.full(batch.num_rows, model["share"])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got)], [*batch.schema.names, column])
 
-    return docs.mapInArrow(score, schema)
+    return in_arrow(docs, score, schema)
 
 
 def held_out(doc_id: str = "doc_id"):

@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from buildlens.llm.common import gram_hashes, mixed, slices, stored, table, text_of, whole_groups, word_hashes, words_of
+from buildlens.llm.common import gram_hashes, in_arrow, mixed, slices, stored, table, text_of, whole_groups, word_hashes, words_of
 from buildlens.llm.components import components
 
 WORDS, THRESHOLD, TOLERANCE = 5, 0.8, 1e-6
@@ -80,7 +80,7 @@ def signed(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(out, pa.binary())], ["node", "doc_id", "sig"])
 
     rows = docs.select(text_key().alias("node"), F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(sign, "node binary, doc_id long, sig binary")
+    return in_arrow(rows, sign, "node binary, doc_id long, sig binary")
 
 
 def needed(threshold: float = THRESHOLD, tolerance: float = TOLERANCE, hashes: int = HASHES) -> list[int]:
@@ -228,12 +228,12 @@ def _grams(docs: DataFrame) -> DataFrame:
     schema = ", ".join([f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep] + ["grams binary"])
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, most=8 << 20):
+        for batch in slices(batches, most=3 << 20):
             flat, at = shingles(text_of(batch))
             sets = [np.unique(flat[a:b]).astype("<u8").tobytes() for a, b in zip(at[:-1], at[1:])]
             yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(c)) for c in keep], pa.array(sets, pa.binary())], [*keep, "grams"])
 
-    return docs.mapInArrow(grams, schema)
+    return in_arrow(docs, grams, schema)
 
 
 def text_classes(docs: DataFrame) -> DataFrame:
@@ -246,14 +246,14 @@ def text_classes(docs: DataFrame) -> DataFrame:
     )
     shared = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = bands.join(shared, "bucket").join(texts.select("node", "sig"), "node")
-    forest = in_chunk_pairs(members, "bucket", "n").mapInArrow(_candidate_links, "a binary, b binary")
+    forest = in_arrow(in_chunk_pairs(members, "bucket", "n"), _candidate_links, "a binary, b binary")
     groups = stored(components(forest), "groups")
     sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
     chosen = groups.join(sizes, "root").join(texts.select("node", "sig", "text_id"), "node")
     # one row of each text is read again: the one with the smallest id
     rows = docs.select(text_key().alias("_node"), F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text"))
     chosen = rows.join(chosen, (F.col("_node") == F.col("node")) & F.col("_id").eqNullSafe(F.col("text_id"))).drop("_node", "_id", "text_id")
-    exact = stored(in_chunk_pairs(_grams(chosen), "root", "n").mapInArrow(_exact_links, "node binary, links long, linked binary"), "exact")
+    exact = stored(in_arrow(in_chunk_pairs(_grams(chosen), "root", "n"), _exact_links, "node binary, links long, linked binary"), "exact")
     links = exact.groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(exact.select(F.col("node").alias("a"), F.col("linked").alias("b")))
     each = texts.drop("sig").join(links, "node", "left").join(roots, "node", "left")

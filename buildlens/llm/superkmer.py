@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from buildlens.llm.common import gram_hashes, slices, stored, table, text_of, whole_groups, word_hashes, words_of
+from buildlens.llm.common import gram_hashes, in_arrow, slices, stored, table, text_of, whole_groups, word_hashes, words_of
 
 #: Words of a window and of a minimiser; windows of one packed string at most; places that make a minimiser hot.
 WINDOW, GRAM, RUN_WINDOWS, HOT = 35, 8, 256, 2_000
@@ -73,14 +73,14 @@ def super_kmers(texts: pa.Array, window: int = WINDOW, gram: int = GRAM) -> tupl
 
 
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, most=8 << 20):
+    for batch in slices(batches, most=3 << 20):
         row, start, n, value, places = super_kmers(text_of(batch))
         ids = batch.select(["doc_id", "text_hash"]).take(pa.array(row))
         yield pa.RecordBatch.from_arrays([*ids.columns, pa.array(start, pa.int32()), pa.array(n, pa.int32()), pa.array(value), pa.array(places, pa.int32())], ["doc_id", "text_hash", "start", "n", "minimiser", "places"])
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, most=8 << 20):
+    for batch in slices(batches, most=3 << 20):
         codes, starts, distinct = words_of(text_of(batch))
         words = distinct.to_pylist()
         out: list[tuple] = []
@@ -141,18 +141,18 @@ def _single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_places(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """(doc_id, text_hash, runs of (start, marks)): windows start + mark of the row's text are repeated."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_hash().alias("text_hash"), F.col("text").cast("string").alias("text"))
-    places = stored(texts.mapInArrow(_places, "doc_id long, text_hash long, start int, n int, minimiser long, places int"), "places")
+    places = stored(in_arrow(texts, _places, "doc_id long, text_hash long, start int, n int, minimiser long, places int"), "places")
     several = places.groupBy("minimiser").agg(F.sum("places").alias("places")).filter("places > 1").select("minimiser", (F.col("places") > hot).alias("hot"))
     wanted = places.drop("places").join(several, "minimiser").groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "n", "minimiser", "hot")).alias("runs"))
     wanted = wanted.select(F.col("doc_id").alias("_doc_id"), F.col("text_hash").alias("_text_hash"), "runs")
     meet = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("text_hash") == F.col("_text_hash"))
     flagged = texts.join(wanted, meet).select("doc_id", "text_hash", "text", "runs")
-    strings = flagged.mapInArrow(_packed, "doc_id long, text_hash long, start int, minimiser long, hot boolean, packed string")
+    strings = in_arrow(flagged, _packed, "doc_id long, text_hash long, start int, minimiser long, hot boolean, packed string")
     strings = stored(strings.withColumn("string", F.unhex(F.md5("packed"))), "strings")
     distinct = strings.groupBy("minimiser", "hot", "string", "packed").agg(F.count(F.lit(1)).alias("copies"))
     cold = distinct.filter("NOT hot").repartition("minimiser").sortWithinPartitions("minimiser").select("minimiser", "string", "packed", "copies")
-    marks = cold.mapInArrow(_counted, "minimiser long, string binary, marks array<int>")
-    single = stored(distinct.filter("hot").select("minimiser", "string", "packed", "copies").mapInArrow(_single, "minimiser long, string binary, copies long, k int, words string"), "windows")
+    marks = in_arrow(cold, _counted, "minimiser long, string binary, marks array<int>")
+    single = stored(in_arrow(distinct.filter("hot").select("minimiser", "string", "packed", "copies"), _single, "minimiser long, string binary, copies long, k int, words string"), "windows")
     again = single.groupBy("words").agg(F.sum("copies").alias("times")).filter("times > 1").select("words")
     hot_marks = single.join(again, "words").groupBy("minimiser", "string").agg(F.collect_list("k").alias("marks"))
     found = marks.union(hot_marks)
@@ -169,7 +169,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     names = docs.columns
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, most=8 << 20):
+        for batch in slices(batches, most=3 << 20):
             codes, starts, distinct = words_of(text_of(batch))
             words = distinct.to_pylist()
             kept, removed = [], []
@@ -189,7 +189,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
                 [*batch.columns[: len(names)], pa.array(kept, pa.string()), pa.array(np.diff(starts)), pa.array(removed, pa.int64())], [*names, "kept", "n_words", "n_removed"]
             )
 
-    return rows.mapInArrow(cut, schema)
+    return in_arrow(rows, cut, schema)
 
 
 def cleaned(docs: DataFrame) -> DataFrame:

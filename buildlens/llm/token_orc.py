@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from buildlens.llm.common import Encoder, slices, table, text_of, with_end
+from buildlens.llm.common import Encoder, in_arrow, slices, table, text_of, with_end
 from buildlens.session import scratch_path
 
 #: ORC writer: rows for each row-index entry, bytes of a stripe, false positives of the Bloom filters.
@@ -44,7 +44,7 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id"
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     ranged = rows.repartitionByRange(F.col("doc_id").asc_nulls_first(), "text").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    return ranged.mapInArrow(encode, "file_no int, doc_id long, file_start long, n_tokens long, ids array<int>")
+    return in_arrow(ranged, encode, "file_no int, doc_id long, file_start long, n_tokens long, ids array<int>")
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, **columns: str) -> None:
@@ -87,7 +87,7 @@ def with_crc32(rows: DataFrame) -> DataFrame:
             crcs = [zlib.crc32(flat[4 * a : 4 * b]) for a, b in zip([0, *ends], ends)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return rows.select("doc_id", "start", "n_tokens", "ids").mapInArrow(sums, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return in_arrow(rows.select("doc_id", "start", "n_tokens", "ids"), sums, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op1_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
