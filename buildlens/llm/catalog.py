@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["token_orc", "evidence_language", "ngram_join", "interleave", "curve_pack", "superkmer", "line_crf", "topk", "stages"]
+MODULES = ["token_orc", "evidence_language", "ngram_join", "interleave", "curve_pack", "superkmer", "line_crf", "topk", "imatch", "stages"]
 
 
 def registered():
