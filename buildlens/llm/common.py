@@ -16,7 +16,7 @@ from buildlens.session import scratch_path
 #: Entries that a task's word cache may hold before it starts anew.
 CACHE_WORDS = 250_000
 #: Bytes of an Arrow batch on its way to and from a task's Python, so that both sides stay small with long texts.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -117,6 +117,8 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.kept: dict[str, int] = {}
         self.flat, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        #: Of the texts encoded last: codes of their parts, where each text's parts start, the distinct parts.
+        self.parts: tuple[np.ndarray, np.ndarray, pa.Array] | None = None
 
     def plain(self, texts: list[str]) -> list[np.ndarray]:
         got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -138,7 +140,7 @@ class Encoder:
         plain = pc.replace_substring(marked, " ", "\0 ")
         if pc.any(runs).as_py():
             plain = pc.if_else(runs, pc.replace_substring_regex(marked, self.SPACE, "\\1\0 "), plain)
-        codes, part_starts, distinct = self.split(plain)
+        codes, part_starts, distinct = self.parts = self.split(plain)
         piece_codes, piece_starts, pieces = self.split(pc.replace_substring_regex(distinct, self.PUNCTUATION, "\\1\0\\2"))
         rows = self.rows_of(pieces.to_pylist(), piece_codes)
         piece_ids, at = gathered(self.flat, self.ends, rows)
@@ -161,17 +163,18 @@ class Encoder:
             rows = np.fromiter(map(self.kept.__getitem__, held), np.int64, len(held))
             self.flat, self.ends = gathered(self.flat, self.ends, rows)
             self.kept = dict(zip(held, range(len(held))))
-        got: list[list[int]] = []
+        sizes, flats = [], [self.flat]
         for k in range(0, len(new), 10_000):  # the library's own results are large
-            got += [e.ids for e in self.tokenizer.encode_batch_fast(new[k : k + 10_000], add_special_tokens=False)]
-        sizes = np.fromiter(map(len, got), np.int64, len(got))
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(new[k : k + 10_000], add_special_tokens=False)]
+            sizes.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+            flats.append(np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes[-1].sum())))
         self.kept.update(zip(new, range(len(self.kept), len(self.kept) + len(new))))
-        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(got), np.uint32, int(sizes.sum()))])
-        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+        self.flat = np.concatenate(flats)
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.concatenate([*sizes, np.zeros(0, np.int64)]))])
         return np.fromiter(map(self.kept.__getitem__, parts), np.int64, len(parts))[codes]
 
 
-def slices(batches: Iterable[pa.RecordBatch], column: str = "text", most: int = 6 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterable[pa.RecordBatch], column: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batches, cut so that the texts of each take no more than ``most`` bytes (or are a single row)."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(text_of(batch, column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)

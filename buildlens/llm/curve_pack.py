@@ -19,32 +19,34 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from buildlens.llm.common import Encoder, in_arrow, mixed, slices, stored, table, text_of, with_end, word_hashes, words_of
+from buildlens.llm.common import Encoder, in_arrow, mixed, slices, stored, table, text_of, with_end, word_hashes
 
 #: Dimensions of the projection and bits of each in the key; ids of a stretch of the curve on average.
 DIMS, BITS, STRETCH_IDS = 4, 8, 4_000_000
+#: Shortest words that place a document.
+LEAST_BYTES = 5
 LENGTH, END_ID = 2048, 1
 
 
-def projected(texts: pa.Array) -> np.ndarray:
-    """A point with ``DIMS`` coordinates in 0 to 2**BITS - 1 for each text."""
-    codes, starts, words = words_of(texts)
-    n, distinct = len(texts), len(words)
-    if not len(codes):
-        return np.full((n, DIMS), 1 << (BITS - 1))
-    doc = np.repeat(np.arange(n), np.diff(starts))
-    cells, counts = np.unique(doc * distinct + codes, return_counts=True)
-    doc, word = cells // distinct, cells % distinct
-    weight = np.log1p(counts)
+def projected(codes: np.ndarray, starts: np.ndarray, words: pa.Array) -> np.ndarray:
+    """A point with ``DIMS`` coordinates in 0 to 2**BITS - 1 for each text, from its words (codes of distinct ones).
+
+    Words of fewer than ``LEAST_BYTES`` are left out: they are in most documents of a language.
+    """
+    n = len(starts) - 1
+    words = pc.utf8_trim_whitespace(words)
+    weight = pc.greater_equal(pc.binary_length(words), LEAST_BYTES).to_numpy(zero_copy_only=False).astype(float)
     hashes = mixed(word_hashes(words))
-    norm = np.sqrt(np.maximum(np.bincount(doc, weight**2, n), 1e-9))
-    sums = [np.bincount(doc, weight * (1.0 - 2.0 * ((hashes >> np.uint64(d)) & np.uint64(1)).astype(float))[word], n) for d in range(DIMS)]
+    doc = np.repeat(np.arange(n), np.diff(starts))
+    norm = np.sqrt(np.maximum(np.bincount(doc, weight[codes], n), 1))
+    sums = [np.bincount(doc, (weight * (1.0 - 2.0 * ((hashes >> np.uint64(d)) & np.uint64(1)).astype(float)))[codes], n) for d in range(DIMS)]
     # near normal values in units of their deviation; a logistic curve spreads them over the cells
-    spread = 1 / (1 + np.exp(-1.702 * np.stack(sums, 1) / norm[:, None]))
+    spread = 1 / (1 + np.exp(np.clip(-1.702 * np.stack(sums, 1) / norm[:, None], -60, 60)))
     return np.minimum((spread * (1 << BITS)).astype(np.int64), (1 << BITS) - 1)
 
 
@@ -83,7 +85,7 @@ def on_curve(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
             flat = pa.py_buffer(ids.astype("<u4").tobytes())
             binary = pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer((4 * starts).astype(np.int32).tobytes()), flat])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(hilbert(projected(texts))), pa.array(np.diff(starts)), binary], ["doc_id", "place", "n_tokens", "ids"]
+                [batch.column(0), pa.array(hilbert(projected(*encoder.parts))), pa.array(np.diff(starts)), binary], ["doc_id", "place", "n_tokens", "ids"]
             )
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))

@@ -148,14 +148,14 @@ def word_ids(words: DataFrame, pieces: DataFrame, byte_ids: list[int], fold: str
 def encoded(docs: DataFrame, pieces: DataFrame, byte_ids: list[int], fold: str = "merges") -> DataFrame:
     """(doc_id, ids) of every row."""
     pattern = FINE if pieces.filter(~F.col("piece").rlike(f"^(?:{FINE})$")).limit(1).count() == 0 else COARSE
-    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), parts_of(F.coalesce(F.col("text").cast("string"), F.lit("")), pattern).alias("parts"))
+    rows = docs.select("doc_id", parts_of(F.coalesce(F.col("text").cast("string"), F.lit("")), pattern).alias("parts"))
     words = rows.select(F.explode(F.array_distinct("parts")).alias("word")).distinct()
     known = stored(word_ids(words, pieces, byte_ids, fold), "words")
-    each = rows.select("row", F.posexplode("parts").alias("at", "word")).join(known, "word")
-    whole = each.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("at", "ids"))).alias("parts"))
-    whole = whole.select(F.col("row").alias("_row"), F.flatten(F.transform("parts", lambda p: p["ids"])).alias("ids"))
-    none = F.array().cast("array<int>")
-    return rows.select("doc_id", "row").join(whole, F.col("row") == F.col("_row"), "left").select("doc_id", F.coalesce("ids", none).alias("ids"))
+    # the row number is made and used in one branch, so it need not be the same twice
+    each = rows.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", F.posexplode_outer("parts").alias("at", "word"))
+    held = F.when(F.col("at").isNotNull(), F.struct("at", "ids"))
+    whole = each.join(known, "word", "left").groupBy("row", "doc_id").agg(F.array_sort(F.collect_list(held)).alias("parts"))
+    return whole.select("doc_id", F.flatten(F.transform("parts", lambda p: p["ids"])).alias("ids"))
 
 
 def decoded(rows: DataFrame, pieces: DataFrame, byte_ids: list[int]) -> DataFrame:
@@ -163,12 +163,11 @@ def decoded(rows: DataFrame, pieces: DataFrame, byte_ids: list[int]) -> DataFram
     spark = rows.sparkSession
     codes = pieces.select("id", F.hex(F.encode(F.replace("piece", F.lit(MARK), F.lit(" ")), "UTF-8")).alias("code"))
     codes = codes.union(spark.createDataFrame([(i, f"{b:02X}") for b, i in enumerate(byte_ids)], "id int, code string"))
-    numbered = rows.withColumn("row", F.monotonically_increasing_id())
-    each = numbered.select("row", F.posexplode("ids").alias("at", "id")).join(F.broadcast(codes), "id")
-    whole = each.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("at", "code"))).alias("codes"))
+    each = rows.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", F.posexplode_outer("ids").alias("at", "id"))
+    held = F.when(F.col("at").isNotNull(), F.struct("at", "code"))
+    whole = each.join(F.broadcast(codes), "id", "left").groupBy("row", "doc_id").agg(F.array_sort(F.collect_list(held)).alias("codes"))
     spelled = F.decode(F.unhex(F.array_join(F.transform("codes", lambda c: c["code"]), "")), "UTF-8")
-    whole = whole.select(F.col("row").alias("_row"), F.substring(spelled, 2, 1 << 30).alias("text"))
-    return numbered.select("doc_id", "row").join(whole, F.col("row") == F.col("_row"), "left").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return whole.select("doc_id", F.substring(spelled, 2, 1 << 30).alias("text"))
 
 
 def op2_lattice_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
