@@ -356,8 +356,3 @@ TTL = (
 @query("cache_lookup_ttl", with_ctes("ev", TTL))
 def _(s, d):
     return C.cache_lookup_ttl(D.cache_log(s, d), 3600)
-
-
-@query("two_tier_lookup")
-def _(s, d):
-    return C.two_tier_lookup(D.cache_log(s, d), 3600, 4 * 3600)

@@ -1,14 +1,11 @@
-"""Action-cache analytics: hits under a time to live, two tiers."""
+"""Action-cache analytics: hits under a time to live."""
 
 from __future__ import annotations
 
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from buildlens.plans.ordered import carry
-from buildlens.session import checkpointed
 
 
 def cache_lookup_ttl(log: DataFrame, ttl_seconds: int, **options) -> DataFrame:
@@ -28,81 +25,3 @@ def cache_lookup_ttl(log: DataFrame, ttl_seconds: int, **options) -> DataFrame:
         age.alias("age_us"),
         F.when(F.col("put_us").isNull(), "miss").when(age <= ttl_seconds * 1_000_000, "hit").otherwise("expired").alias("outcome"),
     )
-
-
-MAX_FOLD_ROWS = 5_000_000
-
-
-def two_tier_lookup(log: DataFrame, tier1_ttl: int, tier2_ttl: int, max_rows: int = MAX_FOLD_ROWS) -> DataFrame:
-    """Outcome of each get over a memory tier and a disk tier.
-
-    The disk entry keeps its first write time until it is found expired; a disk hit renews the memory entry. The
-    next outcome depends on the previous ones, so each key is folded in time order. A key too large for one task
-    is folded slice by slice: a slice's tasks start from the state the slice before left behind, kept as a
-    checkpointed table, so that no task ever holds more than one slice of a key.
-    """
-    from buildlens.plans.ordered import measure
-
-    rows = log.select("hash", "seq", F.unix_micros("ts").alias("us"), (F.col("op") == "put").alias("put"))
-    slicing = measure(log, ["hash"], "ts", max_rows)
-    fold = _fold(tier1_ttl * 1_000_000, tier2_ttl * 1_000_000)
-    out_schema = "hash bigint, seq bigint, outcome string, mem bigint, disk bigint"
-    spark = log.sparkSession
-    state = spark.createDataFrame([], "hash bigint, mem bigint, disk bigint")
-    if slicing.count == 1:
-        return _run(rows, state, fold, out_schema).filter(F.col("seq").isNotNull()).select("hash", "seq", "outcome")
-    rows = rows.withColumn("_s", F.floor(F.col("us") / slicing.width).cast("bigint"))
-    bounds = rows.agg(F.min("_s").alias("lo"), F.max("_s").alias("hi")).first()
-    parts = []
-    for i in range(bounds["lo"], bounds["hi"] + 1):
-        part = checkpointed(_run(rows.filter(F.col("_s") == i).drop("_s"), state, fold, out_schema))
-        parts.append(part.filter(F.col("seq").isNotNull()).select("hash", "seq", "outcome"))
-        changed = part.filter(F.col("seq").isNull()).select("hash", "mem", "disk")
-        state = checkpointed(state.join(changed, "hash", "left_anti").unionByName(changed))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def _run(rows: DataFrame, state: DataFrame, fold, out_schema: str) -> DataFrame:
-    return rows.groupBy("hash").cogroup(state.groupBy("hash")).applyInPandas(fold, out_schema)
-
-
-def _fold(ttl1: int, ttl2: int):
-    def fold(rows: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
-        columns = ["hash", "seq", "outcome", "mem", "disk"]
-        if rows.empty:
-            return pd.DataFrame(columns=columns)
-        mem = disk = None
-        if not state.empty:
-            mem, disk = (None if pd.isna(state[c].iat[0]) else int(state[c].iat[0]) for c in ("mem", "disk"))
-        ordered = rows.sort_values(["us", "put", "seq"], ascending=[True, False, True])
-        found = []
-        for seq, us, put in zip(ordered["seq"], ordered["us"], ordered["put"]):
-            if put:
-                mem = us
-                disk = us if disk is None else disk
-                continue
-            if mem is not None and us - mem <= ttl1:
-                found.append((seq, "memory"))
-                continue
-            mem = None
-            if disk is not None and us - disk <= ttl2:
-                mem = us
-                found.append((seq, "disk"))
-            else:
-                disk = None
-                found.append((seq, "miss"))
-        key = rows["hash"].iat[0]
-        out = pd.DataFrame(found, columns=["seq", "outcome"])
-        out = pd.concat([out, pd.DataFrame({"seq": [None], "outcome": [None]})], ignore_index=True)
-        out["hash"] = key
-        out["mem"] = pd.Series([None] * (len(out) - 1) + [mem], dtype="Int64")
-        out["disk"] = pd.Series([None] * (len(out) - 1) + [disk], dtype="Int64")
-        out["seq"] = out["seq"].astype("Int64")
-        return out[columns]
-
-    return fold
-
-

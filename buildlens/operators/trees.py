@@ -8,18 +8,11 @@ from pyspark.sql import functions as F
 from buildlens.functions import exprs as X
 from buildlens.session import checkpointed
 
-BROADCAST_ROWS = 100_000  # a frontier of this many paths is some tens of megabytes
-
 
 def _count(cond: Column) -> Column:
     return F.count_if(F.coalesce(cond, F.lit(False)))
 
 
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    """Broadcast only what was counted and found small; otherwise leave the join to shuffle."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
-
 def directories(nodes: DataFrame, roots: DataFrame) -> tuple[DataFrame, int]:
     """Every directory below each root with its path, level by level, and how many there are.
 
@@ -31,7 +24,7 @@ def directories(nodes: DataFrame, roots: DataFrame) -> tuple[DataFrame, int]:
     while rows:
         total += rows
         frontier = checkpointed(
-            links.join(_small(frontier, rows), "dir_hash").select(
+            links.join(frontier, "dir_hash").select(
                 "root", F.col("child_hash").alias("dir_hash"), _below("path", "name").alias("path")
             )
         )
@@ -50,7 +43,7 @@ def flatten_tree(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     that holds most files is one row on the directory side, and splits on the file side."""
     dirs, rows = directories(nodes, roots)
     files = nodes.filter(~F.col("is_dir"))
-    return files.join(_small(dirs, rows), "dir_hash").select(
+    return files.join(dirs, "dir_hash").select(
         "root",
         _below("path", "name").alias("path"),
         F.col("child_hash").alias("hash"),

@@ -47,6 +47,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         named = spark.sparkContext.getCheckpointDir()
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is not set: executors of a cluster share no local folder")
     if not named:
         named = tempfile.mkdtemp(prefix="buildlens-")
         spark.sparkContext.setCheckpointDir(named)

@@ -101,7 +101,7 @@ def id_text(key: Column, body: Column) -> Column:
 
 
 def _after(text: Column, prefix: str) -> Column:
-    return F.when(F.startswith(text, F.lit(prefix)), F.substring(text, len(prefix) + 1, 1_000_000))
+    return F.when(F.startswith(text, F.lit(prefix)), F.substr(text, F.lit(len(prefix) + 1)))
 
 
 def label_of(id_: Column) -> Column:

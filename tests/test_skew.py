@@ -104,36 +104,6 @@ def test_replay_paths_agree(spark, sf_dir):
     assert rows(E.transition_replay(log)) == rows(E.transition_replay(log, max_rows=10))
 
 
-def loop_two_tier(log, t1, t2):
-    state, out = {}, []
-    for r in sorted(log, key=lambda r: (r.ts, r.op != "put", r.seq)):
-        us = r.ts.timestamp()
-        mem, disk = state.get(r.hash, (None, None))
-        if r.op == "put":
-            mem, disk = us, us if disk is None else disk
-        elif mem is not None and us - mem <= t1:
-            out.append((r.hash, r.seq, "memory"))
-        else:
-            mem = None
-            if disk is not None and us - disk <= t2:
-                mem = us
-                out.append((r.hash, r.seq, "disk"))
-            else:
-                disk = None
-                out.append((r.hash, r.seq, "miss"))
-        state[r.hash] = (mem, disk)
-    return sorted(out)
-
-
-def test_two_tier_against_a_loop(spark, sf_dir):
-    log = D.cache_log(spark, sf_dir).withColumn("hash", F.col("hash") % 3)
-    want = loop_two_tier(log.collect(), 3600, 20000)
-    assert {w[2] for w in want} == {"memory", "disk", "miss"}
-    for limit in (10**6, 150):
-        got = C.two_tier_lookup(log, 3600, 20000, max_rows=limit).select("hash", "seq", "outcome").collect()
-        assert sorted(map(tuple, got)) == want
-
-
 def loop_merge(requests):
     flying, out = {}, {}
     for h, seq, at, done in sorted(requests, key=lambda r: (r[2], r[1])):
