@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 from collections.abc import Iterable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -111,17 +111,25 @@ class Encoder:
     PUNCTUATION = "([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff])([!-/:-@\\[-`{-~])"
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import AddedToken, Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+        self.path = path
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.kept: dict[str, int] = {}
+        # parts are encoded in one text, with a token of its own after each
+        self.tokenizer.add_tokens([AddedToken("\0", normalized=False, special=False)])
+        self.mark = self.tokenizer.token_to_id("\0")
+        self.kept = pa.array([], pa.string())
         self.flat, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
-        #: Of the texts encoded last: codes of their parts, where each text's parts start, the distinct parts.
-        self.parts: tuple[np.ndarray, np.ndarray, pa.Array] | None = None
 
     def plain(self, texts: list[str]) -> list[np.ndarray]:
-        got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        """Ids of texts that may hold the mark."""
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(self.path)
+        tokenizer.encode_special_tokens = True
+        got = tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, np.uint32) for e in got]
 
     @staticmethod
@@ -140,9 +148,9 @@ class Encoder:
         plain = pc.replace_substring(marked, " ", "\0 ")
         if pc.any(runs).as_py():
             plain = pc.if_else(runs, pc.replace_substring_regex(marked, self.SPACE, "\\1\0 "), plain)
-        codes, part_starts, distinct = self.parts = self.split(plain)
+        codes, part_starts, distinct = self.split(plain)
         piece_codes, piece_starts, pieces = self.split(pc.replace_substring_regex(distinct, self.PUNCTUATION, "\\1\0\\2"))
-        rows = self.rows_of(pieces.to_pylist(), piece_codes)
+        rows = self.rows_of(pieces)[piece_codes]
         piece_ids, at = gathered(self.flat, self.ends, rows)
         ids, first = gathered(piece_ids, at[piece_starts], codes)
         starts = first[part_starts]
@@ -155,23 +163,29 @@ class Encoder:
             starts = np.concatenate(([0], np.cumsum([len(p) for p in each])))
         return ids, starts
 
-    def rows_of(self, parts: list[str], codes: np.ndarray) -> np.ndarray:
-        """Where ``flat`` holds the ids of the parts that ``codes`` number; new parts are encoded and added."""
-        new = [p for p in parts if p not in self.kept]
-        if self.kept and len(self.kept) + len(new) > CACHE_WORDS:  # keep what this batch needs too
-            held = [p for p in parts if p in self.kept]
-            rows = np.fromiter(map(self.kept.__getitem__, held), np.int64, len(held))
-            self.flat, self.ends = gathered(self.flat, self.ends, rows)
-            self.kept = dict(zip(held, range(len(held))))
-        sizes, flats = [], [self.flat]
+    def rows_of(self, parts: pa.Array) -> np.ndarray:
+        """Where ``flat`` holds the ids of the parts; new parts are encoded and added."""
+        at = pc.index_in(parts, value_set=self.kept)
+        fresh = pc.is_null(at)
+        new = parts.filter(fresh)
+        fresh = fresh.to_numpy(zero_copy_only=False)
+        rows = pc.fill_null(at, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        if len(self.kept) and len(self.kept) + len(new) > CACHE_WORDS:  # keep what this batch needs too
+            self.flat, self.ends = gathered(self.flat, self.ends, rows[~fresh])
+            self.kept = parts.filter(pa.array(~fresh))
+            rows[~fresh] = np.arange(len(self.kept))
+        rows[fresh] = len(self.kept) + np.arange(len(new))
+        sizes, flats = [np.zeros(0, np.int64)], [self.flat]
         for k in range(0, len(new), 10_000):  # the library's own results are large
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(new[k : k + 10_000], add_special_tokens=False)]
-            sizes.append(np.fromiter(map(len, ids), np.int64, len(ids)))
-            flats.append(np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes[-1].sum())))
-        self.kept.update(zip(new, range(len(self.kept), len(self.kept) + len(new))))
+            text = "\0".join([*new.slice(k, 10_000).to_pylist(), ""])
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(ids == self.mark)
+            sizes.append(np.diff(ends, prepend=-1) - 1)
+            flats.append(np.delete(ids, ends))
         self.flat = np.concatenate(flats)
-        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.concatenate([*sizes, np.zeros(0, np.int64)]))])
-        return np.fromiter(map(self.kept.__getitem__, parts), np.int64, len(parts))[codes]
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.concatenate(sizes))])
+        self.kept = pa.concat_arrays([self.kept, new])
+        return rows
 
 
 def slices(batches: Iterable[pa.RecordBatch], column: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:

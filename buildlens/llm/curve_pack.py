@@ -1,7 +1,7 @@
 """Packing along a space-filling curve.
 
-A document's words are hashed to random signs in ``DIMS`` dimensions; the normalised sums are a projection of its word
-counts, in which documents of like words lie close. The Hilbert key of the projected point orders the documents on one
+A document's tokens are hashed to random signs in ``DIMS`` dimensions; the normalised sums are a projection of its token
+counts, in which documents of like tokens lie close. The Hilbert key of the projected point orders the documents on one
 curve. A range sort by that key deals the curve into stretches, and each stretch's documents are laid end to end and cut
 every ``length`` ids, so neighbours on the curve share a sequence. Only the last sequence of a stretch is not full, and
 the number of stretches follows the number of ids, so padding stays below ``length / STRETCH_IDS`` of them.
@@ -28,25 +28,27 @@ from buildlens.llm.common import Encoder, in_arrow, mixed, slices, stored, table
 
 #: Dimensions of the projection and bits of each in the key; ids of a stretch of the curve on average.
 DIMS, BITS, STRETCH_IDS = 4, 8, 4_000_000
-#: Shortest words that place a document.
-LEAST_BYTES = 5
+#: Shortest tokens that place a document.
+LEAST_BYTES = 4
 LENGTH, END_ID = 2048, 1
 
 
-def projected(codes: np.ndarray, starts: np.ndarray, words: pa.Array) -> np.ndarray:
-    """A point with ``DIMS`` coordinates in 0 to 2**BITS - 1 for each text, from its words (codes of distinct ones).
+def directions(encoder: Encoder) -> np.ndarray:
+    """For each token id its sign in each dimension and, last, its weight: 0 for tokens of fewer than ``LEAST_BYTES``,
+    which are in most documents of a language."""
+    size = encoder.mark
+    names = pa.array([(encoder.tokenizer.id_to_token(k) or "").removesuffix("</w>") for k in range(size)], pa.string())
+    weight = pc.greater_equal(pc.binary_length(names), LEAST_BYTES).to_numpy(zero_copy_only=False).astype(np.int32)
+    hashes = mixed(word_hashes(names))
+    signs = [1 - 2 * ((hashes >> np.uint64(d)) & np.uint64(1)).astype(np.int32) for d in range(DIMS)]
+    return np.stack([*(s * weight for s in signs), weight])
 
-    Words of fewer than ``LEAST_BYTES`` are left out: they are in most documents of a language.
-    """
-    n = len(starts) - 1
-    words = pc.utf8_trim_whitespace(words)
-    weight = pc.greater_equal(pc.binary_length(words), LEAST_BYTES).to_numpy(zero_copy_only=False).astype(float)
-    hashes = mixed(word_hashes(words))
-    doc = np.repeat(np.arange(n), np.diff(starts))
-    norm = np.sqrt(np.maximum(np.bincount(doc, weight[codes], n), 1))
-    sums = [np.bincount(doc, (weight * (1.0 - 2.0 * ((hashes >> np.uint64(d)) & np.uint64(1)).astype(float)))[codes], n) for d in range(DIMS)]
+
+def projected(ids: np.ndarray, starts: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """A point with ``DIMS`` coordinates in 0 to 2**BITS - 1 for each text, from its ids (at least one each)."""
+    *sums, norm = (np.add.reduceat(one[ids], starts[:-1], dtype=np.int64) for one in table)
     # near normal values in units of their deviation; a logistic curve spreads them over the cells
-    spread = 1 / (1 + np.exp(np.clip(-1.702 * np.stack(sums, 1) / norm[:, None], -60, 60)))
+    spread = 1 / (1 + np.exp(np.clip(-1.702 * np.stack(sums, 1) / np.sqrt(np.maximum(norm, 1))[:, None], -60, 60)))
     return np.minimum((spread * (1 << BITS)).astype(np.int64), (1 << BITS) - 1)
 
 
@@ -79,13 +81,14 @@ def on_curve(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(tokenizer)
+        signs = directions(encoder)
         for batch in slices(batches):
             texts = text_of(batch)
             ids, starts = with_end(*encoder.encode(texts), end_id)
             flat = pa.py_buffer(ids.astype("<u4").tobytes())
             binary = pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer((4 * starts).astype(np.int32).tobytes()), flat])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(hilbert(projected(*encoder.parts))), pa.array(np.diff(starts)), binary], ["doc_id", "place", "n_tokens", "ids"]
+                [batch.column(0), pa.array(hilbert(projected(ids, starts, signs))), pa.array(np.diff(starts)), binary], ["doc_id", "place", "n_tokens", "ids"]
             )
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))

@@ -6,7 +6,7 @@ one number for each file, the ids of the files before it, to know the place in t
 parallel; a lookup of some documents skips files, stripes and row groups by their statistics and Bloom filters.
 
 Null and empty texts give the end id alone. Null document ids come first. Rows that share an id follow each other in
-the order of their texts; rows equal in both are kept. Other columns are not read. An empty table gives no rows.
+the order of their texts' hashes; rows equal in both are kept. Other columns are not read. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -43,7 +43,9 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id"
             place += int(starts[-1])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    ranged = rows.repartitionByRange(F.col("doc_id").asc_nulls_first(), "text").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    # bounds of the ranges are sampled to the driver, so a hash stands for the text
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order, "text")
     return in_arrow(ranged, encode, "file_no int, doc_id long, file_start long, n_tokens long, ids array<int>")
 
 
@@ -56,7 +58,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
         .option("orc.stripe.size", str(STRIPE_BYTES))
         .option("orc.bloom.filter.columns", "doc_id")
         .option("orc.bloom.filter.fpp", str(BLOOM_FPP))
-        .option("compression", "zlib")
+        .option("compression", "zstd")
         .orc(path)
     )
 
