@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -170,24 +171,32 @@ class Encoder:
         new = parts.filter(fresh)
         fresh = fresh.to_numpy(zero_copy_only=False)
         rows = pc.fill_null(at, 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        if len(self.kept) and len(self.kept) + len(new) > CACHE_WORDS:  # keep what this batch needs too
-            self.flat, self.ends = gathered(self.flat, self.ends, rows[~fresh])
-            self.kept = parts.filter(pa.array(~fresh))
-            rows[~fresh] = np.arange(len(self.kept))
-        rows[fresh] = len(self.kept) + np.arange(len(new))
-        sizes, flats = [np.zeros(0, np.int64)], [self.flat]
+        flat, ends, kept = self.flat, self.ends, self.kept
+        if len(kept) and len(kept) + len(new) > CACHE_WORDS:  # keep what this batch needs too
+            flat, ends = gathered(flat, ends, rows[~fresh])
+            kept = parts.filter(pa.array(~fresh))
+            rows[~fresh] = np.arange(len(kept))
+        rows[fresh] = len(kept) + np.arange(len(new))
+        sizes, flats = [np.zeros(0, np.int64)], [flat]
         for k in range(0, len(new), 10_000):  # the library's own results are large
             text = "\0".join([*new.slice(k, 10_000).to_pylist(), ""])
             ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
-            ends = np.flatnonzero(ids == self.mark)
-            sizes.append(np.diff(ends, prepend=-1) - 1)
-            flats.append(np.delete(ids, ends))
-        self.flat = np.concatenate(flats)
-        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(np.concatenate(sizes))])
-        self.kept = pa.concat_arrays([self.kept, new])
+            cuts = np.flatnonzero(ids == self.mark)
+            sizes.append(np.diff(cuts, prepend=-1) - 1)
+            flats.append(np.delete(ids, cuts))
+        ends = np.concatenate([ends, ends[-1] + np.cumsum(np.concatenate(sizes))])
+        # all at once, as a later task of this Python process goes on with them
+        self.flat, self.ends, self.kept = np.concatenate(flats), ends, pa.concat_arrays([kept, new])
         return rows
 
 
+@lru_cache(maxsize=2)
+def encoder_of(path: str) -> Encoder:
+    """The encoder of this Python process: tasks that follow each other in it share the parts it keeps, whose number has
+    a bound."""
+    return Encoder(path)
+
+
 def slices(batches: Iterable[pa.RecordBatch], column: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batches, cut so that the texts of each take no more than ``most`` bytes (or are a single row)."""
     for batch in batches:

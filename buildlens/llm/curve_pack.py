@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from buildlens.llm.common import Encoder, in_arrow, mixed, slices, stored, table, text_of, with_end, word_hashes
+from buildlens.llm.common import encoder_of, in_arrow, mixed, slices, stored, table, text_of, with_end, word_hashes
 
 #: Dimensions of the projection and bits of each in the key; ids of a stretch of the curve on average.
 DIMS, BITS, STRETCH_IDS = 4, 8, 4_000_000
@@ -33,11 +34,12 @@ LEAST_BYTES = 4
 LENGTH, END_ID = 2048, 1
 
 
-def directions(encoder: Encoder) -> np.ndarray:
+@lru_cache(maxsize=2)
+def directions(tokenizer: str) -> np.ndarray:
     """For each token id its sign in each dimension and, last, its weight: 0 for tokens of fewer than ``LEAST_BYTES``,
     which are in most documents of a language."""
-    size = encoder.mark
-    names = pa.array([(encoder.tokenizer.id_to_token(k) or "").removesuffix("</w>") for k in range(size)], pa.string())
+    encoder = encoder_of(tokenizer)
+    names = pa.array([(encoder.tokenizer.id_to_token(k) or "").removesuffix("</w>") for k in range(encoder.mark)], pa.string())
     weight = pc.greater_equal(pc.binary_length(names), LEAST_BYTES).to_numpy(zero_copy_only=False).astype(np.int32)
     hashes = mixed(word_hashes(names))
     signs = [1 - 2 * ((hashes >> np.uint64(d)) & np.uint64(1)).astype(np.int32) for d in range(DIMS)]
@@ -80,8 +82,7 @@ def on_curve(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """(doc_id, place, n_tokens, ids) with ids as little-endian unsigned 32-bit integers."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
-        signs = directions(encoder)
+        encoder, signs = encoder_of(tokenizer), directions(tokenizer)
         for batch in slices(batches):
             texts = text_of(batch)
             ids, starts = with_end(*encoder.encode(texts), end_id)

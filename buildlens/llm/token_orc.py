@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from buildlens.llm.common import Encoder, in_arrow, slices, table, text_of, with_end
+from buildlens.llm.common import encoder_of, in_arrow, slices, table, text_of, with_end
 from buildlens.session import scratch_path
 
 #: ORC writer: rows for each row-index entry, bytes of a stripe, false positives of the Bloom filters.
@@ -30,7 +30,7 @@ def encoded(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id"
     """(file_no, doc_id, file_start, n_tokens, ids) in ascending order of ids within each partition."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, place, file_no = Encoder(tokenizer), 0, TaskContext.get().partitionId()
+        encoder, place, file_no = encoder_of(tokenizer), 0, TaskContext.get().partitionId()
         for batch in slices(batches):
             ids, starts = with_end(*encoder.encode(text_of(batch)), end_id)
             n = batch.num_rows
