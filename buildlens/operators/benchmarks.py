@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from buildlens import schemas as S
 from buildlens.plans import ranks as R
+from buildlens.plans.ordered import null_safe_join
 
 
 def _count(cond: Column) -> Column:
@@ -42,7 +43,7 @@ def latency_summary(samples: DataFrame, keys: list[str], value: str = "duration"
         *[F.max(F.when(F.col("name") == k, F.col("value"))).alias(k) for k in ("low_mid", "high_mid", "p95", "p99")]
     )
     zero = F.lit(0.0)
-    return base.join(wide, keys, "left").select(
+    return null_safe_join(base, wide, keys).select(
         *keys,
         "n",
         *[F.coalesce(F.col(c).cast("double"), zero).alias(c) for c in ("min", "max", "mean")],
@@ -93,7 +94,7 @@ def stampede_verdict(samples: DataFrame, keys: list[str]) -> DataFrame:
         .when(F.col("errors") > F.col("total") * 0.05, "critical")
         .otherwise("warning")
     )
-    return base.join(p99, keys, "left").withColumn("ratio", ratio).withColumn("verdict", verdict)
+    return null_safe_join(base, p99, keys).withColumn("ratio", ratio).withColumn("verdict", verdict)
 
 
 def blocking_score(timings: DataFrame, keys: list[str]) -> DataFrame:

@@ -11,30 +11,50 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BANDS_PER_OCTAVE = 4096
+from buildlens.plans.ordered import null_safe_join, order_number
+
+BANDS_PER_OCTAVE, PARTS = 256, 4096
+#: Above the distance of any two binary exponents of doubles.
+EXPONENTS = 1100
 
 
 def band(value: Column) -> Column:
-    """Monotone coarse band of a number: sign and a fine logarithm, a few thousand bands for any data."""
-    level = F.floor(F.log2(F.abs(value) + 1.0) * BANDS_PER_OCTAVE)
-    return (F.signum(value) * level).cast("bigint")
+    """Monotone coarse band of a number: its sign and logarithm, 256 bands for each doubling, however small or large."""
+    v = value.cast("double")
+    level = F.floor((F.log2(F.abs(v)) + EXPONENTS) * BANDS_PER_OCTAVE)
+    return F.when(F.isnan(v), 1 << 40).when(v == 0, 0).otherwise(F.signum(v) * level).cast("bigint")
+
+
+def _with_offset(counts: DataFrame, by: list[str], order: str, wanted: DataFrame, on: list[str]) -> DataFrame:
+    """The row of ``counts`` (``_n`` rows each, in ``order`` within ``by``) in which each ``_offset`` falls, with what is left of it."""
+    run = F.sum("_n").over(Window.partitionBy(*by).orderBy(order))
+    met = null_safe_join(wanted, counts.withColumn("_upto", run), on, "inner")
+    before = F.col("_upto") - F.col("_n")
+    return met.filter((F.col("_offset") >= before) & (F.col("_offset") < F.col("_upto"))).withColumn("_offset", F.col("_offset") - before)
 
 
 def values_at(df: DataFrame, keys: list[str], value: str, positions: DataFrame) -> DataFrame:
-    """``positions``: keys + name + pos (0-based rank within the group) -> keys + name + value at that rank."""
-    counted = df.groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    counted = counted.withColumn("_band", band(F.col("_v")))
-    bands = counted.groupBy(*keys, "_band").agg(F.sum("_c").alias("_n"))
-    w = Window.partitionBy(*keys).orderBy("_band")
-    bands = bands.withColumn("_upto", F.sum("_n").over(w)).withColumn("_before", F.col("_upto") - F.col("_n"))
-    wanted = bands.join(positions, keys).filter((F.col("pos") >= F.col("_before")) & (F.col("pos") < F.col("_upto")))
-    wanted = wanted.select(*keys, "_band", "name", (F.col("pos") - F.col("_before")).alias("_offset"))
-    inside = Window.partitionBy(*keys, "_band", "name").orderBy("_v")
+    """``positions``: keys + name + pos (0-based rank within the group) -> keys + name + value at that rank.
+
+    The band of the position is found first, then its part among equal parts between the band's own least and largest
+    value; only the distinct values of that part are ordered. Null keys are a group.
+    """
+    counted = df.groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c")).withColumn("_band", band(F.col("_v")))
+    number = F.col("_v").cast("double")
+    bands = counted.groupBy(*keys, "_band").agg(F.sum("_c").alias("_n"), F.min(number).alias("_lo"), F.max(number).alias("_hi"))
+    wanted = _with_offset(bands, keys, "_band", positions.select(*keys, "name", F.col("pos").alias("_offset")), keys)
+    rows = null_safe_join(counted, wanted.select(*keys, "_band", "name", "_offset", "_lo", "_hi"), [*keys, "_band"], "inner")
+    share = (number - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
+    rows = rows.withColumn("_part", F.when(F.col("_hi") > F.col("_lo"), F.floor(share * (PARTS - 1))).otherwise(0))
+    named = [*keys, "name"]
+    parts = rows.groupBy(*named, "_part").agg(F.sum("_c").alias("_n"))
+    chosen = _with_offset(parts, named, "_part", rows.groupBy(*named).agg(F.first("_offset").alias("_offset")), named)
+    final = null_safe_join(rows.drop("_offset"), chosen.select(*named, "_part", "_offset"), [*named, "_part"], "inner")
+    run = F.sum("_c").over(Window.partitionBy(*named).orderBy("_v"))
     return (
-        counted.join(wanted, [*keys, "_band"])
-        .withColumn("_run", F.sum("_c").over(inside))
+        final.withColumn("_run", run)
         .filter((F.col("_offset") >= F.col("_run") - F.col("_c")) & (F.col("_offset") < F.col("_run")))
-        .select(*keys, "name", F.col("_v").alias("value"))
+        .select(*named, F.col("_v").alias("value"))
     )
 
 
@@ -90,29 +110,29 @@ def cut_point(df: DataFrame, number: str, weight: str, target: int) -> tuple[int
     return lo, before
 
 
-def prefix_rows(df: DataFrame, number: str, weight: str, target: int, tie: str) -> DataFrame:
-    """Rows, in order of ``number`` then ``tie``, whose predecessors weigh less than ``target``.
+def _first_by_digest(ties: DataFrame, weight: str, target: int, tie: str) -> DataFrame:
+    """Rows, in order of a hex digest, whose predecessors weigh less than ``target``; narrowed by its leading digits."""
+    ties = ties.withColumn("_tie_number", F.conv(F.substring(F.col(tie), 1, 12), 16, 10).cast("bigint"))
+    t, before = cut_point(ties, "_tie_number", weight, target)
+    run = F.sum(weight).over(Window.partitionBy("_tie_number").orderBy(tie)) - F.col(weight)
+    edge = ties.filter(F.col("_tie_number") == t).withColumn("_run", run).filter(F.col("_run") < target - before).drop("_run")
+    return ties.filter(F.col("_tie_number") < t).unionByName(edge).drop("_tie_number")
 
-    All rows before the cut value qualify outright; rows that share the cut value are settled by ``tie``, which
-    is a hex digest and is narrowed by its leading digits in the same way.
-    """
+
+def prefix_rows(df: DataFrame, number: str, weight: str, target: int, tie: str) -> DataFrame:
+    """Rows, in order of ``number`` (a whole number or a timestamp, nulls first) then ``tie``, whose predecessors weigh
+    less than ``target``. All rows before the cut value qualify outright; rows that share it are settled by ``tie``."""
     if target <= 0:
         return df.filter(F.lit(False))
-    cut = cut_point(df, number, weight, target)
+    unknown = df.filter(F.col(number).isNull())
+    weighed = int(unknown.agg(F.coalesce(F.sum(weight), F.lit(0)).alias("w")).first()["w"])
+    if weighed >= target:
+        return _first_by_digest(unknown, weight, target, tie)
+    whole = dict(df.dtypes)[number] in ("tinyint", "smallint", "int", "bigint")
+    known = df.filter(F.col(number).isNotNull()).withColumn("_no", F.col(number) if whole else order_number(df, number))
+    cut = cut_point(known, "_no", weight, target - weighed)
     if cut is None:
         return df
     x, before = cut
-    ties = df.filter(F.col(number) == x).withColumn(
-        "_tie_number", F.conv(F.substring(F.col(tie), 1, 12), 16, 10).cast("bigint")
-    )
-    inner = cut_point(ties, "_tie_number", weight, target - before)
-    t, t_before = inner
-    w = Window.partitionBy("_tie_number").orderBy(tie)
-    edge = (
-        ties.filter(F.col("_tie_number") == t)
-        .withColumn("_run", F.sum(weight).over(w) - F.col(weight))
-        .filter(F.col("_run") < target - before - t_before)
-        .drop("_run")
-    )
-    whole = ties.filter(F.col("_tie_number") < t)
-    return df.filter(F.col(number) < x).unionByName(whole.unionByName(edge).drop("_tie_number"))
+    edge = _first_by_digest(known.filter(F.col("_no") == x), weight, target - weighed - before, tie)
+    return unknown.unionByName(known.filter(F.col("_no") < x).unionByName(edge).drop("_no"))

@@ -2,19 +2,26 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from buildlens.functions import exprs as X
 
+SCHEME = "^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?"
+
 
 def digests_of_listing(listing: DataFrame, root: str) -> DataFrame:
     """Digest from the path below ``root``: one part, or two level directories and the rest; 64 characters in all.
 
-    Anything else, and everything below a dot-entry, is not a blob.
+    Anything else, and everything below a dot-entry, is not a blob. A path that is not below ``root`` is an error.
     """
-    base = root.rstrip("/")
-    relative = F.regexp_replace(F.regexp_replace("path", "^file:/+", "/"), "^" + base.replace(".", r"\.") + "/", "")
+    # the scheme and its authority are left out on both sides, as listings may or may not carry them
+    base = re.sub(SCHEME, "", root).rstrip("/") + "/"
+    bare = F.regexp_replace("path", SCHEME, "")
+    outside = F.raise_error(F.concat(F.lit(f"not below {base}: "), F.col("path")))
+    relative = F.when(F.startswith(bare, F.lit(base)), F.substr(bare, F.lit(len(base) + 1))).otherwise(outside)
     parts = F.split(relative, "/")
     joined = F.when(F.size(parts).isin(1, 3), F.array_join(parts, ""))
     hidden = relative.rlike(r"(^|/)\.")

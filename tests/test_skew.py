@@ -172,3 +172,41 @@ def test_find_missing_with_a_hot_digest(spark):
     store = spark.createDataFrame([("x0", 1), ("x3", 2)], "hash string, size_bytes bigint")
     got = sorted(r.request_id for r in B.find_missing_blobs(asked, store).collect())
     assert got == [i for i in range(30) if i != 0]
+
+
+def test_percentiles_of_null_groups_and_of_any_magnitude(spark):
+    rnd = random.Random(11)
+    for low, high in ((1e-5, 1.1e-5), (1e12, 1e12 + 5e4), (-3.0, 3.0)):
+        values = [rnd.uniform(low, high) for _ in range(5000)] + [low, low, 0.0]
+        df = spark.createDataFrame([(None if k % 2 else "a", v) for k, v in enumerate(values)], "op string, duration double")
+        got = {(r.op, r.percentile): r.value for r in R.nearest_rank(df, ["op"], "duration", [0, 50, 95, 100]).collect()}
+        for op, own in ((None, sorted(values[1::2])), ("a", sorted(values[::2]))):
+            assert [got[op, p] for p in (0, 50, 95, 100)] == [own[min(len(own) * p // 100, len(own) - 1)] for p in (0, 50, 95, 100)]
+
+
+def test_bands_split_small_and_large_values(spark):
+    for low in (1e-5, 1e12):
+        values = spark.range(100_000).select((F.lit(low) * (1 + F.col("id") / 100_000)).alias("v"))
+        assert values.groupBy(R.band(F.col("v"))).count().agg(F.max("count")).first()[0] < 1000
+
+
+def test_eviction_by_instants_with_unknown_ones(spark):
+    rows = [(f"{k:064x}", 10, None if k % 5 == 0 else k // 3) for k in range(60)]
+    blobs = spark.createDataFrame(rows, "hash string, size_bytes bigint, s bigint").withColumn("last_access", F.timestamp_seconds("s"))
+    order = sorted(rows, key=lambda r: (r[2] is not None, r[2] or 0, r[0]))
+    for limit in (595, 555, 480, 100, 0):
+        want = {r[0] for k, r in enumerate(order) if 10 * k < 600 - limit}
+        assert {r.hash for r in B.eviction_plan(blobs, limit).collect()} == want
+
+
+def test_listing_of_any_file_system(spark):
+    from pyspark.errors import SparkRuntimeException
+
+    from buildlens.sources.inventory import digests_of_listing
+
+    digest = "ab" * 32
+    for path, root in (("hdfs://nn/store/", "hdfs://nn/store"), ("file:/a[1]/b.c/", "/a[1]/b.c/"), ("/s/", "file:///s")):
+        listing = spark.createDataFrame([(path + digest,), (path + ".tmp/" + digest,)], "path string")
+        assert [r.hash for r in digests_of_listing(listing, root).collect()] == [digest]
+    with pytest.raises(SparkRuntimeException):
+        digests_of_listing(spark.createDataFrame([("/other/" + digest,)], "path string"), "/s").collect()
