@@ -39,12 +39,15 @@ def lexicon(texts: DataFrame) -> DataFrame:
     """(term, mask): terms of the band, and as bits the subsets that keep them."""
     total = texts.count()
     least, most = max(LEAST_DOCUMENTS, total * math.exp(-HIGH_IDF)), max(total * math.exp(-LOW_IDF), LEAST_DOCUMENTS)
-    counts = texts.select(F.explode(terms_of(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    # every text has a term, if only the empty one; an inner explode would split the texts once more to look for none
+    counts = texts.select(F.explode_outer(terms_of(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    # written first: a filter on the masks of an aggregate would be moved below it and make them for every word of every text
+    band = stored(counts.filter((F.col("term") != "") & F.col("n").between(least, most)).select("term"), "band")
     mask = F.lit(0).cast("long")
     for k in range(SUBSETS):
         kept = F.pmod(F.xxhash64("term", F.lit(k)), F.lit(RATES[k % len(RATES)])) == 0
         mask = mask.bitwiseOR(F.when(kept, F.lit(1 << k)).otherwise(F.lit(0)).cast("long"))
-    return counts.filter((F.col("term") != "") & F.col("n").between(least, most)).select("term", mask.alias("mask")).filter("mask <> 0")
+    return band.select("term", mask.alias("mask")).filter("mask <> 0")
 
 
 def fingerprint(terms: Column, digest: Column) -> Column:
