@@ -112,15 +112,18 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     if words.count() <= LEXICON_TERMS:
         words = F.broadcast(words)
 
+    # words travel with their text's place alone; the text's own columns are in one more row, which also keeps texts without terms
+    row = F.struct("doc_id", "text_hash", "n_chars", "sha256", "edited_sha256")
+    mark = F.array(F.struct(F.lit(2).alias("side"), F.concat(F.lit(" "), "place").alias("term"), row.alias("row")))
+
     def side(k: int, column: str) -> Column:
-        return F.transform(terms_of(F.col(column)), lambda t: F.struct(F.lit(k).alias("side"), t.alias("term")))
+        return F.transform(terms_of(F.col(column)), lambda t: F.struct(F.lit(k).alias("side"), t.alias("term"), F.when(F.lit(False), row).alias("row")))
 
-    keys = ["bin", "place", "doc_id", "text_hash", "n_chars", "sha256", "edited_sha256"]
-    mark = F.array(F.struct(F.lit(2).alias("side"), F.lit("").alias("term")))  # keeps texts without terms
-    each = texts.select(*keys, F.explode(F.concat(mark, side(0, "text"), side(1, "edited"))).alias("t")).select(*keys, "t.side", "t.term")
+    each = texts.select("bin", "place", F.explode_outer(F.concat(mark, side(0, "text"), side(1, "edited"))).alias("t")).select("bin", "place", "t.*")
     met = each.join(words, "term", "left").filter((F.col("side") == 2) | F.col("mask").isNotNull())
     term = F.struct("term", "mask")
-    met = met.groupBy(*keys).agg(*[F.collect_list(F.when(F.col("side") == k, term)).alias(f"terms{k}") for k in (0, 1)])
+    met = met.groupBy("bin", "place").agg(F.first("row", True).alias("row"), *[F.collect_list(F.when(F.col("side") == k, term)).alias(f"terms{k}") for k in (0, 1)])
+    met = met.select("bin", "row.*", "terms0", "terms1")
     done = met.select(
         "bin", "doc_id", "text_hash", "n_chars", "edited_sha256", fingerprint(F.col("terms0"), F.col("sha256")).alias("own"), fingerprint(F.col("terms1"), F.col("edited_sha256")).alias("edited")
     )
