@@ -28,6 +28,8 @@ from buildlens.llm.common import stored, table
 LOW_IDF, HIGH_IDF, LEAST_DOCUMENTS = 2.0, 6.5, 2
 SUBSETS, RATES, DIGITS = 48, (32, 128, 512), 6
 LEXICON_TERMS = 500_000
+#: Subsets whose terms are picked from a text's terms in one go.
+TOGETHER = 6
 EMPTY = "-" * DIGITS
 
 
@@ -52,15 +54,22 @@ def lexicon(texts: DataFrame) -> DataFrame:
 
 def fingerprint(terms: Column, digest: Column) -> Column:
     """Hashes of the sorted (term, mask) of each subset; ``digest`` stands in for texts without terms."""
-    bits = F.array(*[F.lit(1 << b).cast("long") for b in range(SUBSETS)])
+    bits = [F.array(*[F.lit(1 << b).cast("long") for b in range(first, min(first + TOGETHER, SUBSETS))]) for first in range(0, SUBSETS, TOGETHER)]
 
+    def of(held: Column, mask: Column) -> Column:
+        return F.filter(held, lambda t: t["mask"].bitwiseAND(mask) != 0)
+
+    # arrays of one element, here and below, so that what they hold is worked out once and not for each use
     def one(held: Column, bit: Column) -> Column:
-        own = F.transform(F.filter(held, lambda t: t["mask"].bitwiseAND(bit) != 0), lambda t: t["term"])
-        joined = F.concat_ws(" ", own)
-        return F.when(joined == "", F.lit(EMPTY)).otherwise(F.substring(F.md5(joined.cast("binary")), 1, DIGITS))
+        joined = F.concat_ws(" ", F.transform(of(held, bit), lambda t: t["term"]))
+        return F.transform(F.array(joined), lambda own: F.when(own == "", F.lit(EMPTY)).otherwise(F.substring(F.md5(own.cast("binary")), 1, DIGITS)))[0]
+
+    def together(held: Column, k: int) -> Column:
+        """Hashes of neighbouring subsets: few terms are in any of them, and only these are looked through for each."""
+        mask = sum(1 << b for b in range(k * TOGETHER, min((k + 1) * TOGETHER, SUBSETS)))
+        return F.transform(F.array(of(held, F.lit(mask).cast("long"))), lambda few: F.transform(bits[k], lambda bit: one(few, bit)))[0]
 
-    # an array of one sorted array, so that it is sorted once and not for each subset
-    hashes = F.transform(F.array(F.array_sort(terms)), lambda held: F.transform(bits, lambda bit: one(held, bit)))[0]
+    hashes = F.transform(F.array(F.sort_array(terms)), lambda held: F.concat(*[together(held, k) for k in range(len(bits))]))[0]
     return F.when(F.size(terms) == 0, F.array_repeat(F.substring(digest, 1, DIGITS), SUBSETS)).otherwise(hashes)
 
 
