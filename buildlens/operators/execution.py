@@ -95,20 +95,21 @@ def result_join(operations: DataFrame, results: DataFrame) -> DataFrame:
 def version_range_join(versions: DataFrame) -> DataFrame:
     """Handler whose range holds the version, else the default one, and the protocol level.
 
-    ``versions`` has a ``version`` struct. The ranges are three fixed rows, so the range join is a broadcast.
+    ``versions`` has a ``version`` struct of major, minor and patch. The ranges are fixed and do not overlap, so they
+    are cases of one expression.
     """
-    spark = versions.sparkSession
-    triple = "struct<major int, minor int, patch int>"
-    ranges = spark.createDataFrame(S.VERSION_HANDLERS, f"handler string, lo {triple}, hi {triple}")
     v = F.col("version")
-    inside = (v >= F.col("lo")) & (F.col("hi").isNull() | (v < F.col("hi")))
-    out = versions.join(F.broadcast(ranges), inside, "left")
-    return out.withColumns(
+
+    def at(triple: tuple[int, int, int]) -> Column:
+        return F.struct(*[F.lit(n).alias(part) for n, part in zip(triple, ("major", "minor", "patch"))])
+
+    held = [F.when((v >= at(lo)) & ((v < at(hi)) if hi else F.lit(True)), handler) for handler, lo, hi in S.VERSION_HANDLERS]
+    return versions.withColumns(
         {
-            "handler": F.coalesce("handler", F.lit("default")),
+            "handler": F.coalesce(*held, F.lit("default")),
             "protocol": F.when(F.col("version.major") == 7, "2.3").otherwise("2.4"),
         }
-    ).drop("lo", "hi")
+    )
 
 
 def stage_durations(log: DataFrame, **options) -> DataFrame:

@@ -67,8 +67,9 @@ def worker_match(requests: DataFrame, workers: DataFrame) -> DataFrame:
     required labels.
 
     Containment is no equality, so both sides are first reduced to their distinct signatures (type and label set,
-    and for workers only the best one), which are few whatever the number of rows. Signatures meet by one
-    required label, which every fitting worker must offer; containment is checked on those pairs alone.
+    and for workers only the best one), which are few whatever the number of rows. For no or one required label the
+    best worker of each type and label is a grouped minimum. Signatures with more labels meet the workers' by the type
+    and by that label which the fewest of them offer; containment is checked on those pairs alone.
     """
     want = requests.withColumn("required", F.array_sort(F.array_distinct("required")))
     signatures = want.select("worker_type", "required").distinct()
@@ -78,15 +79,21 @@ def worker_match(requests: DataFrame, workers: DataFrame) -> DataFrame:
         .groupBy(F.col("worker_type").alias("offered_type"), "offered")
         .agg(F.min(F.struct("heartbeat", "worker_id")).alias("best"))
     )
-    by_label = classes.select(
-        "offered_type", "offered", "best", F.explode(F.array_append("offered", F.lit(ANY))).alias("probe")
-    )
-    probe = F.coalesce(F.try_element_at("required", F.lit(1)), F.lit(ANY))
-    pairs = signatures.withColumn("probe", probe).join(by_label, "probe")
-    fits = (F.size(F.array_except("required", "offered")) == 0) & (
-        F.col("worker_type").isNull() | (F.col("worker_type") == F.col("offered_type"))
+    # a null type stands for requests that take any
+    types = F.array_distinct(F.array("offered_type", F.lit(None)))
+    by_label = classes.withColumn("_type", F.explode(types)).select(
+        "_type", "offered", "best", F.explode(F.array_append("offered", F.lit(ANY))).alias("_probe")
     )
+    by_probe = by_label.groupBy("_type", "_probe").agg(F.min("best").alias("best"), F.count(F.lit(1)).alias("n"))
+    meets = F.col("worker_type").eqNullSafe(F.col("_type")) & (F.col("probe") == F.col("_probe"))
+    few = signatures.filter(F.size("required") <= 1).withColumn("probe", F.coalesce(F.try_element_at("required", F.lit(1)), F.lit(ANY)))
+    many = signatures.filter(F.size("required") > 1)
+    offers = many.withColumn("probe", F.explode("required")).join(by_probe, meets, "left")
+    rarest = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "probe"))["probe"].alias("probe")
+    pairs = offers.groupBy("worker_type", "required").agg(rarest).join(by_label, meets)
+    fits = F.size(F.array_except("required", "offered")) == 0
     best = pairs.filter(fits).groupBy("worker_type", "required").agg(F.min("best").alias("best"))
+    best = best.unionByName(few.join(by_probe, meets).select("worker_type", "required", "best"))
     found = best.select(
         F.col("worker_type").alias("_type"), F.col("required").alias("_required"), F.col("best.worker_id").alias("worker_id")
     )
