@@ -2,8 +2,8 @@
 
 Evidence of a row: its text, the language that its markup declares, the suffix of its address, and its host.
 
-* Text: likelihoods of hashed byte 4-grams under each language, counted on a bounded sample of labelled rows, and under
-  an "und" class of letters drawn one by one. Overlapping grams repeat evidence, so the sum is divided by their length.
+* Text: likelihoods of hashed byte 4-grams under each language, counted on a sample of distinct labelled texts with a
+  quota for each language, and under an "und" class of letters drawn one by one. Overlapping grams repeat evidence, so the sum is divided by their length.
 * Host: the share of each language among the host's *other* rows, as the text alone judges them, drawn towards the
   share of its address suffix, which is drawn towards that of all rows (``DRAW`` rows each). All by grouped sums.
 * Markup: how often rows of each language (as the text judges them) declare this one, from grouped sums, smoothed.
@@ -29,6 +29,8 @@ from buildlens.llm.common import in_arrow, slices, stored, table, text_of
 
 #: Labelled rows that the text model is fitted on (about), languages at most, buckets of 4-grams, letters of a gram.
 SAMPLE_ROWS, MOST_LANGUAGES, BUCKETS, GRAM = 8_000, 64, 1 << 15, 4
+#: Quota of each language where its part of ``SAMPLE_ROWS`` would be less; languages whose sums a task holds at a time.
+LANGUAGE_ROWS, HELD_LANGUAGES = 500, 64
 #: Rows that a parent's share counts as, rows that a declared language starts with, prior of "und".
 DRAW, DECLARED_START, UND = 20.0, 1.0, 0.01
 LEAST = 0.35
@@ -69,24 +71,41 @@ def _grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return b, bucket, counts, starts
 
 
-def fit_text_model(rows: DataFrame, lang: str = "lang", text: str = "text", sample_rows: int = SAMPLE_ROWS) -> dict:
-    """Log-likelihood tables of the languages and of "und", from about ``sample_rows`` labelled rows."""
+def sampled(rows: DataFrame, lang: str = "lang", text: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """(lang, text): distinct labelled texts. A language with no more of them than its quota is taken whole, others by a
+    hash, so that about the quota is left. Languages share ``sample_rows``, but have ``LANGUAGE_ROWS`` each at least."""
     labelled = rows.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text")).filter("lang IS NOT NULL AND text IS NOT NULL")
-    share = max(1, labelled.count() // sample_rows)
-    sample = labelled.filter(F.pmod(F.xxhash64("lang", "text"), F.lit(share)) == 0)
+    labelled = labelled.withColumn("hash", F.xxhash64("lang", "text"))
+    sizes = stored(labelled.select("lang", "hash").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "languages")
+    quota = max(LANGUAGE_ROWS, sample_rows // max(1, sizes.count()))
+    place = F.shiftrightunsigned("hash", 11) / F.lit(float(1 << 53))
+    chosen = labelled.join(F.broadcast(sizes), "lang").filter(place * F.col("n") < quota)
+    return chosen.dropDuplicates(["lang", "hash"]).select("lang", "text")
+
+
+def fit_text_model(rows: DataFrame, lang: str = "lang", text: str = "text", sample_rows: int = SAMPLE_ROWS) -> dict:
+    """Log-likelihood tables of the languages and of "und", from the sampled labelled texts."""
+    sample = sampled(rows, lang, text, sample_rows)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
+
+        def told() -> Iterator[pa.RecordBatch]:
+            for name, one in sums.items():
+                at = np.flatnonzero(one)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(at)), pa.array(at, pa.int32()), pa.array(one[at])], ["lang", "cell", "n"])
+            sums.clear()
+
         for batch in slices(batches, most=4 << 20):
             b, bucket, counts, starts = _grams(text_of(batch))
             for k, name in enumerate(batch.column(0).to_pylist()):
+                if name not in sums and len(sums) == HELD_LANGUAGES:
+                    yield from told()
                 one = sums.setdefault(name, np.zeros(BUCKETS + 256, np.int64))
                 part = slice(starts[k], max(starts[k], min(starts[k + 1], len(bucket))))
                 one[:BUCKETS] += np.bincount(bucket[part][counts[part]], minlength=BUCKETS)
                 one[BUCKETS:] += np.bincount(b[starts[k] : starts[k + 1]], minlength=256)
-        for name, one in sums.items():
-            at = np.flatnonzero(one)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at)), pa.array(at, pa.int32()), pa.array(one[at])], ["lang", "cell", "n"])
+        yield from told()
 
     cells = in_arrow(sample, count, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toPandas()
     sizes = cells[cells["cell"] < BUCKETS].groupby("lang")["n"].sum().sort_values(ascending=False)

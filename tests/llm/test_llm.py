@@ -121,6 +121,19 @@ def test_language(spark, sf_dir, odd, none):
     assert pages.count() == spark.read.parquet(f"{sf_dir}/pages.parquet").count()
 
 
+def test_rare_language_keeps_its_class_and_copies_weigh_once(spark):
+    common = [(f"{prose(k, 12)} n{k}", "en") for k in range(3_000)] + [("one very common text of many copies", "en")] * 2_000
+    rare = [(f"tämä on harvinainen kieli ja sen sanat {k}", "fi") for k in range(3)]
+    rows = spark.createDataFrame(common + rare, "text string, lang string").repartition(8)
+    taken = evidence_language.sampled(rows, sample_rows=20).collect()
+    assert sorted(r.text for r in taken if r.lang == "fi") == sorted(t for t, _ in rare)
+    assert len(taken) == len(set(taken)) and abs(len(taken) - 3 - evidence_language.LANGUAGE_ROWS) < 150
+    model = evidence_language.fit_text_model(rows, sample_rows=20)
+    assert model["names"] == ["en", "fi"]
+    docs = spark.createDataFrame([(k, t, None, None, "h") for k, (t, _) in enumerate(rare)], "id long, text string, markup string, suffix string, host string")
+    assert {r.language for r in evidence_language.identified(docs, model).collect()} == {"fi"}
+
+
 def test_evidence_decides_where_the_text_is_silent(spark, sf_dir):
     model = evidence_language.fit_text_model(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     texts = {r.lang: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").filter("n_chars > 500").collect()}
