@@ -27,10 +27,11 @@ from pyspark.sql import functions as F
 
 from buildlens.llm.common import in_arrow, slices, stored, table, text_of
 
-#: Labelled rows that the text model is fitted on (about), languages at most, buckets of 4-grams, letters of a gram.
-SAMPLE_ROWS, MOST_LANGUAGES, BUCKETS, GRAM = 8_000, 64, 1 << 15, 4
-#: Quota of each language where its part of ``SAMPLE_ROWS`` would be less; languages whose sums a task holds at a time.
-LANGUAGE_ROWS, HELD_LANGUAGES = 500, 64
+#: Labelled rows that the text model is fitted on (about), buckets of 4-grams, letters of a gram.
+SAMPLE_ROWS, BUCKETS, GRAM = 8_000, 1 << 15, 4
+#: Quota of each language where its part of ``SAMPLE_ROWS`` would be less; languages whose counts a task or the driver
+#: holds at a time; likelihoods that a task works out at a time.
+LANGUAGE_ROWS, HELD_LANGUAGES, HELD_LIKELIHOODS = 500, 64, 1 << 20
 #: Rows that a parent's share counts as, rows that a declared language starts with, prior of "und".
 DRAW, DECLARED_START, UND = 20.0, 1.0, 0.01
 LEAST = 0.35
@@ -107,17 +108,19 @@ def fit_text_model(rows: DataFrame, lang: str = "lang", text: str = "text", samp
                 one[BUCKETS:] += np.bincount(b[starts[k] : starts[k + 1]], minlength=256)
         yield from told()
 
-    cells = in_arrow(sample, count, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toPandas()
-    sizes = cells[cells["cell"] < BUCKETS].groupby("lang")["n"].sum().sort_values(ascending=False)
-    names = sorted(sizes.index[:MOST_LANGUAGES])
+    cells = in_arrow(sample, count, "lang string, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
+    cells = stored(cells, "grams")
+    names = sorted(r.lang for r in cells.filter(F.col("cell") < BUCKETS).select("lang").distinct().collect())
     tables = np.zeros((BUCKETS, len(names) + 1), np.float32)
     single = np.ones(256)
-    for k, name in enumerate(names):
-        own = cells[cells["lang"] == name]
-        grams = np.zeros(BUCKETS + 256)
-        grams[own["cell"]] = own["n"]
-        single += grams[BUCKETS:]
-        tables[:, k] = np.log((grams[:BUCKETS] + 0.5) / (grams[:BUCKETS].sum() + 0.5 * BUCKETS))
+    for first in range(0, len(names), HELD_LANGUAGES):
+        held = names[first : first + HELD_LANGUAGES]
+        of = dict(list(cells.filter(F.col("lang").isin(held)).toPandas().groupby("lang")))
+        for k, name in enumerate(held, first):
+            grams = np.zeros(BUCKETS + 256)
+            grams[of[name]["cell"]] = of[name]["n"]
+            single += grams[BUCKETS:]
+            tables[:, k] = np.log((grams[:BUCKETS] + 0.5) / (grams[:BUCKETS].sum() + 0.5 * BUCKETS))
     # letters drawn one by one: the same buckets, from pooled letter counts
     p = single / single.sum()
     common = np.argsort(-p)[:40]
@@ -142,7 +145,9 @@ def text_likelihoods(rows: DataFrame, model: dict) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = np.ascontiguousarray(tables.T)
-        for batch in slices(batches, most=4 << 20):
+        rows_of = max(1, HELD_LIKELIHOODS // n)
+        whole = slices(batches, most=4 << 20)
+        for batch in (b.slice(k, rows_of) for b in whole for k in range(0, b.num_rows, rows_of)):
             _, bucket, counts, starts = _grams(text_of(batch))
             at = np.concatenate(([0], np.cumsum(counts)))[np.minimum(starts, len(bucket))]
             used = bucket[counts]

@@ -134,6 +134,20 @@ def test_rare_language_keeps_its_class_and_copies_weigh_once(spark):
     assert {r.language for r in evidence_language.identified(docs, model).collect()} == {"fi"}
 
 
+def test_more_than_64_languages(spark):
+    rng, letters = random.Random(5), "abcdefghijklmnopqrstuvwxyz"
+    rows = []
+    for k in range(70):
+        words = ["".join(rng.choices(letters, k=7)) for _ in range(12)]
+        rows += [(10 * k + i, " ".join(rng.choices(words, k=30 if k else 60)), f"x{k:02}", "s", 0) for i in range(4)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    model = evidence_language.fit_text_model(docs)
+    assert model["names"] == sorted({r[2] for r in rows})
+    truth = {r[0]: r[2] for r in rows}
+    got = evidence_language.identified(evidence_language.document_evidence(docs), model).collect()
+    assert len(got) == len(rows) and all(r.language == truth[r.id] and not r.rejected for r in got)
+
+
 def test_evidence_decides_where_the_text_is_silent(spark, sf_dir):
     model = evidence_language.fit_text_model(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     texts = {r.lang: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").filter("n_chars > 500").collect()}
