@@ -2,9 +2,10 @@
 
 Terms are runs of letters and digits in lower case. The lexicon holds terms whose inverse document frequency
 ``ln(documents / documents with the term)`` lies in a band: neither the words of most documents nor the rarest. Each of
-``SUBSETS`` subsets keeps a seeded random part of the lexicon, one in ``RATES`` of its terms: dense subsets tell short
-texts apart, sparse ones survive edits of long texts. A text's terms of a subset, distinct and sorted, are hashed; the
-hashes, in the order of the subsets, are the fingerprint. Likeness is the share of equal hashes among the subsets in
+``SUBSETS`` sparse subsets keeps a seeded random part of the lexicon, one in ``RATES`` of its terms; these survive edits
+of long texts. After them come the ``DENSE`` ones, which tell short texts apart: the whole lexicon, and seeded random parts
+of it. A text's terms of a subset, distinct and sorted, are hashed; the hashes, in the order of the subsets, are the
+fingerprint. Likeness is the share of equal hashes among the subsets in
 which either text has a term.
 
 The lexicon is bounded: a term is in at least ``exp(-HIGH_IDF)`` of all documents, so there are at most (mean distinct
@@ -27,6 +28,9 @@ from buildlens.llm.common import stored, table
 
 LOW_IDF, HIGH_IDF, LEAST_DOCUMENTS = 2.0, 6.5, 2
 SUBSETS, RATES, DIGITS = 48, (32, 128, 512), 6
+#: Parts of the lexicon that the dense subsets keep.
+DENSE = ((1, 1), (2, 3), (2, 3), (1, 2), (1, 2), (1, 4), (1, 4))
+PLACES = SUBSETS + len(DENSE)
 LEXICON_TERMS = 500_000
 #: Subsets whose terms are picked from a text's terms in one go.
 TOGETHER = 6
@@ -46,10 +50,10 @@ def lexicon(texts: DataFrame) -> DataFrame:
     # written first: a filter on the masks of an aggregate would be moved below it and make them for every word of every text
     band = stored(counts.filter((F.col("term") != "") & F.col("n").between(least, most)).select("term"), "band")
     mask = F.lit(0).cast("long")
-    for k in range(SUBSETS):
-        kept = F.pmod(F.xxhash64("term", F.lit(k)), F.lit(RATES[k % len(RATES)])) == 0
+    for k, (part, of) in enumerate([*[(1, RATES[k % len(RATES)]) for k in range(SUBSETS)], *DENSE]):
+        kept = F.pmod(F.xxhash64("term", F.lit(k)), F.lit(of)) < part
         mask = mask.bitwiseOR(F.when(kept, F.lit(1 << k)).otherwise(F.lit(0)).cast("long"))
-    return band.select("term", mask.alias("mask")).filter("mask <> 0")
+    return band.select("term", mask.alias("mask"))
 
 
 def fingerprint(terms: Column, digest: Column) -> Column:
@@ -69,8 +73,13 @@ def fingerprint(terms: Column, digest: Column) -> Column:
         mask = sum(1 << b for b in range(k * TOGETHER, min((k + 1) * TOGETHER, SUBSETS)))
         return F.transform(F.array(of(held, F.lit(mask).cast("long"))), lambda few: F.transform(bits[k], lambda bit: one(few, bit)))[0]
 
-    hashes = F.transform(F.array(F.sort_array(terms)), lambda held: F.concat(*[together(held, k) for k in range(len(bits))]))[0]
-    return F.when(F.size(terms) == 0, F.array_repeat(F.substring(digest, 1, DIGITS), SUBSETS)).otherwise(hashes)
+    def sparse(held: Column) -> Column:
+        some = of(held, F.lit((1 << SUBSETS) - 1).cast("long"))
+        return F.transform(F.array(some), lambda some: F.concat(*[together(some, k) for k in range(len(bits))]))[0]
+
+    dense = F.array(*[F.lit(1 << b).cast("long") for b in range(SUBSETS, PLACES)])
+    hashes = F.transform(F.array(F.sort_array(terms)), lambda held: F.concat(sparse(held), F.transform(dense, lambda bit: one(held, bit))))[0]
+    return F.when(F.size(terms) == 0, F.array_repeat(F.substring(digest, 1, DIGITS), PLACES)).otherwise(hashes)
 
 
 def likeness(a: Column, b: Column) -> Column:

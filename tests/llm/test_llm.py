@@ -297,6 +297,18 @@ def test_fingerprints(spark, sf_dir, odd, none):
     assert imatch.fingerprints(none).count() == 0
 
 
+def test_short_texts_with_little_in_common_have_different_fingerprints(spark):
+    rng, words = random.Random(7), [f"word{k}" for k in range(100)]
+    texts = [" ".join(rng.sample(words, k=3 + k % 4)) for k in range(300)]
+    got = imatch.fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    held = {}
+    for r in got:
+        held.setdefault(r.fingerprint, set()).add(frozenset(texts[r.doc_id].split()))
+    assert all(len(x) == 1 for x in held.values())
+    shared = {k: frozenset(t.split()) for k, t in enumerate(texts)}
+    assert all(r.near_next < 1 for r in got if shared[r.doc_id] != shared[(r.doc_id - 1) % 300])
+
+
 def test_quality(spark, sf_dir, odd, none):
     got = {r.doc_id: r for r in QUERIES["op9_line_crf"](spark, sf_dir).collect()}
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").collect()
