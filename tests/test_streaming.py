@@ -62,6 +62,36 @@ def test_silence_within_and_across_batches(spark, arrivals, tmp_path):
     assert found == {(1, 100), (1, 400), (2, 10), (3, 401)}
 
 
+def test_heartbeats_out_of_order_over_batches(spark, arrivals, tmp_path):
+    # worker 1 is heard every 30 s, one file of it a batch late; worker 2 is silent from 30 to 200; the row at 5 is too late
+    stream = arrivals(
+        [[(1, 0), (1, 30), (2, 0), (2, 30)], [(1, 150), (1, 180), (2, 200)], [(1, 60), (1, 90), (1, 120)], [(1, 210), (2, 230)], [(3, 1000)], [(1, 5), (3, 1030)]],
+        "worker_id bigint, t bigint",
+    )
+    out = drain(spark, S.heartbeat_monitor(stream.withColumn("ts", F.timestamp_seconds("t")), 60, lateness_seconds=150), tmp_path).collect()
+    second = lambda us: us and us // 1_000_000
+    found = sorted((r.key, second(r.silent_from_us), second(r.heard_again_us) or 0) for r in out if r.late_us is None)
+    assert found == [(1, 210, 0), (2, 30, 200), (2, 230, 0)]
+    assert [(r.key, second(r.late_us)) for r in out if r.late_us is not None] == [(1, 5)]
+
+
+def test_late_end_of_a_build(spark, arrivals, tmp_path):
+    batches = [[(1, "Progress", 0), (2, "Progress", 0)], [(3, "Progress", 100)], [(1, "BuildFinished", 20)], [(3, "BuildFinished", 1000)]]
+    stream = arrivals(batches, "invocation_id bigint, kind string, t bigint").withColumn("ts", F.timestamp_seconds("t"))
+    out = drain(spark, S.open_build_timeout(stream, 300, lateness_seconds=10), tmp_path).collect()
+    assert sorted((r.key, r.silent_from_us) for r in out if r.late_us is None) == [(2, 0), (3, 100_000_000)]
+    assert [(r.key, r.late_us) for r in out if r.late_us is not None] == [(1, 20_000_000)]
+
+
+def test_latest_worker_state_in_any_order(spark, arrivals):
+    rows = [[(1, 50, 1, 1), (2, 10, 1, 0)], [(1, 20, 2, 0), (2, 10, 2, 2)]]
+    stream = arrivals(rows, "worker_id bigint, t bigint, seq bigint, state_code int").withColumn("ts", F.timestamp_seconds("t"))
+    stream = stream.withColumn("execution_id", F.col("seq")).withColumn("percent_complete", F.lit(0.5))
+    q = S.latest_worker_state(stream).writeStream.format("memory").queryName("latest_state").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sorted((r.worker_id, r.state_code) for r in spark.table("latest_state").collect()) == [(1, 1), (2, 2)]
+
+
 def test_live_summary_equals_batch_summary(spark, sf_dir, tmp_path):
     live = S.live_build_summary(D.build_events(spark, sf_dir, D.stream_table))
     S.upsert_summaries(live, str(tmp_path / "out"), str(tmp_path / "cp"))
