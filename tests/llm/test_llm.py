@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import zlib
 
@@ -349,6 +350,18 @@ def test_top_k_odd_vectors(spark):
     assert topk.top_k(whole.limit(0), whole.limit(0), 2).count() == 0
 
 
+def test_top_k_of_repeated_query_ids(spark, tmp_path):
+    rows = [(50, [1.0, 0.0]), (50, [0.0, 1.0]), (50, [0.0, 1.0]), *[(k, [k / 16, 1 - k / 32]) for k in range(1, 13)], (100, [0.5, 0.5])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    whole = [(k, [math.floor(256 * x) for x in v]) for k, v in rows]
+    want = []
+    for q in (50, 100):
+        pairs = sorted((-sum(x * y for x, y in zip(a, b)), c) for i, a in whole if i == q for c, b in whole if c != q)
+        want += [(q, k + 1, c, -score) for k, (score, c) in enumerate(pairs[:5])]
+    got = QUERIES["op10_exact_topk"](spark, str(tmp_path)).collect()
+    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == want
+
+
 def test_pipeline_stages(spark, sf_dir, odd, none):
     import corpus_pipeline
 
