@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["token_orc", "lattice_pieces", "evidence_language", "ngram_join", "interleave", "curve_pack", "superkmer", "line_crf", "topk", "imatch", "stages"]
+MODULES = ["token_orc", "lattice_pieces", "evidence_language", "ngram_join", "interleave", "curve_pack", "superkmer", "line_crf", "topk", "imatch", "toxicity", "lexical_search", "word_runs", "stages"]
 
 
 def registered():
