@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from buildlens import schemas as S
 from buildlens.functions import exprs as X
-from buildlens.plans.ordered import Slicing, carry, following, latest_rows, measure, previous
+from buildlens.plans.ordered import MAX_SLICE_ROWS, carry, cut, following, latest_rows, previous
 from buildlens.session import checkpointed
 
 # A step is at most this long, and an operation is dead or stale after this long (seconds).
@@ -141,42 +141,14 @@ def transition_audit(log: DataFrame, **options) -> DataFrame:
 
 # An accepted step never returns to an earlier stage, so an operation accepts at most this many.
 MAX_STEPS = 6
-MAX_ARRAY_ROWS = 100_000
 
 
-def transition_replay(log: DataFrame, max_rows: int = MAX_ARRAY_ROWS) -> DataFrame:
+def transition_replay(log: DataFrame) -> DataFrame:
     """The steps an operation really took: an illegal entry is rejected and leaves the stage as it was.
 
-    Small operations are folded over their sorted entries in one pass. When one operation is too large for that,
-    the steps are found one after another instead: each of at most six rounds picks, per operation, the first
-    later entry that is legal from the current stage, with a combined minimum and no gathered rows.
+    The steps are found one after another: each of at most six rounds picks, per operation, the first later entry that
+    is legal from the current stage, with a combined minimum and no gathered rows.
     """
-    if measure(log, ["operation_id"], "ts", max_rows).count == 1:
-        return _replay_by_fold(log)
-    return _replay_by_rounds(log)
-
-
-def _replay_by_fold(log: DataFrame) -> DataFrame:
-    entry = F.struct("ts", "seq", "stage")
-    ordered = log.groupBy("operation_id").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
-    start = F.struct(
-        F.lit("CacheCheck").alias("stage"), F.array().cast("array<struct<ts:timestamp,seq:bigint,stage:string>>").alias("taken")
-    )
-
-    def step(state: Column, e: Column) -> Column:
-        accept = legal(state["stage"], e["stage"])
-        return F.when(
-            accept,
-            F.struct(e["stage"].alias("stage"), F.array_append(state["taken"], e).alias("taken")),
-        ).otherwise(state)
-
-    steps = ordered.select("operation_id", F.aggregate("entries", start, step)["taken"].alias("taken"))
-    return steps.select("operation_id", F.posexplode("taken").alias("step", "e")).select(
-        "operation_id", (F.col("step") + 1).alias("step"), "e.ts", "e.seq", "e.stage"
-    )
-
-
-def _replay_by_rounds(log: DataFrame) -> DataFrame:
     entries = log.select("operation_id", F.struct("ts", "seq").alias("at"), "stage")
     now = entries.select("operation_id").distinct().withColumns(
         {"cur": F.lit("CacheCheck"), "cur_at": F.lit(None).cast("struct<ts:timestamp,seq:bigint>")}
@@ -224,7 +196,7 @@ def stuck_operations(log: DataFrame, now_us: int) -> DataFrame:
     return flagged.filter(F.col("not_alive") | F.col("dead") | F.col("stale"))
 
 
-def merge_inflight(requests: DataFrame, slicing: Slicing | None = None) -> DataFrame:
+def merge_inflight(requests: DataFrame, max_rows: int = MAX_SLICE_ROWS) -> DataFrame:
     """Each request with the request that leads it: a digest already in flight is not queued again.
 
     Followers do not extend their leader, so who leads depends on who led before. A request that arrives when
@@ -234,13 +206,10 @@ def merge_inflight(requests: DataFrame, slicing: Slicing | None = None) -> DataF
     longest chain, over joins on unique request ids, so a digest with a third of all requests spreads evenly.
     """
     keys = ["hash"]
-    if slicing is None:
-        slicing = measure(requests, keys, "enqueued_us")
-    opts = {"slicing": slicing}
     order = ["enqueued_us", "seq"]
     done = F.greatest(F.col("completed_us"), F.col("enqueued_us"))
-    rows = requests.select("hash", "seq", "enqueued_us", done.alias("completed_us"))
-    rows = carry(rows, keys, order, peak={"busy_until": F.col("completed_us")}, **opts)
+    rows = cut(requests.select("hash", "seq", "enqueued_us", done.alias("completed_us")), keys, order, max_rows)
+    rows = carry(rows, keys, order, peak={"busy_until": F.col("completed_us")})
     rows = rows.withColumn("certain", F.col("busy_until").isNull() | (F.col("busy_until") <= F.col("enqueued_us")))
     rows = checkpointed(rows.drop("busy_until"))
     # Completions look ahead for the first request at or after them; one that completes on arrival looks ahead
@@ -256,7 +225,7 @@ def merge_inflight(requests: DataFrame, slicing: Slicing | None = None) -> DataF
         ),
     )
     ahead = F.when(F.col("is_end") == 0, F.struct(F.col("seq").alias("seq"), F.col("certain").alias("certain")))
-    marks = carry(marks, keys, ["at", "rank", "seq", "is_end"], last={"nxt": ahead}, descending=True, slicing=slicing)
+    marks = carry(marks, keys, ["at", "rank", "seq", "is_end"], last={"nxt": ahead}, descending=True, max_rows=max_rows)
     # a pointer to a certain leader adds nothing
     jump = marks.filter((F.col("is_end") == 1) & ~F.col("nxt.certain")).select("seq", F.col("nxt.seq").alias("to"))
     jump = checkpointed(jump)
@@ -269,7 +238,7 @@ def merge_inflight(requests: DataFrame, slicing: Slicing | None = None) -> DataF
         jump = checkpointed(jump.join(second, "to").select("seq", F.col("to2").alias("to")))
     led = rows.join(leaders.withColumn("leads", F.lit(True)), "seq", "left")
     me = F.when(F.col("leads"), F.col("seq"))
-    out = carry(led, keys, order, last={"merged_into": me}, include_current=True, **opts)
+    out = carry(led, keys, order, last={"merged_into": me}, include_current=True)
     return out.select("seq", "hash", "enqueued_us", "merged_into", (F.col("seq") == F.col("merged_into")).alias("leader"))
 
 

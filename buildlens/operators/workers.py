@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from buildlens.plans.ordered import carry, following, latest_rows, measure, previous
+from buildlens.plans.ordered import SLICE, carry, cut, following, latest_rows, previous
 
 ORDER = ["ts", "seq"]
 
@@ -207,11 +207,10 @@ def latency_degradation(log: DataFrame) -> DataFrame:
 def failure_streaks(log: DataFrame, **options) -> DataFrame:
     """Runs of consecutive successes and failures per worker."""
     checks = log.filter(F.col("event").startswith("health_check_")).select("worker_id", "event", *ORDER)
-    opts = options or {"slicing": measure(checks, ["worker_id"], "ts")}
-    seen = previous(checks, ["worker_id"], ORDER, {"prev_event": "event"}, **opts)
+    seen = previous(cut(checks, ["worker_id"], ORDER, **options), ["worker_id"], ORDER, {"prev_event": "event"})
     first = F.col("prev_event").isNull() | (F.col("prev_event") != F.col("event"))
     began = F.when(first, F.struct(*ORDER))
-    runs = carry(seen, ["worker_id"], ORDER, last={"began": began}, include_current=True, **opts)
+    runs = carry(seen, ["worker_id"], ORDER, last={"began": began}, include_current=True)
     return runs.groupBy("worker_id", "began").agg(
         (F.first("event") == "health_check_failed").alias("failed"),
         F.count(F.lit(1)).alias("length"),
@@ -227,12 +226,11 @@ def health_alerts(log: DataFrame, failures: int = 3, **options) -> DataFrame:
     number of failures so far less their number at the last such success: two running quantities, no fold.
     """
     checks = log.filter(F.col("event").startswith("health_check_")).select("worker_id", "event", *ORDER)
-    opts = options or {"slicing": measure(checks, ["worker_id"], "ts")}
     failed = F.col("event") == "health_check_failed"
-    seen = previous(checks, ["worker_id"], ORDER, {"prev_event": "event"}, **opts)
-    seen = carry(seen, ["worker_id"], ORDER, total={"failed_before": failed.cast("bigint")}, **opts)
+    seen = previous(cut(checks, ["worker_id"], ORDER, **options), ["worker_id"], ORDER, {"prev_event": "event"})
+    seen = carry(seen, ["worker_id"], ORDER, total={"failed_before": failed.cast("bigint")})
     reset = ~failed & (F.col("prev_event") == "health_check_passed")
-    seen = carry(seen, ["worker_id"], ORDER, last={"failed_at_reset": F.when(reset, F.col("failed_before"))}, **opts)
+    seen = carry(seen, ["worker_id"], ORDER, last={"failed_at_reset": F.when(reset, F.col("failed_before"))})
     counter = F.col("failed_before") + 1 - F.coalesce("failed_at_reset", F.lit(0))
     return seen.filter(failed).withColumn("failures", counter).filter(F.col("failures") >= failures).select(
         "worker_id", "ts", "seq", "failures"
@@ -241,11 +239,10 @@ def health_alerts(log: DataFrame, failures: int = 3, **options) -> DataFrame:
 
 def state_sojourn(log: DataFrame, key: str = "worker_id", **options) -> DataFrame:
     """State changes with repeats dropped, the time spent in each state, and the position of the change."""
-    opts = options or {"slicing": measure(log, [key], "ts")}
-    seen = previous(log.select(key, "state", *ORDER), [key], ORDER, {"prev_state": "state"}, **opts)
+    seen = previous(cut(log.select(key, "state", *ORDER), [key], ORDER, **options), [key], ORDER, {"prev_state": "state"})
     changes = seen.filter(F.col("prev_state").isNull() | (F.col("prev_state") != F.col("state")))
-    changes = carry(changes, [key], ORDER, total={"change": F.lit(1).cast("bigint")}, include_current=True, **opts)
-    out = following(changes, [key], ORDER, {"next_ts": "ts"}, **opts)
+    changes = carry(changes, [key], ORDER, total={"change": F.lit(1).cast("bigint")}, include_current=True)
+    out = following(changes, [key], ORDER, {"next_ts": "ts"}).drop(SLICE)
     return out.withColumn("sojourn_us", F.unix_micros("next_ts") - F.unix_micros("ts")).drop("next_ts")
 
 

@@ -1,58 +1,51 @@
 """Order-dependent work per key that does not put a hot key into one task.
 
-A plain ``Window.partitionBy(key).orderBy(ts)`` sends every row of a key to one task. That is the best plan
-while the largest key is small, and hopeless when one key holds a third of the table. Every helper here first
-measures the largest key with one map-side combined count, and then either uses the plain window or cuts each
-key into equal time slices. Within a slice an ordinary window runs; what earlier slices contribute is a
-one-row-per-slice aggregate that is itself accumulated over the slices of a key and joined back. The number of
-slices is known, so the accumulated side is bounded by it.
+A plain ``Window.partitionBy(key).orderBy(ts)`` sends every row of a key to one task. Here each key's rows are cut into
+slices of about equal numbers of rows, windows run inside the slices, and one row per slice carries on what earlier
+slices contribute: a prefix scan of two levels. Rows are cut by their whole order tuple, so a burst of rows at one
+instant is cut too. A key of no more than ``MAX_SLICE_ROWS`` rows is one slice; the rows of larger keys are dealt by
+range of (key, order), which Spark's own sampled range boundaries balance by rows, and the range is the slice.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_GROUP_ROWS = 1_000_000
+from buildlens.session import checkpointed, written
+
+MAX_SLICE_ROWS = 1_000_000
 SLICE = "_slice"
 
 
-@dataclass(frozen=True)
-class Slicing:
-    """How the rows of each key are cut: ``count`` slices of ``width`` units of the order column."""
+def cut(df: DataFrame, keys: list[str], order: list[str], max_rows: int = MAX_SLICE_ROWS) -> DataFrame:
+    """``df`` with its slice: slices of one key follow each other in ``order`` and have some ``max_rows`` rows at most.
 
-    count: int = 1
-    width: int = 1
+    ``order`` must be unique within a key. Keys are counted with a combined count. Large keys number no more than
+    rows / ``max_rows``; they are written out, so Spark knows their size when it joins them. The dealt rows are
+    checkpointed, as ranges drawn anew would not meet those drawn before.
+    """
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > max_rows)
+    rows = counts.agg(F.sum("_n")).first()[0]
+    if not rows:
+        return df.withColumn(SLICE, F.lit(0))
+    large = written(counts.drop("_n"), "large-keys")
+    # ranges are half as long as they may be: boundaries come from a sample
+    dealt = null_safe_join(df, large, keys, "left_semi").repartitionByRange(-(-2 * rows // max_rows), *keys, *order)
+    dealt = checkpointed(dealt.withColumn(SLICE, F.spark_partition_id() + 1))
+    rest = null_safe_join(df, large, keys, "left_anti")
+    return rest.withColumn(SLICE, F.lit(0)).unionByName(dealt)
 
 
 def order_number(df: DataFrame, column: str) -> Column:
-    """The leading order column as a whole number, so it can be cut into slices."""
-    dtype = dict(df.dtypes)[column]
-    if dtype.startswith("timestamp"):
+    """An instant or a number as a whole number."""
+    if dict(df.dtypes)[column].startswith("timestamp"):
         return F.unix_micros(F.col(column).cast("timestamp"))
     return F.floor(F.col(column)).cast("bigint")
 
 
-def measure(df: DataFrame, keys: list[str], order: str, max_rows: int = MAX_GROUP_ROWS) -> Slicing:
-    """Size of the largest key -> slicing. Reads only keys and the order column; one row reaches the driver."""
-    number = order_number(df, order)
-    per_key = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.min(number).alias("lo"), F.max(number).alias("hi")
-    )
-    top = per_key.agg(F.max("n").alias("n"), F.max(F.col("hi") - F.col("lo")).alias("span")).first()
-    if not top["n"] or top["n"] <= max_rows:
-        return Slicing()
-    count = -(-top["n"] * 2 // max_rows)  # twice as many as an even spread needs
-    return Slicing(count, max(1, -(-(top["span"] + 1) // count)))
-
-
-def sliced(df: DataFrame, order: str, slicing: Slicing) -> DataFrame:
-    return df.withColumn(SLICE, F.floor(order_number(df, order) / F.lit(slicing.width)).cast("bigint"))
-
-
 def _sort(order: list[str], descending: bool) -> list[Column]:
     return [F.col(c).desc() if descending else F.col(c).asc() for c in order]
 
@@ -67,32 +60,23 @@ def carry(
     *,
     include_current: bool = False,
     descending: bool = False,
-    slicing: Slicing | None = None,
-    max_rows: int = MAX_GROUP_ROWS,
+    max_rows: int = MAX_SLICE_ROWS,
 ) -> DataFrame:
     """Add, per row, the latest non-null value (``last``), the sum (``total``) and the largest value (``peak``)
     over the key's earlier rows.
 
-    ``descending`` looks at later rows instead, which turns ``last`` into "next". Ties in the first order column
-    never straddle a slice; the full ``order`` list must be unique within a key.
+    ``descending`` looks at later rows instead, which turns ``last`` into "next". The full ``order`` list must be
+    unique within a key. Rows that were ``cut`` before keep their slices; others are cut here.
     """
     last, total, peak = dict(last or {}), dict(total or {}), dict(peak or {})
-    if slicing is None:
-        slicing = measure(df, keys, order[0], max_rows)
     upto = Window.currentRow if include_current else -1
-    if slicing.count == 1:
-        w = Window.partitionBy(*keys).orderBy(*_sort(order, descending)).rowsBetween(Window.unboundedPreceding, upto)
-        return df.withColumns(
-            {n: F.last(c, ignorenulls=True).over(w) for n, c in last.items()}
-            | {n: F.coalesce(F.sum(c).over(w), F.lit(0)) for n, c in total.items()}
-            | {n: F.max(c).over(w) for n, c in peak.items()}
-        )
-    rows = sliced(df, order[0], slicing)
+    rows = df if SLICE in df.columns else cut(df, keys, order, max_rows)
     part = [*keys, SLICE]
     w = Window.partitionBy(*part).orderBy(*_sort(order, descending)).rowsBetween(Window.unboundedPreceding, upto)
     position = F.struct(*order)
     edge = F.min_by if descending else F.max_by
-    summary = rows.groupBy(*part).agg(
+    # slice 0 is a key's only one
+    summary = rows.filter(F.col(SLICE) > 0).groupBy(*part).agg(
         *[edge(c, F.when(c.isNotNull(), position)).alias(f"_l_{n}") for n, c in last.items()],
         *[F.sum(c).alias(f"_t_{n}") for n, c in total.items()],
         *[F.max(c).alias(f"_p_{n}") for n, c in peak.items()],
@@ -118,7 +102,7 @@ def carry(
         | {n: F.greatest(F.col(n), F.col(f"_bp_{n}")) for n in peak}
     )
     helpers = [f"_bl_{n}" for n in last] + [f"_bt_{n}" for n in total] + [f"_bp_{n}" for n in peak]
-    return done.drop(SLICE, *helpers)
+    return done.drop(*helpers, *([] if SLICE in df.columns else [SLICE]))
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:

@@ -66,3 +66,10 @@ def checkpointed(df, name: str = "frame"):
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager=True)
+
+
+def written(df, name: str):
+    """``df`` as Parquet in the shared folder, read again: its size is known, and its lineage cut."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -11,7 +11,7 @@ from buildlens.operators import store as B
 from buildlens.operators import workers as W
 from buildlens.plans import ranks as R
 from buildlens.plans import standins as D
-from buildlens.plans.ordered import Slicing, carry, following, measure, previous
+from buildlens.plans.ordered import SLICE, carry, cut, following, previous
 
 
 def rows(df):
@@ -29,16 +29,31 @@ def hot(spark):
     return spark.createDataFrame(data, "key string, at bigint, seq bigint, v bigint").cache()
 
 
-def test_measure_finds_the_hot_key(hot):
-    assert measure(hot, ["key"], "at", 1000) == Slicing()
-    cut = measure(hot, ["key"], "at", 100)
-    assert cut.count >= 10 and cut.width >= 1
+def sizes(df, keys, order, limit):
+    return [r["count"] for r in cut(df, keys, order, limit).groupBy(*keys, SLICE).count().collect()]
+
+
+def test_small_keys_are_one_slice(hot):
+    assert {r[SLICE] for r in cut(hot, ["key"], ["at", "seq"], 1000).select(SLICE).distinct().collect()} == {0}
+
+
+@pytest.mark.parametrize("shape", ["burst", "instant", "even", "null key"])
+def test_slices_are_balanced_by_rows(spark, shape):
+    """300,000 rows of one key, all but a few within one second, or at one instant."""
+    rows = spark.range(300_000).withColumn("key", F.when(F.lit(shape != "null key"), F.when(F.col("id") % 30 == 0, "other").otherwise("hot")))
+    at = {"burst": F.when(F.col("id") < 10, F.col("id") * 10**9).otherwise(10**6 + F.col("id") % 1000), "instant": F.lit(5)}
+    rows = rows.withColumn("at", at.get(shape, F.col("id"))).withColumnRenamed("id", "seq")
+    found = sizes(rows, ["key"], ["at", "seq"], 10_000)
+    assert sum(found) == 300_000 and max(found) <= 2 * 10_000
+    got = carry(rows, ["key"], ["at", "seq"], total={"before": F.lit(1)}, max_rows=10_000)
+    per = got.groupBy("key").agg(F.count_distinct("before").alias("n"), F.min("before").alias("lo"), F.max("before").alias("hi"), F.count(F.lit(1)).alias("rows"))
+    assert all(r.n == r.rows and r.lo == 0 and r.hi == r.rows - 1 for r in per.collect())
 
 
 @pytest.mark.parametrize("include_current", [False, True])
 @pytest.mark.parametrize("descending", [False, True])
 def test_carry_is_the_same_when_sliced(hot, include_current, descending):
-    def run(slicing):
+    def run(limit):
         return carry(
             hot,
             ["key"],
@@ -48,18 +63,17 @@ def test_carry_is_the_same_when_sliced(hot, include_current, descending):
             peak={"p": F.col("v")},
             include_current=include_current,
             descending=descending,
-            slicing=slicing,
+            max_rows=limit,
         )
 
-    plain = run(Slicing())
-    assert rows(plain) == rows(run(Slicing(40, 100)))
-    assert rows(plain) == rows(run(measure(hot, ["key"], "at", 50)))
+    plain = rows(run(10_000))
+    assert plain == rows(run(50)) == rows(run(3))
 
 
 def test_carry_against_a_loop(hot):
     got = {r.seq: (r.l, r.t, r.p) for r in carry(
         hot, ["key"], ["at", "seq"], last={"l": F.col("v")}, total={"t": F.col("v")}, peak={"p": F.col("v")},
-        slicing=Slicing(100, 37)).collect()}
+        max_rows=37).collect()}
     state = {}
     for r in sorted(hot.collect(), key=lambda r: (r.key, r.at, r.seq)):
         last, total, peak = state.get(r.key, (None, 0, None))
@@ -70,14 +84,11 @@ def test_carry_against_a_loop(hot):
 
 def test_neighbours_when_sliced(hot):
     for f in (previous, following):
-        assert rows(f(hot, ["key"], ["at", "seq"], {"n": "v", "s": "seq"}, slicing=Slicing())) == rows(
-            f(hot, ["key"], ["at", "seq"], {"n": "v", "s": "seq"}, slicing=Slicing(9, 500))
+        assert rows(f(hot, ["key"], ["at", "seq"], {"n": "v", "s": "seq"})) == rows(
+            f(hot, ["key"], ["at", "seq"], {"n": "v", "s": "seq"}, max_rows=20)
         )
 
 
-SLICED = {"slicing": Slicing(50, 50_000_000_000)}
-
-
 @pytest.mark.parametrize(
     "name,run",
     [
@@ -96,12 +107,7 @@ SLICED = {"slicing": Slicing(50, 50_000_000_000)}
     ],
 )
 def test_operators_when_sliced(spark, sf_dir, name, run):
-    assert rows(run(spark, sf_dir, {"slicing": Slicing()})) == rows(run(spark, sf_dir, SLICED))
-
-
-def test_replay_paths_agree(spark, sf_dir):
-    log = D.transitions(spark, sf_dir)
-    assert rows(E.transition_replay(log)) == rows(E.transition_replay(log, max_rows=10))
+    assert rows(run(spark, sf_dir, {})) == rows(run(spark, sf_dir, {"max_rows": 4}))
 
 
 def loop_merge(requests):
@@ -124,8 +130,8 @@ def test_merge_against_a_loop(spark, seed, length):
         data.append(("hot" if i % 3 else f"h{rnd.randrange(5)}", i, at, at + rnd.randrange(length)))
     df = spark.createDataFrame(data, "hash string, seq bigint, enqueued_us bigint, completed_us bigint")
     want = loop_merge(data)
-    for slicing in (None, Slicing(30, 100)):
-        got = {r.seq: r.merged_into for r in E.merge_inflight(df, slicing).collect()}
+    for limit in (10_000, 30):
+        got = {r.seq: r.merged_into for r in E.merge_inflight(df, limit).collect()}
         assert got == want
 
 
