@@ -5,15 +5,15 @@ windows with one minimiser form a super-k-mer, which travels to the minimiser's
 Equal windows have equal minimisers, so a bucket sees every copy of its windows and counts them exactly by sorting
 their words.
 
-1. Only places travel at first: (document, start, windows, minimiser). A minimiser with one place has no repeated window.
-2. Super-k-mers of the others are packed from the texts. Equal strings are counted before they travel, so a group of
-   copies is one string in each bucket.
+1. Only places travel at first: (text, start, windows, minimiser). Copies of a text bring the same places, which count
+   once; all windows of a text with copies are repeated. A minimiser with one place has no repeated window.
+2. Super-k-mers of the others are packed from the distinct texts. Equal strings are counted before they travel.
 3. Buckets sort their windows. A minimiser with more than ``HOT`` places (a passage in a large share of all documents)
    would make one bucket too large: its strings are cut into single windows, which are dealt by their words.
-4. Repeated places come back to the documents, whose words they cover are removed. Windows are judged on the input.
+4. Repeated places come back to the texts, whose words they cover are removed. Windows are judged on the input.
 
 Words stand between ASCII white space. Null texts have no words. Rows with null or repeated ids count as documents of
-their own. Texts of fewer than 35 words are left as they are. Extra columns are kept.
+their own; ids are not read. Texts of fewer than 35 words are left as they are. Extra columns are kept. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from buildlens.llm.common import gram_hashes, in_arrow, slices, stored, table, text_of, whole_groups, word_hashes, words_of
+from buildlens.llm.common import free_name, gram_hashes, in_arrow, slices, stored, table, text_of, whole_groups, word_hashes, words_of
 
 #: Words of a window and of a minimiser; windows of one packed string at most; places that make a minimiser hot.
 WINDOW, GRAM, RUN_WINDOWS, HOT = 35, 8, 256, 2_000
@@ -34,7 +34,7 @@ PLACE = np.uint64((1 << 32) - 1)
 
 
 def _text_hash(text: str = "text") -> Column:
-    return F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
+    return F.unhex(F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")))
 
 
 def _sliding_min(x: np.ndarray, n: int) -> np.ndarray:
@@ -75,28 +75,21 @@ def super_kmers(texts: pa.Array, window: int = WINDOW, gram: int = GRAM) -> tupl
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, most=3 << 20):
         row, start, n, value, places = super_kmers(text_of(batch))
-        ids = batch.select(["doc_id", "text_hash"]).take(pa.array(row))
-        yield pa.RecordBatch.from_arrays([*ids.columns, pa.array(start, pa.int32()), pa.array(n, pa.int32()), pa.array(value), pa.array(places, pa.int32())], ["doc_id", "text_hash", "start", "n", "minimiser", "places"])
+        own = batch.column(batch.schema.get_field_index("text_hash")).take(pa.array(row))
+        yield pa.RecordBatch.from_arrays([own, pa.array(start, pa.int32()), pa.array(n, pa.int32()), pa.array(value), pa.array(places, pa.int32())], ["text_hash", "start", "n", "minimiser", "places"])
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, most=3 << 20):
         codes, starts, distinct = words_of(text_of(batch))
         words = distinct.to_pylist()
-        out: list[tuple] = []
-        rows: list[int] = []
-        for k, runs in enumerate(batch.column(batch.schema.get_field_index("runs")).to_pylist()):
-            own = [words[c] for c in codes[starts[k] : starts[k + 1]]]
-            for run in {r["start"]: r for r in runs}.values():  # rows that share id and text bring each run again
-                a, n = run["start"], run["n"]
-                out.append((a, n, run["minimiser"], run["hot"], " ".join(own[a : a + n + WINDOW - 1])))
-                rows.append(k)
-        ids = batch.select(["doc_id", "text_hash"]).take(pa.array(rows, pa.int64()))
-        start, n, minimiser, hot, packed = zip(*out) if out else ((), (), (), (), ())
-        yield pa.RecordBatch.from_arrays(
-            [*ids.columns, pa.array(start, pa.int32()), pa.array(minimiser, pa.int64()), pa.array(hot, pa.bool_()), pa.array(packed, pa.string())],
-            ["doc_id", "text_hash", "start", "minimiser", "hot", "packed"],
-        )
+        runs = batch.column(batch.schema.get_field_index("runs"))
+        row = np.repeat(np.arange(batch.num_rows), runs.value_lengths().to_numpy(zero_copy_only=False))
+        flat = runs.flatten()
+        start, n = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("start", "n"))
+        packed = [" ".join([words[c] for c in codes[a : a + k]]) for a, k in zip((starts[row] + start).tolist(), (n + WINDOW - 1).tolist())]
+        own = [batch.column(batch.schema.get_field_index(c)).take(pa.array(row)) for c in ("text_hash", "copies")]
+        yield pa.RecordBatch.from_arrays([*own, flat.field("start"), flat.field("minimiser"), flat.field("hot"), pa.array(packed, pa.string())], ["text_hash", "copies", "start", "minimiser", "hot", "packed"])
 
 
 def _windows(packed: str) -> list[str]:
@@ -139,32 +132,38 @@ def _single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_places(docs: DataFrame, hot: int = HOT) -> DataFrame:
-    """(doc_id, text_hash, runs of (start, marks)): windows start + mark of the row's text are repeated."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_hash().alias("text_hash"), F.col("text").cast("string").alias("text"))
-    places = stored(in_arrow(texts, _places, "doc_id long, text_hash long, start int, n int, minimiser long, places int"), "places")
+    """(text_hash, copies, runs of (start, marks)) of all texts that have copies or repeated windows: windows
+    start + mark are repeated. All windows of a text with copies are, so those have no runs listed."""
+    texts = docs.select(_text_hash().alias("text_hash"), F.col("text").cast("string").alias("text"))
+    counts = texts.groupBy("text_hash").agg(F.count(F.lit(1)).alias("copies"))
+    # copies of a text bring the same places
+    places = in_arrow(texts, _places, "text_hash binary, start int, n int, minimiser long, places int").dropDuplicates(["text_hash", "start"])
+    places = stored(places, "places")
     several = places.groupBy("minimiser").agg(F.sum("places").alias("places")).filter("places > 1").select("minimiser", (F.col("places") > hot).alias("hot"))
-    wanted = places.drop("places").join(several, "minimiser").groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "n", "minimiser", "hot")).alias("runs"))
-    wanted = wanted.select(F.col("doc_id").alias("_doc_id"), F.col("text_hash").alias("_text_hash"), "runs")
-    meet = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("text_hash") == F.col("_text_hash"))
-    flagged = texts.join(wanted, meet).select("doc_id", "text_hash", "text", "runs")
-    strings = in_arrow(flagged, _packed, "doc_id long, text_hash long, start int, minimiser long, hot boolean, packed string")
+    wanted = places.drop("places").join(several, "minimiser").groupBy("text_hash").agg(F.collect_list(F.struct("start", "n", "minimiser", "hot")).alias("runs"))
+    counts = stored(counts.join(wanted, "text_hash", "left").filter("copies > 1 OR runs IS NOT NULL"), "counts")
+    flagged = texts.dropDuplicates(["text_hash"]).join(counts.filter("runs IS NOT NULL"), "text_hash")
+    strings = in_arrow(flagged, _packed, "text_hash binary, copies long, start int, minimiser long, hot boolean, packed string")
     strings = stored(strings.withColumn("string", F.unhex(F.md5("packed"))), "strings")
-    distinct = strings.groupBy("minimiser", "hot", "string", "packed").agg(F.count(F.lit(1)).alias("copies"))
+    distinct = strings.groupBy("minimiser", "hot", "string", "packed").agg(F.sum("copies").alias("copies"))
     cold = distinct.filter("NOT hot").repartition("minimiser").sortWithinPartitions("minimiser").select("minimiser", "string", "packed", "copies")
     marks = in_arrow(cold, _counted, "minimiser long, string binary, marks array<int>")
     single = stored(in_arrow(distinct.filter("hot").select("minimiser", "string", "packed", "copies"), _single, "minimiser long, string binary, copies long, k int, words string"), "windows")
     again = single.groupBy("words").agg(F.sum("copies").alias("times")).filter("times > 1").select("words")
     hot_marks = single.join(again, "words").groupBy("minimiser", "string").agg(F.collect_list("k").alias("marks"))
-    found = marks.union(hot_marks)
-    found = strings.select("doc_id", "text_hash", "start", "minimiser", "string").join(found, ["minimiser", "string"])
-    return found.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("start", "marks")).alias("runs"))
+    found = strings.filter("copies = 1").select("text_hash", "start", "minimiser", "string").join(marks.union(hot_marks), ["minimiser", "string"])
+    found = found.groupBy("text_hash").agg(F.collect_list(F.struct("start", "marks")).alias("runs"))
+    kind = found.schema["runs"].dataType.simpleString()
+    return found.select("text_hash", F.lit(1).cast("long").alias("copies"), "runs").union(counts.filter("copies > 1").select("text_hash", "copies", F.lit(None).cast(kind)))
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``kept`` (words left, joined by one space), ``n_words`` and ``n_removed``."""
-    runs = repeated_places(docs).select(F.col("doc_id").alias("_doc_id"), F.col("text_hash").alias("_text_hash"), F.col("runs").alias("_runs"))
-    meet = docs["doc_id"].cast("long").eqNullSafe(F.col("_doc_id")) & (_text_hash() == F.col("_text_hash"))
-    rows = docs.join(runs, meet, "left").select(*[docs[c] for c in docs.columns], "_runs")
+    """``docs`` with ``kept`` (words left, joined by one space), ``n_words`` and ``n_removed``; input columns of these
+    names are replaced."""
+    docs = docs.drop("kept", "n_words", "n_removed")
+    own, copies, runs = (free_name(docs, n) for n in ("text_hash", "copies", "runs"))
+    found = repeated_places(docs).toDF(own, copies, runs)
+    rows = docs.join(found, _text_hash() == F.col(own), "left").select(*[docs[f"`{c}`"] for c in docs.columns], copies, runs)
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + ["kept string", "n_words long", "n_removed long"])
     names = docs.columns
 
@@ -173,9 +172,11 @@ def without_repeats(docs: DataFrame) -> DataFrame:
             codes, starts, distinct = words_of(text_of(batch))
             words = distinct.to_pylist()
             kept, removed = [], []
-            for k, runs in enumerate(batch.column(len(names)).to_pylist()):
+            for k, (copies, runs) in enumerate(zip(batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_pylist())):
                 own = codes[starts[k] : starts[k + 1]]
-                if runs:
+                if (copies or 0) > 1:  # every window occurs again
+                    left = own if len(own) < WINDOW else own[:0]
+                elif runs:
                     change = np.zeros(len(own) + 1, np.int64)
                     at = np.concatenate([np.array(r["marks"], np.int64) + r["start"] for r in runs])
                     np.add.at(change, at, 1)
@@ -194,13 +195,13 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
 def cleaned(docs: DataFrame) -> DataFrame:
     """Documents without their repeated windows, in the columns of ``docs``; other texts stay as they are."""
-    rows = without_repeats(docs.withColumnsRenamed({c: f"_{c}" for c in ("kept", "n_words", "n_removed") if c in docs.columns}))
-    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
-    out = rows.withColumn("text", text)
+    names = {c: free_name(docs, f"own_{c}") for c in docs.columns if c.lower() in ("kept", "n_words", "n_removed")}
+    rows = without_repeats(docs.withColumnsRenamed(names))
+    out = rows.withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return out.drop("kept", "n_words", "n_removed").select(*[F.col(f"_{c}" if c in ("kept", "n_words", "n_removed") else c).alias(c) for c in docs.columns])
+    return out.select(*[F.col(f"`{names.get(c, c)}`").alias(c) for c in docs.columns])
 
 
 def op7_superkmer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
