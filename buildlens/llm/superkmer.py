@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from buildlens.llm.common import free_name, gram_hashes, in_arrow, slices, stored, table, text_of, whole_groups, word_hashes, words_of
+from buildlens.session import prepared
 
 #: Words of a window and of a minimiser; windows of one packed string at most; places that make a minimiser hot.
 WINDOW, GRAM, RUN_WINDOWS, HOT = 35, 8, 256, 2_000
@@ -134,13 +135,15 @@ def _single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_places(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """(text_hash, copies, runs of (start, marks)) of all texts that have copies or repeated windows: windows
     start + mark are repeated. All windows of a text with copies are, so those have no runs listed."""
+    prepared(docs.sparkSession)  # skewed joins are split
     texts = docs.select(_text_hash().alias("text_hash"), F.col("text").cast("string").alias("text"))
     counts = texts.groupBy("text_hash").agg(F.count(F.lit(1)).alias("copies"))
-    # copies of a text bring the same places
-    places = in_arrow(texts, _places, "text_hash binary, start int, n int, minimiser long, places int").dropDuplicates(["text_hash", "start"])
-    places = stored(places, "places")
-    several = places.groupBy("minimiser").agg(F.sum("places").alias("places")).filter("places > 1").select("minimiser", (F.col("places") > hot).alias("hot"))
-    wanted = places.drop("places").join(several, "minimiser").groupBy("text_hash").agg(F.collect_list(F.struct("start", "n", "minimiser", "hot")).alias("runs"))
+    places = stored(in_arrow(texts, _places, "text_hash binary, start int, n int, minimiser long, places int"), "places")
+    # copies of a text bring the same places, which are one: least and greatest tell whether there are others
+    at = F.struct("text_hash", "start")
+    least = places.groupBy("minimiser").agg(F.min(at).alias("least"), F.max(at).alias("most"), F.max("places").alias("own"), F.sum("places").alias("places"))
+    several = least.filter("least <> most OR own > 1").select("minimiser", (F.col("places") > hot).alias("hot"))
+    wanted = places.drop("places").join(several, "minimiser").groupBy("text_hash").agg(F.collect_set(F.struct("start", "n", "minimiser", "hot")).alias("runs"))
     counts = stored(counts.join(wanted, "text_hash", "left").filter("copies > 1 OR runs IS NOT NULL"), "counts")
     flagged = texts.dropDuplicates(["text_hash"]).join(counts.filter("runs IS NOT NULL"), "text_hash")
     strings = in_arrow(flagged, _packed, "text_hash binary, copies long, start int, minimiser long, hot boolean, packed string")
