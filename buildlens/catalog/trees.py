@@ -76,7 +76,7 @@ PLAN = (
 
 @query("tree_plan", tree_sql(PLAN))
 def _(s, d):
-    return T.tree_plan(T.flatten_tree(D.tree_nodes(s, d), roots(s, d)), local(s, d))
+    return T.tree_plan(D.tree_nodes(s, d), roots(s, d), local(s, d))
 
 
 @query(
@@ -92,6 +92,34 @@ def _(s, d):
     return T.tree_stats(D.tree_nodes(s, d), roots(s, d), local(s, d))
 
 
+LINKED = (
+    "SELECT r_name AS r, n_name AS n, c_name AS c, c_custkey AS k, sha256(r_name) AS region FROM customer JOIN nation ON c_nationkey = "
+    "n_nationkey JOIN region ON n_regionkey = r_regionkey"
+)
+ROOTED = (
+    "SELECT sha256('world') AS root, r || '/' || n AS above, * FROM linked UNION ALL SELECT region, n, * FROM linked"
+)
+RESOLVED = (
+    "SELECT root, above, k, k % 6 AS kind, CASE k % 6 WHEN 0 THEN c WHEN 1 THEN '../' || n WHEN 2 THEN 'gone' WHEN 3 THEN 'l' || k WHEN "
+    "4 THEN '../.././' || r || '/' || n || '/' || c ELSE '/' || c END AS target, CASE WHEN k % 6 = 0 OR (k % 6 = 4 AND above <> n) THEN "
+    "above || '/' || c WHEN k % 6 = 1 THEN above WHEN k % 6 = 2 THEN above || '/gone' END AS resolved, CASE WHEN k % 6 = 0 OR (k % 6 = "
+    "4 AND above <> n) THEN 'file' WHEN k % 6 = 1 THEN 'directory' WHEN k % 6 = 2 THEN 'dangling' WHEN k % 6 = 3 THEN 'loop' ELSE "
+    "'outside' END AS status FROM rooted"
+)
+
+
+@query(
+    "resolve_links",
+    "WITH linked AS (" + LINKED + "), rooted AS (" + ROOTED + "), resolved AS (" + RESOLVED + ") "
+    "SELECT root, above || '/l' || k AS path, target, resolved, status FROM resolved UNION ALL "
+    "SELECT root, above || '/m' || k, 'l' || k, resolved, status FROM resolved",
+)
+def _(s, d):
+    """Two links for each customer: one to its file, its directory, nothing, itself, around by the root or outside, and one to
+    that link."""
+    return T.resolve_links(D.linked_nodes(s, d), roots(s, d))
+
+
 @query(
     "verify_tree",
     with_ctes(

@@ -347,6 +347,27 @@ def requested_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.unionByName(b)
 
 
+def linked_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tree with two links beside each customer: ``l`` to something that its key says, ``m`` to ``l``."""
+    nodes = tree_nodes(spark, sf_dir).withColumn("target", F.lit(None).cast("string"))
+    customer, nation, region = (table(spark, sf_dir, t) for t in ("customer", "nation", "region"))
+    named = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+    k, own = F.col("c_custkey") % 6, F.concat(F.lit("l"), F.col("c_custkey"))
+    target = (
+        F.when(k == 0, F.col("c_name"))
+        .when(k == 1, F.concat(F.lit("../"), "n_name"))
+        .when(k == 2, "gone")
+        .when(k == 3, own)
+        .when(k == 4, F.concat(F.lit("../.././"), "r_name", F.lit("/"), "n_name", F.lit("/"), "c_name"))
+        .otherwise(F.concat(F.lit("/"), "c_name"))
+    )
+    pair = F.array(F.struct(own.alias("name"), target.alias("target")), F.struct(F.concat(F.lit("m"), "c_custkey").alias("name"), own.alias("target")))
+    links = named.select(X.digest_of(F.col("n_name")).alias("dir_hash"), F.inline(pair)).selectExpr(
+        "dir_hash", "name", "CAST(NULL AS string) AS child_hash", "CAST(0 AS bigint) AS child_size", "false AS is_dir", "false AS is_executable", "target"
+    )
+    return nodes.unionByName(links)
+
+
 def tree_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """World -> regions -> nations -> customers and suppliers, as a digest-linked directory table."""
     sha = lambda c: X.digest_of(c)

@@ -320,3 +320,57 @@ def test_values_at_ignores_nothing(spark):
     pos = spark.createDataFrame([("a", str(i), i) for i in range(5)], "g string, name string, pos bigint")
     assert sorted((r.name, r.value) for r in R.values_at(df, ["g"], "v", pos).collect()) == [
         ("0", 1.0), ("1", 2.0), ("2", 3.0), ("3", 3.0), ("4", 3.0)]
+
+
+NODE = "dir_hash string, name string, child_hash string, child_size bigint, is_dir boolean, is_executable boolean, target string"
+
+
+def test_shared_subtrees_count_paths_without_expanding_them(spark):
+    """60 levels of directories, each linked twice by the one above: 2^60 files, 60 rows a round at most."""
+    nodes = [(f"d{k}", side, f"d{k + 1}", 0, True, False, None) for k in range(60) for side in "ab"] + [("d60", "f", "x", 7, False, False, None)]
+    df = spark.createDataFrame(nodes, NODE)
+    roots = spark.createDataFrame([("d0",), ("d59",)], "dir_hash string")
+    none = spark.createDataFrame([], "hash string")
+    uses = trees.checkpointed(trees.directory_uses(df, roots))
+    assert uses.count() == 61 + 2
+    assert {r.root: r.n for r in uses.groupBy("root").agg(F.sum("paths").alias("n")).collect()} == {"d0": 2**61 - 1, "d59": 3}
+    got = {r.root: r for r in trees.plan_of_uses(df, uses, none).collect()}
+    assert (got["d0"].files, got["d0"].downloads, got["d0"].bytes_to_fetch, got["d59"].files) == (2**60, 1, 7, 2)
+
+
+def test_a_directory_below_itself(spark):
+    nodes = [("a", "b", "b", 0, True, False, None), ("b", "a", "a", 0, True, False, None), ("b", "f", "x", 1, False, False, None)]
+    df = spark.createDataFrame(nodes, NODE)
+    roots = spark.createDataFrame([("a",)], "dir_hash string")
+    assert [r.path for r in trees.flatten_tree(df, roots).collect()] == ["b/f"]
+    with pytest.raises(ValueError, match="below itself"):
+        trees.directory_uses(df, roots)
+
+
+def test_links_of_all_kinds(spark):
+    entries = {"d/f": "file", "d/e/g": "file", "x": "file"}
+    links = {
+        "plain": "x", "d/up": "../x", "d/here": ".", "todir": "d/e", "through": "todir/g", "d/e/back": "../../todir/../f", "chain": "through",
+        "self": "self", "grow": "grow/a", "one": "two", "two": "three", "three": "one", "gone": "d/nothing", "part": "x/y", "above": "../x", "d/abs": "/x",
+        "twice": "l/m", "l": "d", "d/m": "../l/f", "root": "d/..",
+    }
+    nodes = [("", "d", "d", 0, True, False, None), ("d", "e", "e", 0, True, False, None)]
+    where = lambda p: ({"": "", "d": "d", "d/e": "e"}[p.rpartition("/")[0]], p.rpartition("/")[2])
+    nodes += [(*where(p), p, 1, False, False, None) for p in entries] + [(*where(p), None, 0, False, False, t) for p, t in links.items()]
+    df = spark.createDataFrame(nodes, NODE)
+    roots = spark.createDataFrame([("",)], "dir_hash string")
+    got = {r.path: (r.resolved, r.status) for r in trees.resolve_links(df, roots).collect()}
+    assert got == {
+        "plain": ("x", "file"), "d/up": ("x", "file"), "d/here": ("d", "directory"), "todir": ("d/e", "directory"), "through": ("d/e/g", "file"),
+        "d/e/back": ("f", "dangling"), "chain": ("d/e/g", "file"), "self": (None, "loop"), "grow": (None, "loop"), "one": (None, "loop"),
+        "two": (None, "loop"), "three": (None, "loop"), "gone": ("d/nothing", "dangling"), "part": ("x/y", "dangling"), "above": (None, "outside"),
+        "d/abs": (None, "outside"), "twice": ("d/f", "file"), "l": ("d", "directory"), "d/m": ("d/f", "file"), "root": ("", "directory"),
+    }
+    assert sorted(r.path for r in trees.flatten_tree(df, roots).collect()) == sorted(entries)
+    assert trees.resolve_links(df.filter("target IS NULL"), roots).count() == 0
+
+
+def test_tree_digests_cover_links(spark):
+    schema = "root string, path string, hash string, is_executable boolean, target string"
+    digest = lambda target: {r.path: r.dir_hash for r in trees.build_tree(spark.createDataFrame([("r", "a/f", "h", False, None), ("r", "a/l", None, None, target)], schema)).collect()}
+    assert digest("f")["a"] != digest("g")["a"] and digest("f")[""] != digest("g")[""] and digest("f") == digest("f")
