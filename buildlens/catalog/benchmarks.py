@@ -389,8 +389,8 @@ def _(s, d):
         "coalesce(CAST(c.o_custkey AS VARCHAR), 'N/A') AS blobs FROM (SELECT run, arg_min(container_name, seq) AS container_name, "
         "arg_min(memory, seq) AS memory FROM (SELECT user_id AS run, CASE event_type WHEN 'click' THEN 'Server-' || k "
         "WHEN 'view' THEN 'Frontend-' || k ELSE 'worker-' || k END AS container_name, value AS memory, seq FROM ev) "
-        "WHERE container_name NOT LIKE 'worker%' GROUP BY run) m LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus <> 'O') c "
-        "ON c.o_orderkey = m.run",
+        "WHERE container_name NOT LIKE 'worker%' GROUP BY run) m LEFT JOIN orders c "
+        "ON CASE WHEN c.o_orderstatus = 'O' THEN -c.o_orderkey ELSE c.o_orderkey END = m.run",
     ),
 )
 def _(s, d):
@@ -404,8 +404,9 @@ def _(s, d):
         F.col("value").alias("memory"),
         F.col("event_id").alias("position"),
     )
-    o = D.table(s, d, "orders").filter(F.col("o_orderstatus") != "O")
-    config = o.select(F.col("o_orderkey").alias("run"), F.col("o_orderpriority").alias("mode"), F.col("o_custkey").alias("blobs"))
+    # open orders configure runs that have no metrics
+    run = F.when(F.col("o_orderstatus") == "O", -F.col("o_orderkey")).otherwise(F.col("o_orderkey"))
+    config = D.table(s, d, "orders").select(run.alias("run"), F.col("o_orderpriority").alias("mode"), F.col("o_custkey").alias("blobs"))
     return M.metrics_config_join(metrics, config)
 
 

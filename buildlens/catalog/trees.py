@@ -127,14 +127,15 @@ def _(s, d):
         "SELECT dir_hash, name, child_hash, CASE WHEN ok IS NULL THEN 'missing' ELSE 'corrupt' END AS problem FROM nodes LEFT JOIN k ON "
         "child_hash = hash WHERE NOT is_dir AND ok IS NOT true UNION ALL SELECT dir_hash, name, child_hash, 'missing' FROM nodes WHERE "
         "is_dir AND child_hash NOT IN (SELECT dir_hash FROM nodes)",
-        k="SELECT sha256(string_split(c_name, '#')[2]) AS hash, bool_or(c_acctbal > 0) AS ok FROM customer WHERE c_nationkey <> 3 "
-        "GROUP BY 1",
+        k="SELECT sha256(CASE WHEN c_nationkey = 3 THEN 'elsewhere ' ELSE '' END || string_split(c_name, '#')[2]) AS hash, "
+        "bool_or(c_acctbal > 0) AS ok FROM customer GROUP BY 1",
     ),
 )
 def _(s, d):
     text = F.substring_index("c_name", "#", -1)
-    blobs = D.table(s, d, "customer").filter("c_nationkey <> 3").select(
-        X.digest_of(text).alias("hash"), F.when(F.col("c_acctbal") > 0, text).otherwise(F.col("c_name")).alias("content")
+    # contents of one nation are stored under other digests
+    blobs = D.table(s, d, "customer").select(
+        X.digest_of(F.concat(F.when(F.col("c_nationkey") == 3, "elsewhere ").otherwise(""), text)).alias("hash"), F.when(F.col("c_acctbal") > 0, text).otherwise(F.col("c_name")).alias("content")
     )
     return T.verify_tree(D.tree_nodes(s, d), blobs)
 
@@ -186,8 +187,9 @@ def outputs(s, d):
 
 
 def stored_outputs(s, d):
-    c = D.table(s, d, "conversations").filter("turn % 3 = 1")
-    return c.select(X.digest_of(F.col("text")).alias("hash"))
+    """One turn in three is stored as it is, the others with a word before them."""
+    c = D.table(s, d, "conversations")
+    return c.select(X.digest_of(F.when(F.col("turn") % 3 == 1, F.col("text")).otherwise(F.concat(F.lit("other "), "text"))).alias("hash"))
 
 
 def upload_sql(skipped: str) -> str:
@@ -199,7 +201,7 @@ def upload_sql(skipped: str) -> str:
     )
 
 
-@query("upload_stats", upload_sql("hash IN (SELECT sha256(text) FROM conversations WHERE turn % 3 = 1)"))
+@query("upload_stats", upload_sql("hash IN (SELECT sha256(CASE WHEN turn % 3 = 1 THEN '' ELSE 'other ' END || text) FROM conversations)"))
 def _(s, d):
     return T.upload_stats(outputs(s, d), stored_outputs(s, d))
 

@@ -2,33 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import time
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from buildlens import schemas as S
 
+#: Fields that number appends and the rows in them.
+COMMIT, PLACE = "append_commit", "append_place"
+
 
 def _append(records: DataFrame, ddl: str, path: str) -> None:
+    """Add records under a commit number, which grows with the clock of the writer, and their place in it. Files of one
+    write may end in any order; the two numbers keep that of the rows."""
     given = [F.col(f.name).cast(f.dataType).alias(f.name) for f in T.StructType.fromDDL(ddl) if f.name in records.columns]
-    records.select(*given).write.mode("append").json(path)
+    numbered = [F.lit(time.time_ns() // 1000).alias(COMMIT), F.monotonically_increasing_id().alias(PLACE)]
+    records.select(*given, *numbered).write.mode("append").json(path)
 
 
 def _read(spark: SparkSession, ddl: str, path: str) -> DataFrame:
     """Records in the schema; lines that are none are dropped, missing numbers read as zero.
 
-    ``ingest_order`` is the append order: when the file was written, then the place in it.
+    ``ingest_order`` is the append order: the commit, then the place in it. Lines of other writers have neither; for
+    them it is the time their file was written, then the place in the file.
     """
     schema = T.StructType.fromDDL(ddl)
-    rows = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+    wide = T.StructType([*schema.fields, T.StructField(COMMIT, T.LongType()), T.StructField(PLACE, T.LongType())])
+    rows = spark.read.schema(wide).option("mode", "DROPMALFORMED").json(path)
     zero = {f.name: F.coalesce(f.name, F.lit(0).cast("bigint")) for f in schema if isinstance(f.dataType, T.LongType)}
+    foreign = F.col(COMMIT).isNull()
     order = F.struct(
-        F.col("_metadata.file_modification_time").alias("written"),
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("row"),
+        F.coalesce(COMMIT, F.unix_micros("_metadata.file_modification_time")).alias("commit"),
+        F.when(foreign, F.col("_metadata.file_path")).alias("file"),
+        F.when(foreign, F.col("_metadata.file_block_start")).alias("block"),
+        F.coalesce(PLACE, F.monotonically_increasing_id()).alias("row"),
     )
-    return rows.withColumn("ingest_order", order).withColumns(zero)
+    return rows.withColumn("ingest_order", order).withColumns(zero).drop(COMMIT, PLACE)
 
 
 def append_target_history(executions: DataFrame, path: str) -> None:
@@ -47,21 +58,23 @@ def read_test_history(spark: SparkSession, path: str) -> DataFrame:
     return _read(spark, S.TEST_HISTORY, path)
 
 
-def write_summary(summary: DataFrame, path: str, version: int = 0) -> None:
+def write_summary(summary: DataFrame, path: str, version: int | Column = 0) -> None:
     """Store summaries under a version; a later version of an invocation replaces earlier ones on read.
 
+    A version is a number, or a column of the summary that orders its versions.
+
     Rows are laid out by the month the build started, so time filters prune directories. Rebalancing keeps it to
     a few well-filled files per month and still splits a month that holds most rows.
     """
     month = F.coalesce(F.substring("start_time", 1, 7), F.lit("unknown"))
-    rows = summary.withColumns({"version": F.lit(version).cast("bigint"), "build_month": month})
+    rows = summary.withColumns({"version": F.lit(version).cast("bigint") if isinstance(version, int) else version, "build_month": month})
     rows.hint("rebalance", F.col("build_month")).write.mode("append").partitionBy("build_month").parquet(path)
 
 
 def read_summary(spark: SparkSession, path: str) -> DataFrame:
     """The newest stored summary per invocation."""
     rows = spark.read.option("basePath", path).parquet(path)
-    fields = [c for c in rows.columns if c not in ("version", "build_month", "invocation_id")]
+    fields = [c for c in rows.columns if c not in ("version", "_version", "build_month", "invocation_id")]
     newest = rows.groupBy("invocation_id").agg(F.max_by(F.struct(*fields), "version").alias("s"))
     return newest.select("invocation_id", "s.*")
 

@@ -6,7 +6,10 @@ from pyspark.sql import functions as F
 from buildlens.operators import builds as B
 from buildlens.plans import standins as D
 from buildlens.sources.history import read_summary
+from buildlens.operators import workers as W
 from buildlens.streaming import builds as S
+from buildlens.streaming import finalize as Z
+from buildlens.streaming import sequences as Q
 
 
 @pytest.fixture
@@ -27,21 +30,61 @@ def drain(spark, stream, tmp_path):
     return spark.read.schema(stream.schema).parquet(str(tmp_path / "out"))
 
 
-EVENT = "invocation_id bigint, kind string, last_message boolean, label string, success boolean, sequence_number bigint"
+EVENT = "invocation_id bigint, kind string, last_message boolean, label string, success boolean, sequence_number bigint, t bigint"
 
 
-def test_finalize_emits_once_and_reports_late_targets(spark, arrivals, tmp_path):
+def test_finalize_emits_once_and_reports_late_rows(spark, arrivals, tmp_path):
     stream = arrivals(
         [
-            [(1, "TargetComplete", False, "//a", True, 1), (2, "TargetComplete", False, "//x", True, 1)],
-            [(1, "BuildFinished", False, None, None, 3), (1, "TargetComplete", False, "//b", False, 2)],
-            [(1, "TargetComplete", False, "//late", True, 4), (3, "Progress", True, None, None, 1)],
-            [(3, "TargetComplete", False, "//after", True, 2), (1, "Progress", True, None, None, 5)],
+            [(1, "TargetComplete", False, "//a", True, 1, 10), (2, "TargetComplete", False, "//x", True, 1, 11)],
+            [(1, "BuildFinished", False, None, None, 3, 13), (1, "TestResult", False, "//b", False, 2, 12), (1, "Progress", True, None, None, 9, 14)],
+            [(1, "TargetComplete", False, "//late", True, 4, 15), (3, "Progress", True, None, None, 1, 16)],
+            [(3, "TestResult", False, "//after", True, 2, 17), (1, "BuildFinished", True, None, None, 5, 18)],
         ],
         EVENT,
     )
-    got = sorted((r.invocation_id, r.label, r.success, r.late) for r in drain(spark, S.finalize_build(stream), tmp_path).collect())
-    assert got == [(1, "//a", True, False), (1, "//b", False, False), (1, "//late", True, True), (3, "//after", True, True)]
+    out = drain(spark, Z.finalize_build(stream.withColumn("ts", F.timestamp_seconds("t"))), tmp_path)
+    assert sorted((r.invocation_id, r.kind, r.label, r.success, r.late) for r in out.collect()) == [
+        (1, "TargetComplete", "//a", True, False), (1, "TargetComplete", "//late", True, True), (1, "TestResult", "//b", False, False),
+        (3, "TestResult", "//after", True, True),
+    ]
+
+
+def test_finalize_releases_state(spark, arrivals, tmp_path):
+    """Builds a hundred hours apart: marks and rows of the earlier ones are gone."""
+    batches = [[(k, "TargetComplete", False, "//a", True, 1, k * 360_000), (k, "BuildFinished", False, None, None, 2, k * 360_000 + 5)] for k in range(1, 7)]
+    stream = Z.finalize_build(arrivals(batches, EVENT).withColumn("ts", F.timestamp_seconds("t")), hours=24)
+    q = S.run_available(stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).outputMode("append"), str(tmp_path / "cp"))
+    assert spark.read.schema(stream.schema).parquet(str(tmp_path / "out")).count() == 6
+    kept = {o["operatorName"]: o["numRowsTotal"] for o in q.lastProgress["stateOperators"]}
+    assert kept["symmetricHashJoin"] <= 4, kept
+
+
+def test_numbers_out_of_order_give_the_batch_answer(spark, arrivals, tmp_path):
+    batches = [[(1, n) for n in (5, 6, 9)] + [(2, 3)], [(1, 7), (1, 5)], [(1, 8), (1, 1), (2, 1), (2, 1)], [(1, 12), (2, 2)]]
+    schema = "stream_id bigint, sequence_number bigint"
+    out = drain(spark, Q.ack_stream(arrivals(batches, schema)), tmp_path)
+    last = {r.stream_id: r for r in out.orderBy("version").collect()}
+    batch = W.ack_progress(spark.createDataFrame([r for b in batches for r in b], schema)).collect()
+    assert {r.stream_id: (r.acknowledged, r.gaps, r.missing, r.resent) for r in batch} == {k: (r.acknowledged, r.gaps, r.missing, r.resent) for k, r in last.items()}
+    assert {(r.stream_id, r.version): (r.contiguous, r.filled) for r in out.collect()} == {
+        (1, 1): (6, 0), (1, 2): (7, 1), (1, 3): (1, 1), (1, 4): (1, 0), (2, 1): (3, 0), (2, 2): (1, 0), (2, 3): (3, 1),
+    }
+
+
+def test_a_silent_operation_is_reported_without_a_further_event(spark, arrivals, tmp_path):
+    import time
+
+    schema = "operation_id bigint, stage string, seq bigint, t bigint"
+    stream = arrivals([[(1, "Queued", 0, 1), (2, "Executing", 0, 1), (1, "Completed", 1, 2)]], schema).withColumn("ts", F.timestamp_seconds("t"))
+    q = Q.stuck_operation_stream(stream, 1).writeStream.format("memory").queryName("stuck").option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="500 milliseconds").start()
+    try:
+        end = time.time() + 60
+        while time.time() < end and not spark.table("stuck").count():
+            time.sleep(0.5)
+        assert [(r.operation_id, r.stage, r.last_us) for r in spark.table("stuck").collect()] == [(2, "Executing", 1_000_000)]
+    finally:
+        q.stop()
 
 
 def test_dedup_across_batches(spark, arrivals, tmp_path):
@@ -108,3 +151,36 @@ def test_ingest_resumes_where_it_stopped(spark, tmp_path):
         spark.createDataFrame(batch, schema).write.mode("append").json(src)
         S.ingest_event_stream(spark.readStream.schema(schema).json(src), out, cp)
     assert sorted(r.sequence_number for r in spark.read.parquet(out).collect()) == [1, 4]
+
+
+def test_versions_of_a_new_checkpoint_stay_behind(spark, arrivals, tmp_path):
+    """The newest summary holds when the log is read again from its beginning, batch by batch."""
+    schema = (
+        "invocation_id bigint, kind string, sequence_number bigint, command string, start_time string, end_time string, overall_success boolean, "
+        "exit_code int, success boolean, remote_cache_hits bigint, cached_remotely boolean"
+    )
+    row = lambda kind, seq, **x: (1, kind, seq, x.get("command"), "2024-01-01T00:00:00Z", None, x.get("ok"), None, x.get("success"), None, None)
+    batches = [[row("BuildStarted", 0, command="build")], [row("ActionExecuted", 2, success=True)], [row("BuildFinished", 9, ok=True)], [row("ActionExecuted", 5, success=False)]]
+    out = str(tmp_path / "out")
+    live = S.live_build_summary(arrivals(batches, schema))
+    S.upsert_summaries(live, out, str(tmp_path / "cp1"))
+    first = read_summary(spark, out).collect()
+    assert [(r.status, r.total_actions, r.failed_actions) for r in first] == [("success", 2, 1)]
+    early = spark.createDataFrame(batches[0], schema)
+    folder = str(tmp_path / "early")
+    early.coalesce(1).write.json(folder)
+    S.upsert_summaries(S.live_build_summary(spark.readStream.schema(schema).json(folder)), out, str(tmp_path / "cp2"))
+    assert read_summary(spark, out).collect() == first
+
+
+def test_append_order_of_several_files(spark, tmp_path):
+    from buildlens import schemas
+    from buildlens.sources import history
+
+    path = str(tmp_path / "h")
+    label = spark.range(40).select(F.format_string("t%02d", "id").alias("label"))
+    assert "label" in schemas.TARGET_HISTORY
+    history.append_target_history(label.repartitionByRange(5, "label"), path)
+    history.append_target_history(label.withColumn("label", F.concat(F.lit("u"), "label")).repartitionByRange(3, "label"), path)
+    got = [r.label for r in history.read_target_history(spark, path).orderBy("ingest_order").collect()]
+    assert got == [f"t{k:02d}" for k in range(40)] + [f"ut{k:02d}" for k in range(40)]
