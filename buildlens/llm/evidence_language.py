@@ -196,7 +196,7 @@ def identified(rows: DataFrame, model: dict, least: float = LEAST) -> DataFrame:
     def log_evidence(k: Column) -> Column:
         prior = share("by_host", k, share("by_suffix", k, F.get(F.array(*map(F.lit, base)), k)))
         says = (F.greatest(F.get("by_markup", k) - F.get("alone", k), zero) + DECLARED_START) / F.get(F.array(*map(F.lit, says_all)), k)
-        return F.get("ll", k) + F.log(prior) + F.coalesce(F.log(says), zero)
+        return F.get("ll", k) + F.log(prior) + F.when(F.col("by_markup").isNotNull(), F.log(says)).otherwise(zero)
 
     logs = joined.withColumn("logs", F.transform(F.sequence(F.lit(0), F.lit(n - 1)), log_evidence))
     top = F.array_max("logs")

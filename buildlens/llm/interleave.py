@@ -11,7 +11,7 @@ of bounded size; counts of bins are summed along the order, and a row's place is
 The law is ``rows``: counts of shards differ by at most one. Copies of a text may be in different shards, as one
 group may hold a third of all rows. Null texts have size 1 and the crc32 of the empty text. A null source is a source of
 its own. Rows with equal ids are ordered by their texts' crc32 and size; rows equal in these are interchangeable. Extra
-columns are kept by ``interleaved`` (its own are prefixed with an underscore until the end); an empty table gives none.
+columns are kept by ``interleaved``, whatever their names; ``shard`` and ``slot`` are replaced. An empty table gives none.
 """
 
 from __future__ import annotations
@@ -48,6 +48,17 @@ def places(rows: DataFrame, group: list[str], bin_col: str, order: list[Column],
 
 def interleaved(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, source: str = "source", ties: tuple[str, ...] = ("doc_id",), bin_rows: int = BIN_ROWS) -> DataFrame:
     """``docs`` with ``shard`` (from 0) and ``slot`` (from 0 within the shard). ``ties`` name a row for the shuffle."""
+    # own columns begin with an underscore, so those of the input that do are renamed until the end
+    held: dict[str, str] = {}
+    taken = {c.lower() for c in docs.columns}
+    for c in docs.columns:
+        if c.startswith("_"):
+            name = f"own{c}"
+            while name.lower() in taken:
+                name = f"own{name}"
+            taken.add(name.lower())
+            held[c] = name
+    docs, source, ties = docs.withColumnsRenamed(held), held.get(source, source), tuple(held.get(t, t) for t in ties)
     total = docs.count()
     bins = max(1, total // bin_rows)
     key = [F.col(c) for c in ties]
@@ -65,6 +76,7 @@ def interleaved(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, source:
         .withColumn("_slot", (F.col("_place") - first).cast("long"))
         .drop("_source", "_shuffle", "_bin", "_rows", "_rank", "_fraction", "_all", "_total", "_place", "shard", "slot")
         .withColumnsRenamed({"_shard": "shard", "_slot": "slot"})
+        .withColumnsRenamed({name: c for c, name in held.items()})
     )
 
 

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from buildlens.llm.common import in_arrow, slices, table, text_of, words_of
+from buildlens.llm.common import free_name, in_arrow, slices, table, text_of, words_of
 
 #: Labelled documents that the model is fitted on at most; lines of a chain in fitting (longer documents are cut).
 SAMPLE_DOCUMENTS, CHAIN_LINES = 4_000, 256
@@ -225,7 +225,7 @@ def training_labels(labels: DataFrame) -> DataFrame:
 
 def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Documents that score 0.5 or more, with their columns."""
-    name = "_quality_score"
+    name = free_name(docs, "quality_score")
     return scored(docs, fit(docs, training_labels(labels)), name).filter(F.col(name) >= 0.5).drop(name)
 
 

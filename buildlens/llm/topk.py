@@ -3,8 +3,8 @@
 Queries are dealt into tiles and candidates into shards of bounded size by hashes of their ids. Each cell (tile,
 shard) is one matrix product; a partial selection keeps ``k`` candidates of each query. The kept rows of the cells are
 merged shard group by shard group, ``FAN_IN`` at a time, until each query has one list. Products are exact: components
-are whole numbers, and a vector whose products could leave the range in which doubles count exactly is multiplied as
-64-bit integers.
+are whole numbers, and a cell whose products could leave the range in which doubles count exactly is multiplied as
+64-bit integers, or, where these could overflow, as integers of any length. A component or a score beyond 64 bits raises.
 
 Vectors that are null, empty, or hold a null or a component that is not finite take no part. Vectors meet only those of
 equal length. Repeated rows each count; rows with the query's own id are left out. Null ids take no part as queries, and
@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from buildlens.llm.common import table
@@ -27,6 +27,12 @@ from buildlens.llm.common import table
 TILE_ROWS, SHARD_ROWS, FAN_IN = 1024, 8192, 16
 #: Largest sum of products that doubles hold exactly.
 EXACT = 2.0**53
+#: Scores and components beyond it have no 64-bit integer.
+LIMIT = 2.0**63
+
+
+def _whole(x: Column) -> Column:
+    return F.when(F.abs(x) < F.lit(LIMIT), F.floor(x).cast("long")).otherwise(F.raise_error(F.lit("a component is beyond 64 bits")).cast("long"))
 
 
 def whole_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 256.0) -> DataFrame:
@@ -35,7 +41,7 @@ def whole_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str =
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     return (
         vectors.filter(F.col(id_col).isNotNull() & v.isNotNull() & (F.size(v) > 0) & finite)
-        .select(F.col(id_col).cast("long").alias("id"), F.transform(v, lambda x: F.floor(x * F.lit(scale)).cast("long")).alias("v"))
+        .select(F.col(id_col).cast("long").alias("id"), F.transform(v, lambda x: _whole(x * F.lit(scale))).alias("v"))
     )
 
 
@@ -59,14 +65,19 @@ def _cell(k: int):
         if len(queries) and len(candidates):
             q, c, own = _matrix(queries["v"]), _matrix(candidates["cv"]), candidates["cid"].to_numpy()
             most = float(np.abs(q).max()) * float(np.abs(c).max()) * q.shape[1]
-            exact = most < EXACT
-            ct = (c.astype(float) if exact else c).T
+            kind = float if most < EXACT else np.int64 if most < LIMIT else object
+            ct = c.astype(kind).T
             for row, (qid, tile, copies) in enumerate(zip(queries["id"], queries["tile"], queries["copies"])):
                 if row % 128 == 0:  # a stripe of the tile at a time bounds the memory of the product
-                    block = (q[row : row + 128].astype(float) if exact else q[row : row + 128]) @ ct
+                    block = q[row : row + 128].astype(kind) @ ct
                 scores = block[row % 128]
                 others = np.flatnonzero(own != qid)
-                best = others[_best(scores[others], own[others], k)].repeat(min(copies, k))[:k]
+                got = scores[others]
+                if kind is object:
+                    if not all(-(1 << 63) <= x < 1 << 63 for x in got):
+                        raise OverflowError("a score is beyond 64 bits")
+                    got = got.astype(np.int64)
+                best = others[_best(got, own[others], k)].repeat(min(copies, k))[:k]
                 out += [(qid, int(candidates["shard"].iloc[0]), int(own[p]), int(scores[p]), int(tile)) for p in best]
         return pd.DataFrame(out, columns=["query_id", "shard", "vec_id", "score", "tile"])
 

@@ -224,3 +224,90 @@ def test_features_of_hidden_words():
     assert (of["hidden words"] > 0).tolist() == [True, False, True, False, False, True]
     assert (of["lexicon near second person"] > 0).tolist() == [True, False, False, False, False, False]
     assert of["words in capitals"][1] == 1 and of["exclamations"][1] == 2 and (x[3] == 0).all()
+
+
+# --- earlier operators
+
+
+def test_scores_beyond_64_bits_raise(spark):
+    from pyspark.errors import PySparkException
+
+    from buildlens.llm import topk
+
+    def best(*rows):
+        v = topk.whole_vectors(spark.createDataFrame(list(rows), "vec_id long, embedding array<double>"))
+        return {(r.query_id, r.vec_id): r.score for r in topk.top_k(v, v, 5).collect()}
+
+    assert best((0, [2.0**30, 3.0]), (1, [-(2.0**15), 1.0]))[0, 1] == -(2**61) + 3 * 65536
+    # the sum of two large products that cancel fits
+    assert best((0, [2.0**26, 2.0**26]), (1, [2.0**26, -(2.0**26)]))[0, 1] == 0
+    for rows in (((0, [2.0**30, 0.0]), (1, [2.0**30, 1.0])), ((0, [1e18, 1.0]), (1, [1e18, 1.0]))):
+        with pytest.raises(PySparkException, match="beyond 64 bits"):
+            best(*rows)
+
+
+def test_clashing_names(spark, odd):
+    from buildlens.llm import interleave, line_crf, superkmer
+
+    own = ["_bin", "_rows", "_all", "own_bin", "_shard", "shard", "kept", "n_words", "_quality_score", "_text_hash", "_copies"]
+    docs = odd.selectExpr("doc_id", "text", "source", *[f"'x' AS {c}" for c in own])
+    got = interleave.interleaved(docs, shards=4)
+    assert sorted(got.columns) == sorted([*docs.columns, "slot"]) and {r["_bin"] for r in got.collect()} == {"x"}
+    assert sorted(r.shard for r in got.collect()) == sorted(k * 4 // 13 for k in range(13))
+    got = superkmer.without_repeats(docs)
+    assert sorted(got.columns) == sorted([*docs.columns, "n_removed"]) and got.count() == 13
+    assert superkmer.cleaned(docs).columns == docs.columns and {r.kept for r in superkmer.cleaned(docs).collect()} == {"x"}
+    labels = spark.createDataFrame([(1, 1), (10, 0)], "doc_id long, quality int")
+    assert line_crf.good_documents(docs, labels).columns == docs.columns
+
+
+def test_fused_evidence_against_plain_python(spark):
+    """Markup, suffix and host speak too; the text's own likelihoods are taken as they are."""
+    from buildlens.llm import evidence_language as E
+
+    words = {"en": "the of and reading water stone".split(), "de": "der und die wasser stein lesen".split(), "fr": "le et la eau pierre lire".split()}
+    rng = random.Random(4)
+    text = lambda lang, n: " ".join(rng.choice(words[lang]) for _ in range(n))
+    labelled = spark.createDataFrame([(text(lang, 20) + f" {k}", lang) for lang in words for k in range(30)], "text string, lang string")
+    model = E.fit_text_model(labelled)
+    rows = []
+    for k in range(60):
+        lang = rng.choice(list(words))
+        rows.append((k, text(lang, rng.choice([0, 1, 2, 12])), rng.choice([lang, lang, "xx", None, ""]), rng.choice([lang, "com", None]), f"{lang}{rng.randrange(3)}.org"))
+    df = spark.createDataFrame(rows, "id long, text string, markup string, suffix string, host string")
+    ll = {r.id: (r.ll, r.alone) for r in E.text_likelihoods(df, model).collect()}
+    names = [*model["names"], E.UNKNOWN]
+    n, N = len(names), len(rows)
+    sums = lambda at, v: [sum(ll[r[0]][1][k] for r in rows if r[at] == v) for k in range(n)] if v else [0.0] * n
+    size = lambda at, v: sum(r[at] == v for r in rows) if v else 0
+    base = [(sum(a[k] for _, a in ll.values()) + 1 / n) / (N + 1) for k in range(n)]
+    marks = {r[2] for r in rows if r[2]}
+    says_all = [sum(sums(2, m)[k] for m in marks) + E.DECLARED_START * (len(marks) + 1) for k in range(n)]
+    want = {}
+    for r in rows:
+        own, alone = ll[r[0]]
+        logs = []
+        for k in range(n):
+            def share(at, outer):
+                return (max(sums(at, r[at])[k] - (alone[k] if r[at] else 0), 0) + E.DRAW * outer) / ((size(at, r[at]) - 1 if r[at] else 0) + E.DRAW)
+
+            log = own[k] + math.log(share(4, share(3, base[k])))
+            if r[2]:
+                log += math.log((max(sums(2, r[2])[k] - alone[k], 0) + E.DECLARED_START) / says_all[k])
+            logs.append(log)
+        top = max(logs)
+        want[r[0]] = (names[logs.index(top)], 1 / sum(math.exp(x - top) for x in logs))
+    got = {r.id: (r.language, r.posterior) for r in E.identified(df, model).collect()}
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+    assert [(k, rows[k], got[k], want[k]) for k in want if got[k][1] != pytest.approx(want[k][1], rel=1e-6)] == []
+
+
+def test_language_of_rows_that_were_not_fitted(spark):
+    from buildlens.llm import evidence_language as E
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    seen = docs.withColumn("lang", __import__("pyspark").sql.functions.expr("CASE WHEN doc_id % 2 = 0 THEN lang END"))
+    truth = {r.doc_id: r.lang for r in docs.filter("doc_id % 2 = 1 AND length(text) > 40").collect()}
+    model = E.fit_text_model(seen.filter("lang IS NOT NULL"))
+    got = {r.id: r.language for r in E.identified(E.document_evidence(docs), model).collect()}
+    assert sum(got[k] == v for k, v in truth.items()) >= 0.98 * len(truth)
