@@ -139,8 +139,9 @@ def repeated_places(docs: DataFrame, hot: int = HOT) -> DataFrame:
     texts = docs.select(_text_hash().alias("text_hash"), F.col("text").cast("string").alias("text"))
     counts = texts.groupBy("text_hash").agg(F.count(F.lit(1)).alias("copies"))
     places = stored(in_arrow(texts, _places, "text_hash binary, start int, n int, minimiser long, places int"), "places")
-    # copies of a text bring the same places, which are one: least and greatest tell whether there are others
-    at = F.struct("text_hash", "start")
+    # copies of a text bring the same places, which are one: the least and greatest of their hashes tell whether a
+    # minimiser has others
+    at = F.xxhash64("text_hash", "start")
     least = places.groupBy("minimiser").agg(F.min(at).alias("least"), F.max(at).alias("most"), F.max("places").alias("own"), F.sum("places").alias("places"))
     several = least.filter("least <> most OR own > 1").select("minimiser", (F.col("places") > hot).alias("hot"))
     wanted = places.drop("places").join(several, "minimiser").groupBy("text_hash").agg(F.collect_set(F.struct("start", "n", "minimiser", "hot")).alias("runs"))
