@@ -48,15 +48,29 @@ def parts_of(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(marked, F.lit(pattern), F.lit(0))
 
 
-def merged(edges: Column, n: Column) -> Column:
-    """Bounds of the pieces after all merges; edges are (cost, i, k, id), cheapest first."""
+def bit(place: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), place)
+
+
+def joins_of(edges: Column) -> Column:
+    """Edges of two and more characters as bits: both ends, and the places between; cheapest first as ``edges`` are."""
+    return F.transform(
+        F.filter(edges, lambda e: e["k"] > e["i"] + 1),
+        lambda e: F.struct(bit(e["i"]).bitwiseOR(bit(e["k"])).alias("ends"), (bit(e["k"]) - bit(e["i"] + 1)).alias("inner")),
+    )
+
+
+def merged(joins: Column, n: Column) -> Column:
+    """Bits of the bounds of the pieces after all merges."""
 
     def step(bounds: Column, _: Column) -> Column:
-        # an edge joins two neighbours if one bound lies inside it
-        fits = F.filter(edges, lambda e: (F.array_position(bounds, e["i"]) > 0) & (F.get(bounds, (F.array_position(bounds, e["i"]) + 1).cast("int")) == e["k"]))
-        return F.when(F.size(fits) == 0, bounds).otherwise(F.transform(F.slice(fits, 1, 1), lambda e: F.filter(bounds, lambda x: (x <= e["i"]) | (x >= e["k"])))[0])
+        # an edge joins two neighbours if both its ends are bounds and one bound lies inside it
+        fits = F.filter(joins, lambda e: (bounds.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(bounds.bitwiseAND(e["inner"])) == 1))
+        return F.coalesce(bounds.bitwiseAND(F.bitwise_not(F.get(fits, F.lit(0))["inner"])), bounds)
 
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), F.sequence(F.lit(0), n), step)
+    # each merge takes an edge of its own, and there are fewer merges than characters
+    steps = F.slice(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), F.lit(1), F.least(n - 1, F.size(joins)))
+    return F.aggregate(steps, bit(n + 1) - 1, step)
 
 
 def best_path(edges: Column, n: Column) -> Column:
@@ -75,6 +89,12 @@ def best_path(edges: Column, n: Column) -> Column:
     )
 
 
+def _pieces(edges: Column, bits: Column) -> Column:
+    """(i, id) of the edges between neighbouring bounds."""
+    span = F.filter(edges, lambda e: bits.bitwiseAND(bit(e["k"] + 1) - bit(e["i"])) == bit(e["i"]).bitwiseOR(bit(e["k"])))
+    return F.transform(span, lambda e: F.struct(e["i"].alias("i"), e["id"].alias("id")))
+
+
 def _ids(word: Column, edges: Column, bounds: Column, byte_ids: list[int]) -> Column:
     of_byte = F.array(*map(F.lit, byte_ids))
 
@@ -136,11 +156,17 @@ def word_ids(words: DataFrame, pieces: DataFrame, byte_ids: list[int], fold: str
     met = spans.join(F.broadcast(pieces), "piece", "left").filter(F.col("id").isNotNull() | (F.col("k") == F.col("i") + 1))
     edge = F.when(F.col("id").isNotNull(), F.struct((-F.col("score")).alias("cost"), "i", "k", "id"))
     lattice = met.groupBy("word").agg(F.array_sort(F.collect_list(edge)).alias("edges"))
-    path = merged if fold == "merges" else best_path
-    bounds = lattice.select("word", "edges", path(F.col("edges"), n).alias("bounds"))
-    folded = bounds.select("word", _ids(F.col("word"), F.col("edges"), F.col("bounds"), byte_ids).alias("ids"))
     if fold != "merges":
-        return folded
+        bounds = lattice.select("word", "edges", best_path(F.col("edges"), n).alias("bounds"))
+        return bounds.select("word", _ids(F.col("word"), F.col("edges"), F.col("bounds"), byte_ids).alias("ids"))
+    joins = lattice.select("word", "edges", joins_of(F.col("edges")).alias("joins"))
+    bits = joins.select("word", "edges", merged(F.col("joins"), n).alias("bits"))
+    whole = bits.select("word", "edges", "bits", F.array_sort(_pieces(F.col("edges"), F.col("bits"))).alias("held"))
+    bounds = F.filter(F.sequence(F.lit(0), n), lambda x: F.col("bits").bitwiseAND(bit(x)) != 0)
+    # fewer edges than pieces: some characters have no piece and are spelled
+    all_held = F.size("held") == F.bit_count("bits") - 1
+    ids = F.when(all_held, F.transform("held", lambda e: e["id"])).otherwise(_ids(F.col("word"), F.col("edges"), bounds, byte_ids))
+    folded = whole.select("word", ids.alias("ids"))
     known = {r["piece"]: (r["id"], r["score"]) for r in pieces.collect()}
     return folded.union(in_arrow(words.filter(n > longest).select("word"), _by_heap(known, byte_ids), "word string, ids array<int>"))
 
