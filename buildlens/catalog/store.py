@@ -10,6 +10,7 @@ from buildlens.operators import cache as C
 from buildlens.operators import store as B
 from buildlens.plans import standins as D
 from buildlens.session import checkpointed
+from buildlens.sources import blob_store as T
 from buildlens.sources import inventory as I
 
 QUERIES, SQL = {}, {}
@@ -208,8 +209,38 @@ def _(s, d):
         (F.col("doc_id") % 3000).alias("offset"),
         (F.col("doc_id") % 3 * 100).alias("limit"),
     )
-    store = docs.groupBy("hash").agg(F.first("text").alias("content"))
-    return B.range_read(requests, store).withColumn("slice", F.hex("slice"))
+    chunks = s.table(T.write_chunks(docs.groupBy("hash").agg(F.first("text").alias("content")), chunk_bytes=256))
+    sizes = chunks.filter("chunk = 0").select("hash", "size_bytes")
+    return T.range_in(requests, sizes, chunks, chunk_bytes=256).withColumn("slice", F.hex("slice"))
+
+
+@query(
+    "store_missing",
+    with_ctes("req store", "SELECT request_id, hash, size_bytes FROM req r WHERE NOT EXISTS (SELECT 1 FROM store t "
+              "WHERE t.hash = r.hash AND t.size_bytes = r.size_bytes)"),
+)
+def _(s, d):
+    return T.missing_in(D.requested_digests(s, d), s.table(T.write_blobs(D.stored_digests(s, d))))
+
+
+@query(
+    "store_read",
+    with_ctes("req store", "SELECT request_id, r.hash, t.size_bytes AS stored_size, first_doc, "
+              "CASE WHEN t.hash IS NULL THEN 5 ELSE 0 END AS status FROM req r LEFT JOIN store t ON t.hash = r.hash "
+              "ORDER BY request_id"),
+)
+def _(s, d):
+    return B.batch_read(D.requested_digests(s, d), s.table(T.write_blobs(D.stored_digests(s, d))), ["first_doc"])
+
+
+@query(
+    "store_delete",
+    with_ctes("docs store", "SELECT DISTINCT hash, size_bytes FROM docs WHERE hash NOT IN (SELECT hash FROM store)"),
+)
+def _(s, d):
+    name = T.write_blobs(D.documents(s, d).select("hash", "size_bytes"))
+    T.delete_in(s, name, D.stored_digests(s, d))
+    return s.table(name).select("hash", "size_bytes")
 
 
 @query(
@@ -264,6 +295,22 @@ def _(s, d):
     return B.eviction_plan(checkpointed(accessed_blobs(s, d)), 500000)
 
 
+@query(
+    "store_retain",
+    with_ctes(
+        "docs",
+        "SELECT hash, size_bytes, last_access FROM (SELECT *, coalesce(sum(size_bytes) OVER (ORDER BY last_access, hash "
+        "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(size_bytes) OVER () AS total FROM blobs) "
+        "WHERE before >= total - 500000",
+        blobs=BLOBS,
+    ),
+)
+def _(s, d):
+    name = T.write_blobs(accessed_blobs(s, d))
+    T.retain_in(s, name, 500000)
+    return s.table(name).drop("prefix")
+
+
 ENTRIES = (
     "SELECT sha256(user_id || '-' || k) AS hash, min(us) AS inserted_us, max(us) AS accessed_us FROM ev GROUP BY 1"
 )
