@@ -84,6 +84,36 @@ def _(s, d):
     )
 
 
+ERRORS = (
+    "SELECT CAST(o_orderkey AS VARCHAR) AS invocation_id, 1000000000 AS sequence_number, 'stopped: ' || o_orderpriority AS error "
+    "FROM orders WHERE o_orderstatus <> 'F' UNION ALL SELECT CAST(inv AS VARCHAR), seq, 'broken: ' || label FROM act WHERE NOT ok"
+)
+
+
+def reported(s, d):
+    return L.normalize_event(L.decode_filter(D.raw_events(s, d, completions=True)))
+
+
+@query("build_errors", with_ctes("act", ERRORS))
+def _(s, d):
+    return B.build_errors(reported(s, d))
+
+
+@query(
+    "build_summary_errors",
+    with_ctes(
+        "act",
+        "SELECT CAST(o_orderkey AS VARCHAR) AS invocation_id, CASE WHEN o_orderstatus = 'F' THEN 'success' ELSE 'failure' END AS "
+        "status, coalesce((SELECT string_agg(error, ';' ORDER BY sequence_number, error) FROM err WHERE err.invocation_id = "
+        "CAST(o_orderkey AS VARCHAR)), '') AS errors FROM orders",
+        err=ERRORS,
+    ),
+)
+def _(s, d):
+    out = B.build_summary(reported(s, d), targets=False, errors=True)
+    return out.select("invocation_id", "status", F.array_join("errors", ";").alias("errors"))
+
+
 @query(
     "decode_filter",
     with_ctes("act", f"SELECT invocation_id, count(*) AS events FROM ({RAW}) GROUP BY invocation_id"),

@@ -9,7 +9,7 @@ from buildlens.functions import exprs as X
 from buildlens.operators import cache as C
 from buildlens.operators import store as B
 from buildlens.plans import standins as D
-from buildlens.session import checkpointed
+from buildlens.session import checkpointed, scratch_path
 from buildlens.sources import blob_store as T
 from buildlens.sources import inventory as I
 
@@ -392,6 +392,13 @@ def _(s, d):
     return I.digests_of_listing(listing, "/store").select("hash", F.col("length").alias("size_bytes"), "modified")
 
 
+@query("list_blob_files", with_ctes("docs", "SELECT DISTINCT hash, size_bytes FROM docs"))
+def _(s, d):
+    root = scratch_path(s, "blob-files")
+    I.write_blob_files(D.documents(s, d).groupBy("hash").agg(F.first("text").alias("content")), root)
+    return I.scan_blob_inventory(s, root).select("hash", "size_bytes")
+
+
 TTL = (
     "SELECT seq, k AS hash, us - put_us AS age_us, CASE WHEN put_us IS NULL THEN 'miss' WHEN us - put_us <= 3600000000 "
     "THEN 'hit' ELSE 'expired' END AS outcome FROM (SELECT *, max(CASE WHEN put THEN us END) OVER (PARTITION BY k ORDER BY us, "

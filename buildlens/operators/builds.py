@@ -23,6 +23,10 @@ def _newest(value: str | Column, when: Column) -> Column:
     return F.max_by(value, F.when(when, F.col(SEQ)))
 
 
+def _succeeded() -> Column:
+    return F.coalesce(F.col("overall_success"), F.lit(False)) | F.coalesce(F.col("exit_code") == 0, F.lit(False))
+
+
 def targets_seen(events: DataFrame) -> DataFrame:
     """Distinct labels per build with the position at which each was first seen."""
     named = events.filter(F.col("kind").isin("ActionExecuted", "TargetComplete") & (F.col("label") != ""))
@@ -34,7 +38,7 @@ _SUMMARY_KINDS = ["BuildStarted", "BuildFinished", "BuildMetrics", "ActionExecut
 
 
 def build_summary(
-    events: DataFrame, compat: bool = False, targets: bool = True, other_kinds: bool = True
+    events: DataFrame, compat: bool = False, targets: bool = True, other_kinds: bool = True, errors: bool = False
 ) -> DataFrame:
     """Fold the flat events of each invocation into one row.
 
@@ -43,11 +47,13 @@ def build_summary(
     that follow the last metrics event need that event's position and are counted apart, over remote test hits
     only. The target list is collected from labels already made distinct.
 
+    ``errors`` adds the failure details in the order of their events (equal positions by text); events need the column
+    ``failure_detail`` for it. ``build_errors`` has them as rows, for builds with more than a row should hold.
+
     ``compat`` adds cached tests to ``cached_actions`` as the original reports do, which can exceed the total.
     """
     finished = _is("BuildFinished")
-    ok = F.coalesce(F.col("overall_success"), F.lit(False)) | F.coalesce(F.col("exit_code") == 0, F.lit(False))
-    status = F.when(_is("BuildStarted"), "in_progress").when(finished, F.when(ok, "success").otherwise("failure"))
+    status = F.when(_is("BuildStarted"), "in_progress").when(finished, F.when(_succeeded(), "success").otherwise("failure"))
     metrics = F.col("remote_cache_hits").isNotNull() & _is("BuildMetrics")
     frame = (
         events.filter(F.col("kind").isin("BuildStarted", "BuildFinished", "BuildMetrics"))
@@ -109,6 +115,11 @@ def build_summary(
             "invocation_id",
             "left",
         ).withColumn("targets", F.coalesce("targets", F.array().cast("array<string>")))
+    if errors:
+        told = build_errors(events).groupBy("invocation_id").agg(F.array_sort(F.collect_list(F.struct(SEQ, "error"))).alias("_told"))
+        listed = told.select("invocation_id", F.transform("_told", lambda x: x["error"]).alias("errors"))
+        out = out.join(listed, "invocation_id", "left")
+        out = out.withColumn("errors", F.coalesce("errors", F.array().cast("array<string>")))
     start, end = X.instant(F.col("start_time")), X.instant(F.col("end_time"))
     cached_total = F.col("cached_only_actions")
     if compat:
@@ -130,14 +141,13 @@ def build_summary(
         "cached_test_results",
         "cached_test_runs",
         *(["targets"] if targets else []),
+        *(["errors"] if errors else []),
     )
 
 
 def build_errors(events: DataFrame) -> DataFrame:
-    """Failure details in order, one row each: the long form of a summary's error list."""
-    failed = (_is("BuildFinished") & ~F.coalesce("overall_success", F.lit(False))) | (
-        _is("TargetComplete") & ~F.coalesce("success", F.lit(False))
-    )
+    """Failure details, one row each: what failed builds and failed targets reported. The long form of ``errors``."""
+    failed = (_is("BuildFinished") & ~_succeeded()) | (_is("TargetComplete") & ~F.coalesce("success", F.lit(False)))
     return events.filter(failed & F.col("failure_detail").isNotNull()).select(
         "invocation_id", SEQ, F.col("failure_detail").alias("error")
     )

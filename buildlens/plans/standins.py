@@ -400,8 +400,9 @@ def tree_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.unionByName(mid).unionByName(leaves[0]).unionByName(leaves[1])
 
 
-def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as they are logged: an id, announced children and a one-key JSON payload."""
+def raw_events(spark: SparkSession, sf_dir: str, completions: bool = False) -> DataFrame:
+    """Events as they are logged: an id, announced children and a one-key JSON payload; test results have their time in
+    the envelope only. ``completions`` adds one for each line, with a failure detail also where nothing failed."""
     o = table(spark, sf_dir, "orders")
     start = rfc3339(F.col("o_orderdate").cast("timestamp"))
     note = lambda *c: F.to_json(F.struct(*c))
@@ -411,17 +412,19 @@ def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     started = note(F.struct(F.col("o_orderpriority").alias("command"), start.alias("start_time")).alias("Started"))
     finished = note(
         F.struct(
-            (F.col("o_orderstatus") == "F").alias("overall_success"), F.lit(3).alias("exit_code"), start.alias("finish_time")
+            (F.col("o_orderstatus") == "F").alias("overall_success"), F.lit(3).alias("exit_code"), start.alias("finish_time"),
+            F.concat(F.lit("stopped: "), "o_orderpriority").alias("failure_detail"),
         ).alias("Finished")
     )
 
-    def event(df, inv, seq, type_url, last, id_, children, payload):
+    def event(df, inv, seq, type_url, last, id_, children, payload, time=F.lit(None)):
         return df.select(
             inv.cast("string").alias("invocation_id"),
             seq.cast("bigint").alias("sequence_number"),
             type_url.alias("type_url"),
             F.lit(last).alias("last_message"),
             id_.alias("id"),
+            time.cast("string").alias("timestamp"),
             children.alias("children"),
             payload.alias("payload"),
         )
@@ -429,8 +432,8 @@ def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     inv = F.col("o_orderkey")
     other = F.lit("type.googleapis.com/other.Message")
     branches = [
-        event(o, inv, F.lit(0), url, False, F.lit("BuildStarted"), child, started),
-        event(o, inv, F.lit(1000000000), F.lit(""), True, F.lit("BuildFinished"), none, finished),
+        event(o, inv, F.lit(0), url, False, F.lit("BuildStarted"), child, started, start),
+        event(o, inv, F.lit(1000000000), F.lit(""), True, F.lit("BuildFinished"), none, finished, start),
         event(o, inv, F.lit(1000000001), other, False, F.lit("Progress"), none, F.lit("{}")),
     ]
     li = table(spark, sf_dir, "lineitem")
@@ -450,13 +453,15 @@ def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(
             _test_status().alias("status"),
             (F.col("l_discount") == 0).alias("cached_locally"),
-            a["start_time"].alias("test_attempt_start"),
         ).alias("TestResult")
     )
     announce = F.array(F.create_map(F.lit("test_result"), note(label.alias("label"))))
     inv, seq = F.col("l_orderkey"), line_seq()
-    branches.append(event(li, inv, seq, url, False, F.concat(F.lit("ActionCompleted:"), label), announce, action))
-    branches.append(event(li, inv, seq, url, False, F.concat(F.lit("TestResult:"), label), none, result))
+    branches.append(event(li, inv, seq, url, False, F.concat(F.lit("ActionCompleted:"), label), announce, action, a["start_time"]))
+    branches.append(event(li, inv, seq, url, False, F.concat(F.lit("TestResult:"), label), none, result, a["start_time"]))
+    if completions:
+        completed = note(F.struct(a["success"].alias("success"), F.concat(F.lit("broken: "), label).alias("failure_detail")).alias("Completed"))
+        branches.append(event(li, inv, seq, url, False, F.concat(F.lit("TargetCompleted:"), label), none, completed))
     out = branches[0]
     for b in branches[1:]:
         out = out.unionByName(b)

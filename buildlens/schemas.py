@@ -90,11 +90,11 @@ PAYLOAD = (
     " build_tool_version STRING, start_time STRING>,"
     "ActionExecuted STRUCT<success BOOLEAN, type STRING, exit_code INT, label STRING, start_time STRING,"
     " end_time STRING, spawn_cache_hit BOOLEAN>,"
-    "Completed STRUCT<success BOOLEAN, tag ARRAY<STRING>>,"
+    "Completed STRUCT<success BOOLEAN, tag ARRAY<STRING>, failure_detail STRING>,"
     "TestSummary STRUCT<overall_status INT, total_run_count INT, total_num_cached INT, first_start_time STRING>,"
     "TestResult STRUCT<status INT, cached_locally BOOLEAN, cached_remotely BOOLEAN, test_attempt_start STRING,"
     " test_attempt_duration_ms BIGINT>,"
-    "Finished STRUCT<overall_success BOOLEAN, exit_code INT, finish_time STRING>,"
+    "Finished STRUCT<overall_success BOOLEAN, exit_code INT, finish_time STRING, failure_detail STRING>,"
     "BuildMetrics STRUCT<remote_cache_hits BIGINT, actions_executed BIGINT>,"
     "WorkspaceInfo STRUCT<local_exec_root STRING>,"
     "BuildMetadata STRUCT<metadata MAP<STRING, STRING>>,"

@@ -112,8 +112,12 @@ def normalize_event(raw: DataFrame, order: str = "sequence_number") -> DataFrame
     """Raw events -> one flat table with the fields of all payload kinds, null where a kind has none.
 
     Payload objects are parsed once, with the union of their schemas; the kind is the one key of the object and
-    needs no parsing.
+    needs no parsing. Logs keep the time of test results and summaries in the envelope only, so an event without a time
+    in its payload takes the envelope's. ``failure_detail`` and ``spawn_cache_hit`` are fields that the log's writer has
+    to add; without them they are null.
     """
+    if "timestamp" not in raw.columns:
+        raw = raw.withColumn("timestamp", F.lit(None).cast("string"))
     variant = F.regexp_extract("payload", r'^\s*\{\s*"([A-Za-z]+)"', 1)
     e = raw.withColumns({"p": F.from_json("payload", S.PAYLOAD), "variant": F.when(variant != "", variant)})
     kind = F.coalesce(X.lookup(F.col("variant"), S.KIND_OF_PAYLOAD), F.col("variant"))
@@ -123,7 +127,9 @@ def normalize_event(raw: DataFrame, order: str = "sequence_number") -> DataFrame
         "p.Finished.finish_time",
         "p.TestResult.test_attempt_start",
         "p.TestSummary.first_start_time",
+        "timestamp",
     )
+    test_start = F.coalesce("p.TestResult.test_attempt_start", F.when(F.col("variant") == "TestResult", F.col("timestamp")))
     start, end = "p.ActionExecuted.start_time", "p.ActionExecuted.end_time"
     action_label = F.coalesce(_after(F.col("id"), "ActionCompleted:"), "p.ActionExecuted.label")
     return e.select(
@@ -153,7 +159,7 @@ def normalize_event(raw: DataFrame, order: str = "sequence_number") -> DataFrame
         F.col("p.TestResult.status").alias("test_status"),
         F.col("p.TestResult.cached_locally").alias("cached_locally"),
         F.col("p.TestResult.cached_remotely").alias("cached_remotely"),
-        X.instant(F.col("p.TestResult.test_attempt_start")).alias("test_start_ts"),
+        X.instant(test_start).alias("test_start_ts"),
         F.col("p.TestResult.test_attempt_duration_ms").alias("test_duration_ms"),
         F.col("p.TestSummary.overall_status").alias("overall_status"),
         F.col("p.TestSummary.total_run_count").alias("total_run_count"),
@@ -161,6 +167,23 @@ def normalize_event(raw: DataFrame, order: str = "sequence_number") -> DataFrame
         F.col("p.BuildMetrics.remote_cache_hits").alias("remote_cache_hits"),
         F.col("p.BuildMetrics.actions_executed").alias("actions_executed"),
         F.col("p.UnstructuredCommandLine.args").alias("args"),
+        F.coalesce("p.Finished.failure_detail", "p.Completed.failure_detail").alias("failure_detail"),
+        F.col("p.Started.uuid").alias("uuid"),
+        F.col("p.Started.working_directory").alias("working_directory"),
+        F.col("p.Progress.stdout").alias("stdout"),
+        F.col("p.Progress.stderr").alias("stderr"),
+        F.col("p.Aborted.reason").alias("abort_reason"),
+        F.col("p.Aborted.description").alias("abort_description"),
+        F.col("p.WorkspaceInfo.local_exec_root").alias("local_exec_root"),
+        F.col("p.BuildMetadata.metadata").alias("metadata"),
+        F.col("p.Configuration.mnemonic").alias("mnemonic"),
+        F.col("p.Configuration.platform_name").alias("platform_name"),
+        F.col("p.Configuration.cpu").alias("cpu"),
+        F.col("p.Configured.actual").alias("actual"),
+        F.col("p.OptionsParsed.cmd_line").alias("cmd_line"),
+        F.col("p.OptionsParsed.startup_options").alias("startup_options"),
+        F.col("p.WorkspaceStatus.item").alias("workspace_status"),
+        F.col("p.StructuredCommandLine.type_url").alias("command_line_type"),
     )
 
 

@@ -84,6 +84,60 @@ def test_normalize(flat):
     assert by_id["BuildFinished"].timestamp == "2024-01-01T00:00:09+00:00"
 
 
+def test_lines_as_the_log_has_them(spark, tmp_path):
+    """Envelope, children and payload as written by the service, for every kind of payload."""
+    t = "2024-05-06T07:08:0{}+00:00".format
+
+    def line(kind, payload, id_, time=None, last=False):
+        variant = next(iter(payload))
+        return json.dumps({"children": [], "id": id_, "kind": kind, "last_message": last, "payload": {variant: payload[variant]}, "timestamp": time})
+
+    empty = ["NamedSetOfFiles", "BuildToolLogs", "TargetSummary", "ConvenienceSymlinksIdentified", "ExecRequest", "TestProgress"]
+    lines = [
+        line("BuildStarted", {"Started": {"uuid": "u", "command": "test", "workspace_directory": "/w", "working_directory": "/w/d",
+                                          "build_tool_version": "8.0.0", "start_time": t(1)}}, "BuildStarted", t(1)),
+        line("TestResult", {"TestResult": {"status": 1, "cached_locally": False, "cached_remotely": None}}, "TestResult://t", t(3)),
+        line("TestSummary", {"TestSummary": {"overall_status": 1, "total_run_count": 2, "total_num_cached": 0}}, "TestSummary://t", t(2)),
+        line("Progress", {"Progress": {"stdout": "o", "stderr": "e"}}, "Progress"),
+        line("Aborted", {"Aborted": {"reason": 3, "description": "d"}}, "TargetCompleted://x"),
+        line("WorkspaceInfo", {"WorkspaceInfo": {"local_exec_root": "/r"}}, "Unknown"),
+        line("BuildMetadata", {"BuildMetadata": {"metadata": {"k": "v"}}}, "BuildMetadata"),
+        line("Configuration", {"Configuration": {"mnemonic": "m", "platform_name": "p", "cpu": "c"}}, "Configuration"),
+        line("TargetConfigured", {"Configured": {"target_kind": "rule", "actual": "//z"}}, "TargetConfigured://y"),
+        line("OptionsParsed", {"OptionsParsed": {"cmd_line": ["--a"], "startup_options": ["--s"]}}, "OptionsParsed"),
+        line("WorkspaceStatus", {"WorkspaceStatus": {"item": [{"key": "USER", "value": "n"}]}}, "WorkspaceStatus"),
+        line("StructuredCommandLine", {"StructuredCommandLine": {"type_url": "x/y"}}, "StructuredCommandLine"),
+        line("PatternExpanded", {"Expanded": {}}, "Pattern://a"),
+        line("SkyValueUploaded", {"SkyvalueUploaded": {}}, "SkyValueUploaded"),
+        *[line(kind, {kind: {}}, kind) for kind in empty],
+        line("TargetComplete", {"Completed": {"success": False, "tag": [], "failure_detail": "compile"}}, "TargetCompleted://x"),
+        line("TargetComplete", {"Completed": {"success": True, "tag": [], "failure_detail": "none"}}, "TargetCompleted://y"),
+        line("BuildFinished", {"Finished": {"overall_success": False, "exit_code": 1, "finish_time": t(9), "failure_detail": "stopped"}},
+             "BuildFinished", t(9), last=True),
+    ]
+    (tmp_path / "inv").mkdir()
+    (tmp_path / "inv" / "events.jsonl").write_text("\n".join(lines))
+    flat = event_log.normalize_event(event_log.read_event_log(spark, str(tmp_path))[0], order="line_order").cache()
+    rows = flat.collect()
+    assert sorted(r.kind for r in rows) == sorted(json.loads(x)["kind"] for x in lines)
+    by_kind = {r.kind: r for r in rows}
+    assert by_kind["TestResult"].timestamp == t(3) and by_kind["TestResult"].test_start_ts == by_kind["TestResult"].event_ts
+    assert by_kind["TestResult"].event_ts is not None and by_kind["TestSummary"].timestamp == t(2)
+    assert by_kind["TestSummary"].test_start_ts is None and by_kind["Progress"].event_ts is None
+    assert (by_kind["BuildStarted"].uuid, by_kind["BuildStarted"].working_directory) == ("u", "/w/d")
+    assert (by_kind["Progress"].stdout, by_kind["Progress"].stderr) == ("o", "e")
+    assert (by_kind["Aborted"].abort_reason, by_kind["Aborted"].abort_description) == ("3", "d")
+    assert by_kind["WorkspaceInfo"].local_exec_root == "/r" and by_kind["BuildMetadata"].metadata == {"k": "v"}
+    conf = by_kind["Configuration"]
+    assert (conf.mnemonic, conf.platform_name, conf.cpu, by_kind["TargetConfigured"].actual) == ("m", "p", "c", "//z")
+    assert (by_kind["OptionsParsed"].cmd_line, by_kind["OptionsParsed"].startup_options) == (["--a"], ["--s"])
+    assert by_kind["WorkspaceStatus"].workspace_status[0].asDict() == {"key": "USER", "value": "n"}
+    assert by_kind["StructuredCommandLine"].command_line_type == "x/y"
+    summary = B.build_summary(flat, errors=True).first()
+    assert (summary.status, summary.errors, summary.duration_ms) == ("failure", ["compile", "stopped"], 8000)
+    assert sorted(r.error for r in B.build_errors(flat).collect()) == ["compile", "stopped"]
+
+
 def test_edges(log):
     edges = event_log.event_edges(log[0].filter("invocation_id = 'inv-2'")).collect()
     assert sorted((r.child_id, r.child_label) for r in edges) == [
@@ -196,6 +250,22 @@ def test_inventory_of_a_directory(spark, tmp_path):
     assert got == [(h1, 5), (h2, 5)]
 
 
+def test_listing_has_a_partition_for_each_directory(spark, tmp_path):
+    hashes = [hashlib.sha256(str(i).encode()).hexdigest() for i in range(40)]
+    store = spark.createDataFrame([(h, h.encode() * i) for i, h in enumerate(hashes)], "hash string, content binary")
+    inventory.write_blob_files(store, str(tmp_path))
+    inventory.write_blob_files(store, f"file://{tmp_path}")  # once more changes nothing
+    (tmp_path / "AB" / "cd").mkdir(parents=True)
+    (tmp_path / "AB" / "cd" / ("e" * 60)).write_bytes(b"1")
+    for root in (str(tmp_path), f"file://{tmp_path}/"):
+        rows = inventory.scan_blob_inventory(spark, root)
+        assert rows.rdd.getNumPartitions() == 257
+        got = {r.hash: r.size_bytes for r in rows.collect()}
+        assert got == {h: 64 * i for i, h in enumerate(hashes)} | {"abcd" + "e" * 60: 1}
+    with pytest.raises(Exception, match="no-such"):
+        inventory.scan_blob_inventory(spark, str(tmp_path / "no-such")).collect()
+
+
 def test_versions(spark):
     rows = [("7.4.1", None), (None, "x Bazel/8.0 y"), ("bad", "bazel/9"), (None, "curl"), ("6.x.2", None), (" 10 ", None), ("-7", None)]
     df = spark.createDataFrame(rows, "header string, ua string").select(
