@@ -205,6 +205,17 @@ def _stored_summary(s, d):
     return H.read_summary(s, path)
 
 
+@query("compact_summaries", with_ctes("summary", f"SELECT {SUMMARY_COLUMNS} FROM summary"))
+def _(s, d):
+    path = scratch_path(s, "compacted")
+    real = CB.summary(s, d, targets=False)
+    H.write_summary(real.withColumn("status", F.lit("in_progress")), path, version=1)
+    H.compact_summaries(s, path)
+    H.write_summary(real.filter("status <> 'in_progress'"), path, version=2)
+    H.compact_summaries(s, path)
+    return H.read_summary(s, path)
+
+
 @query("write_summary", with_ctes("summary", f"SELECT {SUMMARY_COLUMNS} FROM summary"))
 def _(s, d):
     return _stored_summary(s, d)

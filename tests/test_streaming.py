@@ -173,6 +173,34 @@ def test_versions_of_a_new_checkpoint_stay_behind(spark, arrivals, tmp_path):
     assert read_summary(spark, out).collect() == first
 
 
+def test_compacted_summaries(spark, tmp_path):
+    import os
+
+    from buildlens.sources import history
+
+    path = str(tmp_path / "s")
+    put = lambda version, *rows: history.write_summary(spark.createDataFrame(rows, "invocation_id string, start_time string, status string"), path, version=version)
+    read = lambda: {r.invocation_id: r.status for r in read_summary(spark, path).collect()}
+    put(1, ("a", "2024-01-05", "old"), ("b", "2024-02-05", "b1"), ("c", None, "c1"), ("d", "x/y", "d1"))
+    put(3, ("a", "2024-01-05", "new"))
+    want = {"a": "new", "b": "b1", "c": "c1", "d": "d1"}
+    assert read() == want
+    assert history.compact_summaries(spark, path) == ["2024-01", "2024-02", "unknown"]
+    assert read() == want and history.compact_summaries(spark, path) == []
+    folders, covered, fresh = history._parts(spark, path)
+    assert not fresh and len(covered) >= 3 and spark.read.parquet(*folders.values()).count() == 4
+    put(2, ("a", "2024-01-05", "stale"))  # written again from an old place: loses
+    put(4, ("c", "2024-02-09", "c4"))  # its start is known now, so it moves to another month
+    want["c"] = "c4"
+    assert read() == want
+    january = folders["unknown"]
+    assert history.compact_summaries(spark, path) == ["2024-01", "2024-02"]
+    assert read() == want and history._parts(spark, path)[0]["unknown"] == january
+    # a run that broke off before its manifest leaves nothing that is read
+    os.makedirs(f"{path}/_compacted/broken")
+    assert read() == want
+
+
 def test_append_order_of_several_files(spark, tmp_path):
     from buildlens import schemas
     from buildlens.sources import history
