@@ -1,18 +1,22 @@
 """SentencePiece encoding and decoding as a relational lattice.
 
-The distinct words of the corpus (cut where no piece can cross: before the space mark, and between letters and other
-characters if the vocabulary allows it) are exploded into their substrings of at most the longest piece's length, which
-meet the piece table in an equi-join. The edges of each word are grouped, and a fold with Spark's ``aggregate`` picks
-the path; unknown characters become their bytes. Each document's words then take their ids by a join.
+Tasks cut their texts into words (where no piece can cross: before the space mark, and between letters and other
+characters if the vocabulary allows it), in blocks of some ``BLOCK_BYTES``, and send each distinct word of a block once.
+The distinct words are exploded into their substrings of at most the longest piece's length, which meet the piece table
+in an equi-join. The edges of each word are grouped, and a fold with Spark's ``aggregate`` picks the path; unknown
+characters become their bytes. Ids go back to the blocks that asked for them, packed, and meet the blocks' word numbers.
 
 Models differ in what the best path is. For unigram models it is the path of the greatest sum of scores, a Viterbi fold
 over positions. Scores of BPE models are only ranks of merges, and the sum of ranks picks other pieces than the library;
 the fold for them joins neighbours over the lattice's edges in the order of the ranks, the leftmost of equal ones first,
-which gives the library's ids.
-
-Words of more than ``LONG`` characters (a fold's work grows with the square of the length) are merged with a heap in
-Arrow batches: the same rule. Null and empty texts have no ids. Rows with null or repeated ids each give a row. Other
-columns are not read.
+which gives the library's ids. One pass over the edges does, but where a piece is made of a part of a later rank
+(``merge_order``).
+
+Words of more than ``LONG`` characters have more bounds than a number has bits, and are merged with a heap in Arrow
+batches: the same rule. Words of ``SECTION`` input partitions are folded together, so that a word has a bounded number
+of blocks to go to. The texts are read twice and must come in the same partitions and order then, as files do; blocks
+that differ raise. Null and empty texts have no ids, and an empty table gives no rows. Rows with null or repeated ids
+each give a row; equal texts have equal ids. Very long texts are a block of their own. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -20,16 +24,21 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from buildlens.llm.common import in_arrow, stored, table
+from buildlens.llm.common import gathered, in_arrow, slices, table, text_of
 
 MARK = "▁"
-#: Parts at whose ends no piece may cross, and the same without the cut at letters; longest word that is folded.
+#: Words of texts that hold the cut mark, with the cut at letters and without it; longest word that is folded.
 FINE, COARSE = f"{MARK}*\\p{{L}}+|{MARK}*[^\\p{{L}}{MARK}]+|{MARK}+", f"{MARK}*[^{MARK}]+|{MARK}+"
 LONG = 48
+#: UTF-8 bytes of the texts of a block, and input partitions whose words are folded together.
+BLOCK_BYTES, SECTION = 24 << 20, 256
 
 
 def piece_table(spark: SparkSession, model_file: str) -> tuple[DataFrame, list[int]]:
@@ -43,15 +52,165 @@ def piece_table(spark: SparkSession, model_file: str) -> tuple[DataFrame, list[i
     return spark.createDataFrame(plain, "piece string, id int, score double"), [by_byte.get(b, sp.unk_id()) for b in range(256)]
 
 
-def parts_of(text: Column, pattern: str) -> Column:
-    marked = F.when(text == "", F.lit("")).otherwise(F.concat(F.lit(MARK), F.replace(text, F.lit(" "), F.lit(MARK))))
-    return F.regexp_extract_all(marked, F.lit(pattern), F.lit(0))
+def numbered(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Codes of all entries, where each list's codes start (with the end of the last), and the distinct entries."""
+    coded = lists.flatten().dictionary_encode()
+    sizes = pc.fill_null(lists.value_lengths(), 0).to_numpy(zero_copy_only=False)
+    return coded.indices.to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(sizes, dtype=np.int64))), coded.dictionary
+
+
+def cut_at_letters(words: pa.Array) -> pa.Array:
+    return pc.replace_substring_regex(pc.replace_substring_regex(words, f"(\\pL)([^\\pL{MARK}])", "\\1\0\\2"), f"([^\\pL{MARK}\\x00])(\\pL)", "\\1\0\\2")
+
+
+def words_in(texts: pa.Array, fine: bool) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """``numbered`` words of texts; an empty text has none."""
+    import regex
+
+    held = pc.match_substring(texts, "\0")  # texts that hold the cut mark are cut one by one
+    plain = pc.if_else(pc.or_(held, pc.equal(texts, "")), pa.scalar(None, texts.type), texts)
+    cut = pc.replace_substring(plain, " ", f"\0{MARK}")
+    runs = pc.fill_null(pc.match_substring_regex(plain, f"  |^ |{MARK}"), False)
+    if pc.any(runs).as_py():
+        whole = pc.binary_join_element_wise(MARK, pc.replace_substring(plain, " ", MARK), "")
+        again = pc.replace_substring_regex(whole, f"([^{MARK}]){MARK}", f"\\1\0{MARK}")
+        cut = pc.if_else(runs, again, pc.binary_join_element_wise(MARK, cut, ""))
+    else:
+        cut = pc.binary_join_element_wise(MARK, cut, "")
+    codes, starts, words = numbered(pc.split_pattern(cut, "\0"))
+    if fine:
+        part_codes, part_starts, words = numbered(pc.split_pattern(cut_at_letters(words), "\0"))
+        codes, at = gathered(part_codes, part_starts, codes)
+        starts = at[starts]
+    if pc.any(held).as_py():
+        code_of = {w: k for k, w in enumerate(words.to_pylist())}
+        each = [codes[a:b] for a, b in zip(starts[:-1], starts[1:])]
+        for r in np.flatnonzero(held.to_numpy(zero_copy_only=False)):
+            own = regex.findall(FINE if fine else COARSE, MARK + texts[int(r)].as_py().replace(" ", MARK))
+            each[r] = np.array([code_of.setdefault(w, len(code_of)) for w in own], np.int64)
+        codes, words = np.concatenate(each), pa.array(list(code_of), pa.string())
+        starts = np.concatenate(([0], np.cumsum([len(e) for e in each], dtype=np.int64)))
+    return codes, starts, words
+
+
+def blocks_of(batches: Iterator[pa.RecordBatch], fine: bool) -> Iterator[tuple[int, pa.Array, np.ndarray, np.ndarray, list[str]]]:
+    """Blocks of the task's texts: (block, ids of documents, their numbers of words, codes of the words, words)."""
+    import xxhash
+
+    task = TaskContext.get().partitionId()
+    ids: list[pa.Array] = []
+    sizes: list[np.ndarray] = []
+    codes: list[np.ndarray] = []
+    code_of: dict[str, int] = {}
+    filled, number = 0, 0
+
+    def block():
+        key = xxhash.xxh3_64_intdigest("\0".join([str(task), str(number), *code_of])) - (1 << 63)
+        return key, pa.concat_arrays(ids), np.concatenate(sizes).astype(np.int32), np.concatenate(codes), list(code_of)
+
+    for batch in slices(batches):
+        texts = text_of(batch)
+        own, starts, words = words_in(texts.cast(pa.string()), fine)
+        at = np.fromiter((code_of.setdefault(w, len(code_of)) for w in words.to_pylist()), np.int32, len(words))
+        ids.append(batch.column(0))
+        sizes.append(np.diff(starts))
+        codes.append(at[own])
+        filled += pc.sum(pc.binary_length(texts)).as_py() or 0
+        if filled >= BLOCK_BYTES:
+            yield block()
+            ids, sizes, codes, code_of, filled, number = [], [], [], {}, 0, number + 1
+    if ids:
+        yield block()
+
+
+def packed_ints(values: np.ndarray) -> bytes:
+    return pa.compress(np.ascontiguousarray(values, np.int32), codec="zstd", asbytes=True) if len(values) else b""
+
+
+def unpacked_ints(data: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(data, decompressed_size=4 * n, codec="zstd", asbytes=True), np.int32) if n else np.zeros(0, np.int32)
+
+
+def block_words(docs: DataFrame, fine: bool) -> DataFrame:
+    """(section, word, refs): the distinct words, and the (block, at) that hold them."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        section = TaskContext.get().partitionId() // SECTION
+        for block, _, _, _, words in blocks_of(batches, fine):
+            for a in range(0, len(words), 50_000):
+                part = words[a : a + 50_000]
+                columns = [np.full(len(part), section, np.int32), pa.array(part, pa.string()), np.full(len(part), block), np.arange(a, a + len(part), dtype=np.int32)]
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], ["section", "word", "block", "at"])
+
+    each = in_arrow(docs, emit, "section int, word string, block long, at int").repartition("section", "word")
+    return each.groupBy("section", "word").agg(F.collect_list(F.struct("block", "at")).alias("refs"))
+
+
+def block_codes(docs: DataFrame, fine: bool) -> DataFrame:
+    """(block, doc_ids, sizes, n, words, codes): the texts as numbers of their block's words."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, ids, sizes, codes, words in blocks_of(batches, fine):
+            row = [[block], [ids.to_pylist()], [sizes], [len(codes)], [len(words)], [packed_ints(codes)]]
+            types = [pa.int64(), pa.list_(ids.type), pa.list_(pa.int32()), pa.int64(), pa.int64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, types)], ["block", "doc_ids", "sizes", "n", "words", "codes"])
+
+    return in_arrow(docs, emit, f"block long, doc_ids array<{kind}>, sizes array<int>, n long, words long, codes binary")
+
+
+def packed_by_block(words: DataFrame, by_heap) -> DataFrame:
+    """(block, m, n, at, counts, ids): ids of words for each block that holds them, from (word, refs, ids)."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lists = batch.column(2)
+            if lists.null_count:
+                own = batch.column(0).to_pylist()
+                lists = pa.array([by_heap(own[k]) if v is None else v for k, v in enumerate(lists.to_pylist())], pa.list_(pa.int32()))
+            flat = lists.flatten().to_numpy(zero_copy_only=False)
+            ends = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False), dtype=np.int64)))
+            refs = batch.column(1).flatten()
+            blocks, places = (refs.field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            rows = np.repeat(np.arange(batch.num_rows), batch.column(1).value_lengths().to_numpy(zero_copy_only=False))
+            order = np.lexsort((places, blocks))
+            blocks, places, rows = blocks[order], places[order], rows[order]
+            cuts = np.concatenate(([0], np.flatnonzero(np.diff(blocks)) + 1, [len(blocks)]))
+            out = []
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                ids, starts = gathered(flat, ends, rows[a:b])
+                out.append((int(blocks[a]), int(b - a), len(ids), packed_ints(places[a:b]), packed_ints(np.diff(starts)), packed_ints(ids)))
+            types = [pa.int64()] * 3 + [pa.binary()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], ["block", "m", "n", "at", "counts", "ids"])
+
+    return in_arrow(words.select("word", "refs", "ids"), emit, "block long, m long, n long, at binary, counts binary, ids binary")
 
 
 def bit(place: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), place)
 
 
+def merge_order(scores: dict[str, float]) -> dict[str, bool]:
+    """The pieces that merges can reach, and which of them are late: what happens inside a piece until it is whole does
+    not depend on what stands around it, so its own merges tell. A piece is late if one of them has a later rank than
+    the next; a single pass in the order of ranks would come to the next too early."""
+    late = {}
+    for piece in scores:
+        parts, ranks = list(piece), []
+        while len(parts) > 1:
+            fits = [(-scores[x + y], a) for a, (x, y) in enumerate(zip(parts, parts[1:])) if x + y in scores]
+            if not fits:
+                break
+            rank, a = min(fits)
+            ranks.append(rank)
+            parts[a : a + 2] = [parts[a] + parts[a + 1]]
+        if len(parts) == 1:
+            late[piece] = ranks != sorted(ranks)
+    return late
+
+
 def joins_of(edges: Column) -> Column:
     """Edges of two and more characters as bits: both ends, and the places between; cheapest first as ``edges`` are."""
     return F.transform(
@@ -73,6 +232,16 @@ def merged(joins: Column, n: Column) -> Column:
     return F.aggregate(steps, bit(n + 1) - 1, step)
 
 
+def merged_in_order(joins: Column, n: Column) -> Column:
+    """As ``merged``, by one pass over the edges; for words without late pieces."""
+
+    def step(bounds: Column, e: Column) -> Column:
+        fits = (bounds.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(bounds.bitwiseAND(e["inner"])) == 1)
+        return F.when(fits, bounds.bitwiseAND(F.bitwise_not(e["inner"]))).otherwise(bounds)
+
+    return F.aggregate(joins, bit(n + 1) - 1, step)
+
+
 def best_path(edges: Column, n: Column) -> Column:
     """Bounds of the path with the least sum of costs; a character without a piece costs more than any pieces do."""
     unknown = F.lit(1e6)
@@ -138,50 +307,72 @@ def _by_heap(pieces: dict[str, tuple[int, float]], byte_ids: list[int]):
             out += [pieces[s][0]] if s in pieces else [byte_ids[x] for x in s.encode()]
         return out
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([ids_of(w) for w in batch.column(0).to_pylist()], pa.list_(pa.int32()))], ["word", "ids"])
-
-    return encode
+    return ids_of
 
 
-def word_ids(words: DataFrame, pieces: DataFrame, byte_ids: list[int], fold: str = "merges", longest: int = LONG) -> DataFrame:
-    """(word, ids) of distinct words."""
-    span = pieces.agg(F.max(F.length("piece"))).first()[0] or 1
+def word_ids(words: DataFrame, pieces: DataFrame, byte_ids: list[int], fold: str = "merges") -> DataFrame:
+    """``words`` (word, which is distinct within the other plain columns, and refs) with the ids of the words; null for
+    words that are too long for the fold of merges."""
+    spark = words.sparkSession
+    scores = {r["piece"]: (r["id"], r["score"]) for r in pieces.collect()}
+    late = merge_order({p: score for p, (_, score) in scores.items()}) if fold == "merges" else dict.fromkeys(scores, False)
+    known = spark.createDataFrame([(p, i, score, late[p]) for p, (i, score) in scores.items() if p in late], "piece string, id int, score double, late boolean")
+    span = max(map(len, scores), default=1)
+    keys = [c for c in words.columns if c != "refs"]
     n = F.length("word")
-    starts = words.filter(n <= longest if fold == "merges" else F.lit(True)).select("word", F.explode(F.sequence(F.lit(0), n - 1)).alias("i"))
-    spans = starts.select("word", "i", F.explode(F.sequence(F.col("i") + 1, F.least(n, F.col("i") + span))).alias("k"))
-    spans = spans.withColumn("piece", F.substring("word", F.col("i") + 1, F.col("k") - F.col("i")))
+    folds = n <= LONG if fold == "merges" else F.lit(True)
+    starts = words.select(*keys, "refs", F.explode(F.sequence(F.lit(0), F.when(folds, n - 1).otherwise(0))).alias("i"))
+    # the word's blocks travel with its first character alone
+    starts = starts.select(*keys, "i", F.when(F.col("i") == 0, F.col("refs")).alias("refs"))
+    ends = F.sequence(F.col("i") + 1, F.when(folds, F.least(n, F.col("i") + span)).otherwise(1))
+    spans = starts.select(*keys, "i", "refs", F.explode(ends).alias("k"))
+    one = F.col("k") == F.col("i") + 1
+    spans = spans.select(*keys, "i", "k", F.when(one, F.col("refs")).alias("refs"), F.substring("word", F.col("i") + 1, F.col("k") - F.col("i")).alias("piece"))
     # the piece table is a vocabulary: its size is fixed and does not follow the corpus
-    met = spans.join(F.broadcast(pieces), "piece", "left").filter(F.col("id").isNotNull() | (F.col("k") == F.col("i") + 1))
+    met = spans.join(F.broadcast(known), "piece", "left").filter(F.col("id").isNotNull() | one)
     edge = F.when(F.col("id").isNotNull(), F.struct((-F.col("score")).alias("cost"), "i", "k", "id"))
-    lattice = met.groupBy("word").agg(F.array_sort(F.collect_list(edge)).alias("edges"))
+    lattice = met.groupBy(*keys).agg(
+        F.array_sort(F.collect_list(edge)).alias("edges"), F.first("refs", ignorenulls=True).alias("refs"), F.max(F.coalesce("late", F.lit(False))).alias("late")
+    )
     if fold != "merges":
-        bounds = lattice.select("word", "edges", best_path(F.col("edges"), n).alias("bounds"))
-        return bounds.select("word", _ids(F.col("word"), F.col("edges"), F.col("bounds"), byte_ids).alias("ids"))
-    joins = lattice.select("word", "edges", joins_of(F.col("edges")).alias("joins"))
-    bits = joins.select("word", "edges", merged(F.col("joins"), n).alias("bits"))
-    whole = bits.select("word", "edges", "bits", F.array_sort(_pieces(F.col("edges"), F.col("bits"))).alias("held"))
+        bounds = lattice.withColumn("bounds", best_path(F.col("edges"), n))
+        return bounds.select(*keys, "refs", _ids(F.col("word"), F.col("edges"), F.col("bounds"), byte_ids).alias("ids"))
+    joins = lattice.withColumn("joins", joins_of(F.col("edges")))
+    picked = F.when(n > LONG, F.lit(None)).when(F.col("late"), merged(F.col("joins"), n)).otherwise(merged_in_order(F.col("joins"), n))
+    whole = joins.withColumn("bits", picked).withColumn("held", F.array_sort(_pieces(F.col("edges"), F.col("bits"))))
     bounds = F.filter(F.sequence(F.lit(0), n), lambda x: F.col("bits").bitwiseAND(bit(x)) != 0)
     # fewer edges than pieces: some characters have no piece and are spelled
     all_held = F.size("held") == F.bit_count("bits") - 1
-    ids = F.when(all_held, F.transform("held", lambda e: e["id"])).otherwise(_ids(F.col("word"), F.col("edges"), bounds, byte_ids))
-    folded = whole.select("word", ids.alias("ids"))
-    known = {r["piece"]: (r["id"], r["score"]) for r in pieces.collect()}
-    return folded.union(in_arrow(words.filter(n > longest).select("word"), _by_heap(known, byte_ids), "word string, ids array<int>"))
+    ids = F.when(n > LONG, F.lit(None)).when(all_held, F.transform("held", lambda e: e["id"])).otherwise(_ids(F.col("word"), F.col("edges"), bounds, byte_ids))
+    return whole.select(*keys, "refs", ids.alias("ids"))
 
 
 def encoded(docs: DataFrame, pieces: DataFrame, byte_ids: list[int], fold: str = "merges") -> DataFrame:
     """(doc_id, ids) of every row."""
-    pattern = FINE if pieces.filter(~F.col("piece").rlike(f"^(?:{FINE})$")).limit(1).count() == 0 else COARSE
-    rows = docs.select("doc_id", parts_of(F.coalesce(F.col("text").cast("string"), F.lit("")), pattern).alias("parts"))
-    words = rows.select(F.explode(F.array_distinct("parts")).alias("word")).distinct()
-    known = stored(word_ids(words, pieces, byte_ids, fold), "words")
-    # the row number is made and used in one branch, so it need not be the same twice
-    each = rows.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", F.posexplode_outer("parts").alias("at", "word"))
-    held = F.when(F.col("at").isNotNull(), F.struct("at", "ids"))
-    whole = each.join(known, "word", "left").groupBy("row", "doc_id").agg(F.array_sort(F.collect_list(held)).alias("parts"))
-    return whole.select("doc_id", F.flatten(F.transform("parts", lambda p: p["ids"])).alias("ids"))
+    vocabulary = {r["piece"]: (r["id"], r["score"]) for r in pieces.collect()}
+    fine = not pc.any(pc.match_substring(cut_at_letters(pa.array(list(vocabulary), pa.string())), "\0")).as_py()
+    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    known = packed_by_block(word_ids(block_words(docs, fine), pieces, byte_ids, fold), _by_heap(vocabulary, byte_ids))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def filled(texts: pa.Table, words: pa.Table) -> pa.Table:
+        rows = words.to_pylist()
+        at, counts, ids = ([unpacked_ints(r[c], r["n" if c == "ids" else "m"]) for r in rows] for c in ("at", "counts", "ids"))
+        none = [np.zeros(0, np.int32)]
+        at, counts, ids = np.concatenate(at + none), np.concatenate(counts + none), np.concatenate(ids + none)
+        order = np.argsort(at, kind="stable")
+        flat, ends = gathered(ids, np.concatenate(([0], np.cumsum(counts, dtype=np.int64))), order)
+        out = []
+        for r in texts.to_pylist():
+            if not np.array_equal(at[order], np.arange(r["words"])):
+                raise ValueError("the texts came in other partitions or another order when they were read again; write them first")
+            own, starts = gathered(flat, ends, unpacked_ints(r["codes"], r["n"]))
+            cuts = starts[np.concatenate(([0], np.cumsum(r["sizes"], dtype=np.int64)))]
+            offsets = pa.array(cuts.astype(np.int32))
+            out.append(pa.table({"doc_id": pa.array(r["doc_ids"], texts.schema.field("doc_ids").type.value_type), "ids": pa.ListArray.from_arrays(offsets, pa.array(own, pa.int32()))}))
+        return pa.concat_tables(out) if out else pa.table({"doc_id": pa.array([], texts.schema.field("doc_ids").type.value_type), "ids": pa.array([], pa.list_(pa.int32()))})
+
+    return block_codes(docs, fine).groupBy("block").cogroup(known.groupBy("block")).applyInArrow(filled, f"doc_id {kind}, ids array<int>")
 
 
 def decoded(rows: DataFrame, pieces: DataFrame, byte_ids: list[int]) -> DataFrame:

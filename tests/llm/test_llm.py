@@ -101,7 +101,7 @@ def test_viterbi_fold_is_the_best_path(spark):
     scores = {"a": -1.0, "b": -1.2, "ab": -1.5, "ba": -1.1, "aba": -3.0, "bb": -0.7}
     pieces = spark.createDataFrame([(p, k, s) for k, (p, s) in enumerate(scores.items())], "piece string, id int, score double")
     words = ["".join(w) for n in (1, 2, 5) for w in itertools.product("ab", repeat=n)]
-    got = {r.word: r.ids for r in lattice_pieces.word_ids(spark.createDataFrame([(w,) for w in words], "word string"), pieces, [0] * 256, "viterbi").collect()}
+    got = {r.word: r.ids for r in lattice_pieces.word_ids(spark.createDataFrame([(w, []) for w in words], "word string, refs array<int>"), pieces, [0] * 256, "viterbi").collect()}
 
     def paths(w):
         return [[]] if not w else [[p, *rest] for p in scores if w.startswith(p) for rest in paths(w[len(p) :])]
