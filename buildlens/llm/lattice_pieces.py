@@ -55,7 +55,7 @@ def piece_table(spark: SparkSession, model_file: str) -> tuple[DataFrame, list[i
 def numbered(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Codes of all entries, where each list's codes start (with the end of the last), and the distinct entries."""
     coded = lists.flatten().dictionary_encode()
-    sizes = pc.fill_null(lists.value_lengths(), 0).to_numpy(zero_copy_only=False)
+    sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
     return coded.indices.to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(sizes, dtype=np.int64))), coded.dictionary
 
 
@@ -68,9 +68,10 @@ def words_in(texts: pa.Array, fine: bool) -> tuple[np.ndarray, np.ndarray, pa.Ar
     import regex
 
     held = pc.match_substring(texts, "\0")  # texts that hold the cut mark are cut one by one
-    plain = pc.if_else(pc.or_(held, pc.equal(texts, "")), pa.scalar(None, texts.type), texts)
+    none = pc.or_(held, pc.equal(texts, ""))
+    plain = pc.if_else(none, "", texts)
     cut = pc.replace_substring(plain, " ", f"\0{MARK}")
-    runs = pc.fill_null(pc.match_substring_regex(plain, f"  |^ |{MARK}"), False)
+    runs = pc.match_substring_regex(plain, f"  |^ |{MARK}")
     if pc.any(runs).as_py():
         whole = pc.binary_join_element_wise(MARK, pc.replace_substring(plain, " ", MARK), "")
         again = pc.replace_substring_regex(whole, f"([^{MARK}]){MARK}", f"\\1\0{MARK}")
@@ -78,6 +79,9 @@ def words_in(texts: pa.Array, fine: bool) -> tuple[np.ndarray, np.ndarray, pa.Ar
     else:
         cut = pc.binary_join_element_wise(MARK, cut, "")
     codes, starts, words = numbered(pc.split_pattern(cut, "\0"))
+    none = none.to_numpy(zero_copy_only=False)
+    codes = np.delete(codes, starts[:-1][none])  # the space mark that stands before nothing
+    starts = starts - np.concatenate(([0], np.cumsum(none)))
     if fine:
         part_codes, part_starts, words = numbered(pc.split_pattern(cut_at_letters(words), "\0"))
         codes, at = gathered(part_codes, part_starts, codes)

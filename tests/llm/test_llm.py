@@ -97,6 +97,30 @@ def test_pieces_round_trip(spark, odd, none):
     assert lattice_pieces.encoded(none, pieces, byte_ids).count() == 0
 
 
+def test_words_of_sliced_texts_are_those_of_the_pattern():
+    import pyarrow as pa
+    import regex
+
+    texts = ["é" * 40 + " b1a  c", "", " Çé x▁y", "a\0b c", "12,ab", "日本 語"] * 3
+    for fine, pattern in ((True, lattice_pieces.FINE), (False, lattice_pieces.COARSE)):
+        for a in range(len(texts)):
+            codes, starts, words = lattice_pieces.words_in(pa.array(texts).slice(a, 2), fine)
+            got = [[words[int(c)].as_py() for c in codes[x:y]] for x, y in zip(starts[:-1], starts[1:])]
+            assert got == [regex.findall(pattern, "▁" + t.replace(" ", "▁")) if t else [] for t in texts[a : a + 2]]
+
+
+def test_one_pass_over_the_edges_is_only_for_pieces_that_are_not_late(spark):
+    # abcd outranks abc, but needs it: ab, abc, abcd is the only way to it
+    ranks = {"bc": -1.0, "abcd": -2.0, "abc": -3.0, "de": -4.0, "xy": -9.0, "wxyz": -5.0}
+    assert lattice_pieces.merge_order(ranks) == {"bc": False, "abcd": True, "abc": False, "de": False, "xy": False}
+    scores = {c: -20.0 for c in "abcdexy"} | ranks
+    pieces = spark.createDataFrame([(p, k, s) for k, (p, s) in enumerate(scores.items())], "piece string, id int, score double")
+    words = ["".join(w) for n in range(1, 6) for w in itertools.product("abcde", repeat=n)]
+    got = lattice_pieces.word_ids(spark.createDataFrame([(w, []) for w in words], "word string, refs array<int>"), pieces, [0] * 256)
+    by_heap = lattice_pieces._by_heap({p: (k, s) for k, (p, s) in enumerate(scores.items())}, [0] * 256)
+    assert {r.word: r.ids for r in got.collect()} == {w: by_heap(w) for w in words}
+
+
 def test_viterbi_fold_is_the_best_path(spark):
     scores = {"a": -1.0, "b": -1.2, "ab": -1.5, "ba": -1.1, "aba": -3.0, "bb": -0.7}
     pieces = spark.createDataFrame([(p, k, s) for k, (p, s) in enumerate(scores.items())], "piece string, id int, score double")
