@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding as a relational lattice.
 
-Tasks cut their texts into words (where no piece can cross: before the space mark, and between letters and other
-characters if the vocabulary allows it), in blocks of some ``BLOCK_BYTES``, and send each distinct word of a block once.
+Tasks cut their texts into words (where no piece can cross: before the space mark, and between characters that stand
+next to each other in no piece), in blocks of some ``BLOCK_BYTES``, and send each distinct word of a block once.
 The distinct words are exploded into their substrings of at most the longest piece's length, which meet the piece table
 in an equi-join. The edges of each word are grouped, and a fold with Spark's ``aggregate`` picks the path; unknown
 characters become their bytes. Ids go back to the blocks that asked for them, packed, and meet the blocks' word numbers.
@@ -22,7 +22,7 @@ each give a row; equal texts have equal ids. Very long texts are a block of thei
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +34,7 @@ from pyspark.sql import functions as F
 from buildlens.llm.common import gathered, in_arrow, slices, table, text_of
 
 MARK = "▁"
-#: Words of texts that hold the cut mark, with the cut at letters and without it; longest word that is folded.
-FINE, COARSE = f"{MARK}*\\p{{L}}+|{MARK}*[^\\p{{L}}{MARK}]+|{MARK}+", f"{MARK}*[^{MARK}]+|{MARK}+"
+#: Longest word that is folded by bits.
 LONG = 48
 #: UTF-8 bytes of the texts of a block, and input partitions whose words are folded together.
 BLOCK_BYTES, SECTION = 24 << 20, 256
@@ -59,45 +58,56 @@ def numbered(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     return coded.indices.to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(sizes, dtype=np.int64))), coded.dictionary
 
 
-def cut_at_letters(words: pa.Array) -> pa.Array:
-    return pc.replace_substring_regex(pc.replace_substring_regex(words, f"(\\pL)([^\\pL{MARK}])", "\\1\0\\2"), f"([^\\pL{MARK}\\x00])(\\pL)", "\\1\0\\2")
+def pairs_in(pieces: Iterable[str]) -> np.ndarray:
+    """Characters that stand next to each other in some piece, as sorted numbers."""
+    return np.unique(np.array([ord(x) << 21 | ord(y) for p in pieces for x, y in zip(p, p[1:])], np.int64))
 
 
-def words_in(texts: pa.Array, fine: bool) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-    """``numbered`` words of texts; an empty text has none."""
-    import regex
+def cut_at_pairs(words: list[str], pairs: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """Parts of words without the character 0, cut between characters that no piece holds next to each other, and where
+    each word's parts start (with the end of the last)."""
+    signs = np.frombuffer("\0".join(words).encode("utf-32-le"), np.uint32).astype(np.int64)
+    both = signs[:-1] << 21 | signs[1:]
+    known = pairs[np.minimum(np.searchsorted(pairs, both), len(pairs) - 1)] == both if len(pairs) else np.zeros(len(both), bool)
+    cuts = np.flatnonzero(~known & (signs[:-1] != 0) & (signs[1:] != 0)) + 1
+    word = np.cumsum(signs == 0)[cuts]
+    parts = np.insert(signs, cuts, 0).astype(np.uint32).tobytes().decode("utf-32-le").split("\0") if words else []
+    return parts, np.concatenate(([0], np.cumsum(1 + np.bincount(word, minlength=len(words)))))
+
 
+def words_in(texts: pa.Array, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """``numbered`` words of texts; an empty text has none."""
     held = pc.match_substring(texts, "\0")  # texts that hold the cut mark are cut one by one
     none = pc.or_(held, pc.equal(texts, ""))
     plain = pc.if_else(none, "", texts)
-    cut = pc.replace_substring(plain, " ", f"\0{MARK}")
+    cut = pc.binary_join_element_wise(MARK, pc.replace_substring(plain, " ", f"\0{MARK}"), "")
     runs = pc.match_substring_regex(plain, f"  |^ |{MARK}")
     if pc.any(runs).as_py():
         whole = pc.binary_join_element_wise(MARK, pc.replace_substring(plain, " ", MARK), "")
-        again = pc.replace_substring_regex(whole, f"([^{MARK}]){MARK}", f"\\1\0{MARK}")
-        cut = pc.if_else(runs, again, pc.binary_join_element_wise(MARK, cut, ""))
-    else:
-        cut = pc.binary_join_element_wise(MARK, cut, "")
+        cut = pc.if_else(runs, pc.replace_substring_regex(whole, f"([^{MARK}]){MARK}", f"\\1\0{MARK}"), cut)
     codes, starts, words = numbered(pc.split_pattern(cut, "\0"))
     none = none.to_numpy(zero_copy_only=False)
     codes = np.delete(codes, starts[:-1][none])  # the space mark that stands before nothing
     starts = starts - np.concatenate(([0], np.cumsum(none)))
-    if fine:
-        part_codes, part_starts, words = numbered(pc.split_pattern(cut_at_letters(words), "\0"))
-        codes, at = gathered(part_codes, part_starts, codes)
-        starts = at[starts]
+    parts, part_starts = cut_at_pairs(words.to_pylist(), pairs)
+    coded = pa.array(parts, pa.string()).dictionary_encode()
+    codes, at = gathered(coded.indices.to_numpy(zero_copy_only=False), part_starts, codes)
+    starts, words = at[starts], coded.dictionary
     if pc.any(held).as_py():
         code_of = {w: k for k, w in enumerate(words.to_pylist())}
         each = [codes[a:b] for a, b in zip(starts[:-1], starts[1:])]
         for r in np.flatnonzero(held.to_numpy(zero_copy_only=False)):
-            own = regex.findall(FINE if fine else COARSE, MARK + texts[int(r)].as_py().replace(" ", MARK))
-            each[r] = np.array([code_of.setdefault(w, len(code_of)) for w in own], np.int64)
+            text = MARK + texts[int(r)].as_py().replace(" ", MARK)
+            signs = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
+            apart = ~np.isin(signs[:-1] << 21 | signs[1:], pairs) | ((signs[1:] == ord(MARK)) & (signs[:-1] != ord(MARK)))
+            cuts = [0, *(np.flatnonzero(apart) + 1).tolist(), len(text)]
+            each[r] = np.array([code_of.setdefault(text[a:b], len(code_of)) for a, b in zip(cuts, cuts[1:])], np.int64)
         codes, words = np.concatenate(each), pa.array(list(code_of), pa.string())
         starts = np.concatenate(([0], np.cumsum([len(e) for e in each], dtype=np.int64)))
     return codes, starts, words
 
 
-def blocks_of(batches: Iterator[pa.RecordBatch], fine: bool) -> Iterator[tuple[int, pa.Array, np.ndarray, np.ndarray, list[str]]]:
+def blocks_of(batches: Iterator[pa.RecordBatch], pairs: np.ndarray) -> Iterator[tuple[int, pa.Array, np.ndarray, np.ndarray, list[str]]]:
     """Blocks of the task's texts: (block, ids of documents, their numbers of words, codes of the words, words)."""
     import xxhash
 
@@ -114,7 +124,7 @@ def blocks_of(batches: Iterator[pa.RecordBatch], fine: bool) -> Iterator[tuple[i
 
     for batch in slices(batches):
         texts = text_of(batch)
-        own, starts, words = words_in(texts.cast(pa.string()), fine)
+        own, starts, words = words_in(texts.cast(pa.string()), pairs)
         at = np.fromiter((code_of.setdefault(w, len(code_of)) for w in words.to_pylist()), np.int32, len(words))
         ids.append(batch.column(0))
         sizes.append(np.diff(starts))
@@ -135,27 +145,29 @@ def unpacked_ints(data: bytes, n: int) -> np.ndarray:
     return np.frombuffer(pa.decompress(data, decompressed_size=4 * n, codec="zstd", asbytes=True), np.int32) if n else np.zeros(0, np.int32)
 
 
-def block_words(docs: DataFrame, fine: bool) -> DataFrame:
+def block_words(docs: DataFrame, pairs: np.ndarray) -> DataFrame:
     """(section, word, refs): the distinct words, and the (block, at) that hold them."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         section = TaskContext.get().partitionId() // SECTION
-        for block, _, _, _, words in blocks_of(batches, fine):
+        for block, _, _, _, words in blocks_of(batches, pairs):
             for a in range(0, len(words), 50_000):
                 part = words[a : a + 50_000]
                 columns = [np.full(len(part), section, np.int32), pa.array(part, pa.string()), np.full(len(part), block), np.arange(a, a + len(part), dtype=np.int32)]
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], ["section", "word", "block", "at"])
 
     each = in_arrow(docs, emit, "section int, word string, block long, at int").repartition("section", "word")
-    return each.groupBy("section", "word").agg(F.collect_list(F.struct("block", "at")).alias("refs"))
+    # groups are sorted by their first key: numbers are compared faster than words
+    whole = each.groupBy(F.xxhash64("word").alias("hash"), "section", "word").agg(F.collect_list(F.struct("block", "at")).alias("refs"))
+    return whole.select("section", "word", "refs")
 
 
-def block_codes(docs: DataFrame, fine: bool) -> DataFrame:
+def block_codes(docs: DataFrame, pairs: np.ndarray) -> DataFrame:
     """(block, doc_ids, sizes, n, words, codes): the texts as numbers of their block's words."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, ids, sizes, codes, words in blocks_of(batches, fine):
+        for block, ids, sizes, codes, words in blocks_of(batches, pairs):
             row = [[block], [ids.to_pylist()], [sizes], [len(codes)], [len(words)], [packed_ints(codes)]]
             types = [pa.int64(), pa.list_(ids.type), pa.list_(pa.int32()), pa.int64(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, types)], ["block", "doc_ids", "sizes", "n", "words", "codes"])
@@ -325,6 +337,9 @@ def word_ids(words: DataFrame, pieces: DataFrame, byte_ids: list[int], fold: str
     keys = [c for c in words.columns if c != "refs"]
     n = F.length("word")
     folds = n <= LONG if fold == "merges" else F.lit(True)
+    # the number is made and used in one branch; rows come in its order, so that grouping them by it first sorts nothing anew
+    words = words.withColumn("number", F.monotonically_increasing_id())
+    keys = ["number", *keys]
     starts = words.select(*keys, "refs", F.explode(F.sequence(F.lit(0), F.when(folds, n - 1).otherwise(0))).alias("i"))
     # the word's blocks travel with its first character alone
     starts = starts.select(*keys, "i", F.when(F.col("i") == 0, F.col("refs")).alias("refs"))
@@ -340,7 +355,7 @@ def word_ids(words: DataFrame, pieces: DataFrame, byte_ids: list[int], fold: str
     )
     if fold != "merges":
         bounds = lattice.withColumn("bounds", best_path(F.col("edges"), n))
-        return bounds.select(*keys, "refs", _ids(F.col("word"), F.col("edges"), F.col("bounds"), byte_ids).alias("ids"))
+        return bounds.select(*keys[1:], "refs", _ids(F.col("word"), F.col("edges"), F.col("bounds"), byte_ids).alias("ids"))
     joins = lattice.withColumn("joins", joins_of(F.col("edges")))
     picked = F.when(n > LONG, F.lit(None)).when(F.col("late"), merged(F.col("joins"), n)).otherwise(merged_in_order(F.col("joins"), n))
     whole = joins.withColumn("bits", picked).withColumn("held", F.array_sort(_pieces(F.col("edges"), F.col("bits"))))
@@ -348,15 +363,15 @@ def word_ids(words: DataFrame, pieces: DataFrame, byte_ids: list[int], fold: str
     # fewer edges than pieces: some characters have no piece and are spelled
     all_held = F.size("held") == F.bit_count("bits") - 1
     ids = F.when(n > LONG, F.lit(None)).when(all_held, F.transform("held", lambda e: e["id"])).otherwise(_ids(F.col("word"), F.col("edges"), bounds, byte_ids))
-    return whole.select(*keys, "refs", ids.alias("ids"))
+    return whole.select(*keys[1:], "refs", ids.alias("ids"))
 
 
 def encoded(docs: DataFrame, pieces: DataFrame, byte_ids: list[int], fold: str = "merges") -> DataFrame:
     """(doc_id, ids) of every row."""
     vocabulary = {r["piece"]: (r["id"], r["score"]) for r in pieces.collect()}
-    fine = not pc.any(pc.match_substring(cut_at_letters(pa.array(list(vocabulary), pa.string())), "\0")).as_py()
+    pairs = pairs_in(vocabulary)
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    known = packed_by_block(word_ids(block_words(docs, fine), pieces, byte_ids, fold), _by_heap(vocabulary, byte_ids))
+    known = packed_by_block(word_ids(block_words(docs, pairs), pieces, byte_ids, fold), _by_heap(vocabulary, byte_ids))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def filled(texts: pa.Table, words: pa.Table) -> pa.Table:
@@ -376,7 +391,7 @@ def encoded(docs: DataFrame, pieces: DataFrame, byte_ids: list[int], fold: str =
             out.append(pa.table({"doc_id": pa.array(r["doc_ids"], texts.schema.field("doc_ids").type.value_type), "ids": pa.ListArray.from_arrays(offsets, pa.array(own, pa.int32()))}))
         return pa.concat_tables(out) if out else pa.table({"doc_id": pa.array([], texts.schema.field("doc_ids").type.value_type), "ids": pa.array([], pa.list_(pa.int32()))})
 
-    return block_codes(docs, fine).groupBy("block").cogroup(known.groupBy("block")).applyInArrow(filled, f"doc_id {kind}, ids array<int>")
+    return block_codes(docs, pairs).groupBy("block").cogroup(known.groupBy("block")).applyInArrow(filled, f"doc_id {kind}, ids array<int>")
 
 
 def decoded(rows: DataFrame, pieces: DataFrame, byte_ids: list[int]) -> DataFrame:
