@@ -63,16 +63,22 @@ def pairs_in(pieces: Iterable[str]) -> np.ndarray:
     return np.unique(np.array([ord(x) << 21 | ord(y) for p in pieces for x, y in zip(p, p[1:])], np.int64))
 
 
-def cut_at_pairs(words: list[str], pairs: np.ndarray) -> tuple[list[str], np.ndarray]:
+def joined(words: pa.Array) -> pa.StringScalar:
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), "\0")[0]
+
+
+def cut_at_pairs(words: pa.Array, pairs: np.ndarray) -> tuple[pa.Array, np.ndarray]:
     """Parts of words without the character 0, cut between characters that no piece holds next to each other, and where
     each word's parts start (with the end of the last)."""
-    signs = np.frombuffer("\0".join(words).encode("utf-32-le"), np.uint32).astype(np.int64)
+    if not len(words):
+        return words, np.zeros(1, np.int64)
+    signs = np.frombuffer(joined(words).as_py().encode("utf-32-le"), np.uint32).astype(np.int64)
     both = signs[:-1] << 21 | signs[1:]
     known = pairs[np.minimum(np.searchsorted(pairs, both), len(pairs) - 1)] == both if len(pairs) else np.zeros(len(both), bool)
     cuts = np.flatnonzero(~known & (signs[:-1] != 0) & (signs[1:] != 0)) + 1
     word = np.cumsum(signs == 0)[cuts]
-    parts = np.insert(signs, cuts, 0).astype(np.uint32).tobytes().decode("utf-32-le").split("\0") if words else []
-    return parts, np.concatenate(([0], np.cumsum(1 + np.bincount(word, minlength=len(words)))))
+    whole = np.insert(signs, cuts, 0).astype(np.uint32).tobytes().decode("utf-32-le")
+    return pc.split_pattern(pa.array([whole]), "\0").flatten(), np.concatenate(([0], np.cumsum(1 + np.bincount(word, minlength=len(words)))))
 
 
 def words_in(texts: pa.Array, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
@@ -89,8 +95,8 @@ def words_in(texts: pa.Array, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     none = none.to_numpy(zero_copy_only=False)
     codes = np.delete(codes, starts[:-1][none])  # the space mark that stands before nothing
     starts = starts - np.concatenate(([0], np.cumsum(none)))
-    parts, part_starts = cut_at_pairs(words.to_pylist(), pairs)
-    coded = pa.array(parts, pa.string()).dictionary_encode()
+    parts, part_starts = cut_at_pairs(words, pairs)
+    coded = parts.dictionary_encode()
     codes, at = gathered(coded.indices.to_numpy(zero_copy_only=False), part_starts, codes)
     starts, words = at[starts], coded.dictionary
     if pc.any(held).as_py():
@@ -107,7 +113,7 @@ def words_in(texts: pa.Array, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return codes, starts, words
 
 
-def blocks_of(batches: Iterator[pa.RecordBatch], pairs: np.ndarray) -> Iterator[tuple[int, pa.Array, np.ndarray, np.ndarray, list[str]]]:
+def blocks_of(batches: Iterator[pa.RecordBatch], pairs: np.ndarray) -> Iterator[tuple[int, pa.Array, np.ndarray, np.ndarray, pa.Array]]:
     """Blocks of the task's texts: (block, ids of documents, their numbers of words, codes of the words, words)."""
     import xxhash
 
@@ -115,24 +121,29 @@ def blocks_of(batches: Iterator[pa.RecordBatch], pairs: np.ndarray) -> Iterator[
     ids: list[pa.Array] = []
     sizes: list[np.ndarray] = []
     codes: list[np.ndarray] = []
-    code_of: dict[str, int] = {}
+    kept = pa.array([], pa.string())
     filled, number = 0, 0
 
     def block():
-        key = xxhash.xxh3_64_intdigest("\0".join([str(task), str(number), *code_of])) - (1 << 63)
-        return key, pa.concat_arrays(ids), np.concatenate(sizes).astype(np.int32), np.concatenate(codes), list(code_of)
+        key = xxhash.xxh3_64_intdigest(f"{task} {number} {joined(kept)}") - (1 << 63)
+        return key, pa.concat_arrays(ids), np.concatenate(sizes).astype(np.int32), np.concatenate(codes), kept
 
     for batch in slices(batches):
         texts = text_of(batch)
         own, starts, words = words_in(texts.cast(pa.string()), pairs)
-        at = np.fromiter((code_of.setdefault(w, len(code_of)) for w in words.to_pylist()), np.int32, len(words))
+        at = pc.index_in(words, value_set=kept)
+        fresh = pc.is_null(at)
+        there = fresh.to_numpy(zero_copy_only=False)
+        at = pc.fill_null(at, 0).to_numpy(zero_copy_only=False).astype(np.int32)
+        at[there] = len(kept) + np.arange(there.sum())
+        kept = pa.concat_arrays([kept, words.filter(fresh)])
         ids.append(batch.column(0))
         sizes.append(np.diff(starts))
         codes.append(at[own])
         filled += pc.sum(pc.binary_length(texts)).as_py() or 0
         if filled >= BLOCK_BYTES:
             yield block()
-            ids, sizes, codes, code_of, filled, number = [], [], [], {}, 0, number + 1
+            ids, sizes, codes, kept, filled, number = [], [], [], kept.slice(0, 0), 0, number + 1
     if ids:
         yield block()
 
@@ -152,11 +163,13 @@ def block_words(docs: DataFrame, pairs: np.ndarray) -> DataFrame:
         section = TaskContext.get().partitionId() // SECTION
         for block, _, _, _, words in blocks_of(batches, pairs):
             for a in range(0, len(words), 50_000):
-                part = words[a : a + 50_000]
-                columns = [np.full(len(part), section, np.int32), pa.array(part, pa.string()), np.full(len(part), block), np.arange(a, a + len(part), dtype=np.int32)]
+                part = words.slice(a, 50_000)
+                columns = [np.full(len(part), section, np.int32), part, np.full(len(part), block), np.arange(a, a + len(part), dtype=np.int32)]
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], ["section", "word", "block", "at"])
 
-    each = in_arrow(docs, emit, "section int, word string, block long, at int").repartition("section", "word")
+    # a word becomes many edges, so small shuffles aren't joined to larger ones: the number of partitions is given
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    each = in_arrow(docs, emit, "section int, word string, block long, at int").repartition(parts, "section", "word")
     # groups are sorted by their first key: numbers are compared faster than words
     whole = each.groupBy(F.xxhash64("word").alias("hash"), "section", "word").agg(F.collect_list(F.struct("block", "at")).alias("refs"))
     return whole.select("section", "word", "refs")
@@ -208,6 +221,14 @@ def bit(place: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), place)
 
 
+def shifted(name: str, by: int) -> Column:
+    return F.shiftleft(F.col(name).cast("long"), by)
+
+
+def bits_of(number: Column, at: int, n: int) -> Column:
+    return F.shiftright(number, at).bitwiseAND(F.lit((1 << n) - 1)).cast("int")
+
+
 def merge_order(scores: dict[str, float]) -> dict[str, bool]:
     """The pieces that merges can reach, and which of them are late: what happens inside a piece until it is whole does
     not depend on what stands around it, so its own merges tell. A piece is late if one of them has a later rank than
@@ -332,7 +353,9 @@ def word_ids(words: DataFrame, pieces: DataFrame, byte_ids: list[int], fold: str
     spark = words.sparkSession
     scores = {r["piece"]: (r["id"], r["score"]) for r in pieces.collect()}
     late = merge_order({p: score for p, (_, score) in scores.items()}) if fold == "merges" else dict.fromkeys(scores, False)
-    known = spark.createDataFrame([(p, i, score, late[p]) for p, (i, score) in scores.items() if p in late], "piece string, id int, score double, late boolean")
+    rank_of = {score: rank for rank, score in enumerate(sorted({score for _, score in scores.values()}, reverse=True))}
+    rows = [(p, i, score, rank_of[score], late[p]) for p, (i, score) in scores.items() if p in late]
+    known = spark.createDataFrame(rows, "piece string, id int, score double, rank int, late boolean")
     span = max(map(len, scores), default=1)
     keys = [c for c in words.columns if c != "refs"]
     n = F.length("word")
@@ -349,14 +372,19 @@ def word_ids(words: DataFrame, pieces: DataFrame, byte_ids: list[int], fold: str
     spans = spans.select(*keys, "i", "k", F.when(one, F.col("refs")).alias("refs"), F.substring("word", F.col("i") + 1, F.col("k") - F.col("i")).alias("piece"))
     # the piece table is a vocabulary: its size is fixed and does not follow the corpus
     met = spans.join(F.broadcast(known), "piece", "left").filter(F.col("id").isNotNull() | one)
-    edge = F.when(F.col("id").isNotNull(), F.struct((-F.col("score")).alias("cost"), "i", "k", "id"))
+    there = F.col("id").isNotNull()
+    if fold == "merges":  # bounds of at most LONG take 6 bits, so an edge is a number: order of its rank, bounds, id
+        edge = F.when(there, shifted("rank", 40).bitwiseOR(shifted("i", 34)).bitwiseOR(shifted("k", 28)).bitwiseOR(F.col("id").cast("long")))
+    else:
+        edge = F.when(there, F.struct((-F.col("score")).alias("cost"), "i", "k", "id"))
     lattice = met.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(edge)).alias("edges"), F.first("refs", ignorenulls=True).alias("refs"), F.max(F.coalesce("late", F.lit(False))).alias("late")
+        F.sort_array(F.collect_list(edge)).alias("edges"), F.first("refs", ignorenulls=True).alias("refs"), F.max(F.coalesce("late", F.lit(False))).alias("late")
     )
     if fold != "merges":
         bounds = lattice.withColumn("bounds", best_path(F.col("edges"), n))
         return bounds.select(*keys[1:], "refs", _ids(F.col("word"), F.col("edges"), F.col("bounds"), byte_ids).alias("ids"))
-    joins = lattice.withColumn("joins", joins_of(F.col("edges")))
+    spelled = F.transform("edges", lambda e: F.struct(bits_of(e, 34, 6).alias("i"), bits_of(e, 28, 6).alias("k"), bits_of(e, 0, 28).alias("id")))
+    joins = lattice.withColumn("edges", spelled).withColumn("joins", joins_of(F.col("edges")))
     picked = F.when(n > LONG, F.lit(None)).when(F.col("late"), merged(F.col("joins"), n)).otherwise(merged_in_order(F.col("joins"), n))
     whole = joins.withColumn("bits", picked).withColumn("held", F.array_sort(_pieces(F.col("edges"), F.col("bits"))))
     bounds = F.filter(F.sequence(F.lit(0), n), lambda x: F.col("bits").bitwiseAND(bit(x)) != 0)
