@@ -38,6 +38,8 @@ MARK = "▁"
 LONG = 48
 #: UTF-8 bytes of the texts of a block, and input partitions whose words are folded together.
 BLOCK_BYTES, SECTION = 24 << 20, 256
+#: UTF-8 bytes of the texts that are cut at once.
+BATCH = 2 << 20
 
 
 def piece_table(spark: SparkSession, model_file: str) -> tuple[DataFrame, list[int]]:
@@ -128,7 +130,7 @@ def blocks_of(batches: Iterator[pa.RecordBatch], pairs: np.ndarray) -> Iterator[
         key = xxhash.xxh3_64_intdigest(f"{task} {number} {joined(kept)}") - (1 << 63)
         return key, pa.concat_arrays(ids), np.concatenate(sizes).astype(np.int32), np.concatenate(codes), kept
 
-    for batch in slices(batches):
+    for batch in slices(batches, most=BATCH):
         texts = text_of(batch)
         own, starts, words = words_in(texts.cast(pa.string()), pairs)
         at = pc.index_in(words, value_set=kept)
@@ -137,15 +139,19 @@ def blocks_of(batches: Iterator[pa.RecordBatch], pairs: np.ndarray) -> Iterator[
         at = pc.fill_null(at, 0).to_numpy(zero_copy_only=False).astype(np.int32)
         at[there] = len(kept) + np.arange(there.sum())
         kept = pa.concat_arrays([kept, words.filter(fresh)])
-        ids.append(batch.column(0))
-        sizes.append(np.diff(starts))
+        # a copy, as a slice would keep the batch's texts too
+        ids.append(pa.concat_arrays([batch.column(0), batch.column(0).slice(0, 0)]))
+        sizes.append(np.diff(starts).astype(np.int32))
         codes.append(at[own])
         filled += pc.sum(pc.binary_length(texts)).as_py() or 0
         if filled >= BLOCK_BYTES:
             yield block()
             ids, sizes, codes, kept, filled, number = [], [], [], kept.slice(0, 0), 0, number + 1
+            pa.default_memory_pool().release_unused()
     if ids:
         yield block()
+    # the process waits for other tasks with what it holds
+    pa.default_memory_pool().release_unused()
 
 
 def packed_ints(values: np.ndarray) -> bytes:
