@@ -323,8 +323,10 @@ def sample_normalize(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Raw container lines -> typed samples, and the lines that are none."""
     from buildlens.functions.exprs import megabytes
 
-    parts = F.split("line", r"\|")
-    part = lambda i: F.try_element_at(parts, F.lit(i))
+    # A generator's column is computed once a row; a plain one would be put into each expression of the filters again, and
+    # with it all that the line itself is made from.
+    cut = lines.select("*", F.explode(F.array(F.split("line", r"\|"))).alias("_parts"))
+    part = lambda i: F.try_element_at("_parts", F.lit(i))
     pair = lambda i, j: F.try_element_at(F.split(part(i), "/"), F.lit(j))
     percent = lambda i: F.trim(F.regexp_replace(part(i), "%", "")).try_cast("double")
     sizes = {
@@ -335,9 +337,8 @@ def sample_normalize(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
         "block_io_read_mb": pair(5, 1),
         "block_io_write_mb": pair(5, 2),
     }
-    out = lines.withColumns(
-        {"cpu_percent": percent(1), "memory_percent": percent(3), "pids": F.trim(part(6)).try_cast("int")}
-        | {n: F.when(c.isNotNull(), megabytes(c)) for n, c in sizes.items()}
-    )
-    bad = F.greatest(*[F.col(c).isNull() for c in ("cpu_percent", "memory_percent", "pids", *sizes)])
-    return out.filter(~bad), out.filter(bad).select(*lines.columns)
+    numbers = {"cpu_percent": percent(1), "memory_percent": percent(3), "pids": F.trim(part(6)).try_cast("int")}
+    # a size that is there always has a number of megabytes
+    bad = F.greatest(*[c.isNull() for c in (numbers | sizes).values()])
+    out = cut.withColumns(numbers | {n: F.when(c.isNotNull(), megabytes(c)) for n, c in sizes.items()})
+    return out.filter(~bad).drop("_parts"), cut.filter(bad).select(*lines.columns)
