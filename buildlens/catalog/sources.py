@@ -110,7 +110,8 @@ def _(s, d):
     ),
 )
 def _(s, d):
-    out = B.build_summary(reported(s, d), targets=False, errors=True)
+    flat = L.parsed_once(L.decode_filter(D.raw_events(s, d, completions=True)), L.SUMMARY_FIELDS)
+    out = B.build_summary(flat, targets=False, errors=True)
     return out.select("invocation_id", "status", F.array_join("errors", ";").alias("errors"))
 
 
@@ -147,7 +148,7 @@ def _(s, d):
     ),
 )
 def _(s, d):
-    flat = L.normalize_event(L.decode_filter(D.raw_events(s, d)))
+    flat = L.parsed_once(L.decode_filter(D.raw_events(s, d)), L.SUMMARY_FIELDS)
     out = B.build_summary(flat, targets=False)
     return out.select("invocation_id", "status", "command", "total_actions", "cached_actions")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from buildlens import schemas as S
 from buildlens.functions import exprs as X
+from buildlens.session import written
 
 _BAD = "_malformed"
 
@@ -114,12 +115,14 @@ def normalize_event(raw: DataFrame, order: str = "sequence_number") -> DataFrame
     Payload objects are parsed once, with the union of their schemas; the kind is the one key of the object and
     needs no parsing. Logs keep the time of test results and summaries in the envelope only, so an event without a time
     in its payload takes the envelope's. ``failure_detail`` and ``spawn_cache_hit`` are fields that the log's writer has
-    to add; without them they are null.
+    to add; without them they are null. Variant and parsed payload are columns of generators: those are computed once a row,
+    where plain columns would be put into a later filter again for each time that it names them.
     """
     if "timestamp" not in raw.columns:
         raw = raw.withColumn("timestamp", F.lit(None).cast("string"))
     variant = F.regexp_extract("payload", r'^\s*\{\s*"([A-Za-z]+)"', 1)
-    e = raw.withColumns({"p": F.from_json("payload", S.PAYLOAD), "variant": F.when(variant != "", variant)})
+    e = raw.select("*", F.explode(F.array(F.nullif(variant, F.lit("")))).alias("variant"))
+    e = e.select("*", F.explode(F.array(F.from_json("payload", S.PAYLOAD))).alias("p"))
     kind = F.coalesce(X.lookup(F.col("variant"), S.KIND_OF_PAYLOAD), F.col("variant"))
     time = F.coalesce(
         "p.Started.start_time",
@@ -187,6 +190,19 @@ def normalize_event(raw: DataFrame, order: str = "sequence_number") -> DataFrame
     )
 
 
+# The columns that a build summary with targets and errors reads.
+SUMMARY_FIELDS = [
+    "invocation_id", "sequence_number", "kind", "label", "success", "command", "workspace", "start_time", "end_time", "overall_success",
+    "exit_code", "cached_locally", "cached_remotely", "total_num_cached", "remote_cache_hits", "failure_detail",
+]
+
+
+def parsed_once(raw: DataFrame, fields: list[str], order: str = "sequence_number") -> DataFrame:
+    """``normalize_event`` for work that reads its events several times, as summaries do: payloads are made and parsed in one
+    pass, and the given fields kept as Parquet in the shared folder, where later passes read only the columns and kinds they need."""
+    return written(normalize_event(raw, order).select(*fields), "events")
+
+
 def event_edges(raw: DataFrame) -> DataFrame:
     """One row per announced child; an event without children keeps one row with nulls."""
     child = raw.select("invocation_id", F.col("id").alias("parent_id"), F.explode_outer("children").alias("child"))

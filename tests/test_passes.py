@@ -2,7 +2,11 @@
 
 from pyspark.sql import functions as F
 
+import __spark_entry__ as E
 from buildlens.operators import benchmarks as M
+from buildlens.operators import builds as B
+from buildlens.plans import standins as D
+from buildlens.sources import event_log as L
 
 
 def plan(df) -> str:
@@ -18,3 +22,15 @@ def test_a_line_is_made_and_cut_once(spark):
     assert {r.seq: r.memory_usage_mb for r in good.collect()} == {1: 1.0, 5: 0.0}
     log = spark.range(3).select(F.col("id").alias("seq"), F.get_json_object(F.concat(F.lit('{"l": "'), "id", F.lit('"}')), "$.l").alias("line"))
     assert plan(M.sample_normalize(log)[1]).count("get_json_object") <= 2
+
+
+def test_payloads_are_made_and_parsed_once(spark, sf_dir):
+    raw = L.decode_filter(D.raw_events(spark, sf_dir, completions=True))
+    made = plan(raw).count("StructsToJsonEvaluator")
+    told = plan(B.build_errors(L.normalize_event(raw)))
+    assert told.count("StructsToJsonEvaluator") <= made and told.count("regexp_extract") <= made and told.count("from_json") <= made
+    summary = E.queries()["build_summary_errors"](spark, sf_dir)
+    assert "json" not in plan(summary).lower() and "json" not in plan(E.queries()["summary_from_log"](spark, sf_dir)).lower()
+    kept = L.parsed_once(raw, L.SUMMARY_FIELDS)
+    direct = B.build_summary(L.normalize_event(raw), errors=True)
+    assert sorted(map(str, B.build_summary(kept, errors=True).collect())) == sorted(map(str, direct.collect()))
