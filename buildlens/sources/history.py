@@ -16,13 +16,17 @@ from buildlens import schemas as S
 #: Fields that number appends and the rows in them.
 COMMIT, PLACE = "append_commit", "append_place"
 
+#: Records repeat their field names and much of their text, so histories are kept as gzip. Such a file is read by one task,
+#: so it holds this many records at most.
+RECORDS_A_FILE = 1_000_000
+
 
 def _append(records: DataFrame, ddl: str, path: str) -> None:
     """Add records under a commit number, which grows with the clock of the writer, and their place in it. Files of one
     write may end in any order; the two numbers keep that of the rows."""
     given = [F.col(f.name).cast(f.dataType).alias(f.name) for f in T.StructType.fromDDL(ddl) if f.name in records.columns]
     numbered = [F.lit(time.time_ns() // 1000).alias(COMMIT), F.monotonically_increasing_id().alias(PLACE)]
-    records.select(*given, *numbered).write.mode("append").json(path)
+    records.select(*given, *numbered).write.mode("append").option("maxRecordsPerFile", RECORDS_A_FILE).json(path, compression="gzip")
 
 
 def _read(spark: SparkSession, ddl: str, path: str) -> DataFrame:

@@ -1,5 +1,7 @@
 """Work is done once: no source computed again for each filter, aggregate or write that follows."""
 
+import os
+
 from pyspark.sql import functions as F
 
 import __spark_entry__ as E
@@ -7,6 +9,7 @@ from buildlens.operators import benchmarks as M
 from buildlens.operators import builds as B
 from buildlens.plans import standins as D
 from buildlens.sources import event_log as L
+from buildlens.sources import history as H
 
 
 def plan(df) -> str:
@@ -34,3 +37,23 @@ def test_payloads_are_made_and_parsed_once(spark, sf_dir):
     kept = L.parsed_once(raw, L.SUMMARY_FIELDS)
     direct = B.build_summary(L.normalize_event(raw), errors=True)
     assert sorted(map(str, B.build_summary(kept, errors=True).collect())) == sorted(map(str, direct.collect()))
+
+
+def test_histories_are_computed_once_and_compressed(spark, sf_dir, tmp_path, monkeypatch):
+    given = []
+    append = H.append_target_history
+    monkeypatch.setattr(H, "append_target_history", lambda df, path: (given.append((plan(df), path)), append(df, path)))
+    n = E.queries()["append_target_history"](spark, sf_dir).count()
+    assert len(given) == 2 and not any("Aggregate" in p or "Join" in p for p, _ in given)
+    parts = [f for f in os.listdir(given[0][1]) if f.startswith("part-")]
+    assert parts and all(f.endswith(".json.gz") for f in parts)
+    spark.createDataFrame([("other",)], "label string").coalesce(1).write.mode("append").json(given[0][1])  # a plain file beside them
+    assert H.read_target_history(spark, given[0][1]).count() == n + 1
+
+
+def test_summaries_are_computed_once(spark, sf_dir, monkeypatch):
+    given = []
+    write = H.write_summary
+    monkeypatch.setattr(H, "write_summary", lambda df, path, version: (given.append(plan(df)), write(df, path, version)))
+    E.queries()["compact_summaries"](spark, sf_dir).count()
+    assert len(given) == 2 and not any("Aggregate" in p or "Join" in p for p in given)
