@@ -10,7 +10,7 @@ from buildlens.catalog.sqltext import with_ctes
 from buildlens.functions import exprs as X
 from buildlens.operators import builds as B
 from buildlens.plans import standins as D
-from buildlens.session import scratch_path
+from buildlens.session import scratch_path, written
 from buildlens.sources import bench_results as R
 from buildlens.sources import event_log as L
 from buildlens.sources import history as H
@@ -154,7 +154,7 @@ def _(s, d):
 
 
 def _target_history(s, d):
-    done = CB.executions(s, d)
+    done = written(CB.executions(s, d), "executions")  # both appends read it
     path = scratch_path(s, "target-history")
     H.append_target_history(done.filter("status = 'success'"), path)
     H.append_target_history(done.filter("status <> 'success'"), path)
@@ -200,7 +200,7 @@ def _(s, d):
 def _stored_summary(s, d):
     """Summaries stored twice: a first version that knows no status yet, then the real one for closed builds."""
     path = scratch_path(s, "summary")
-    real = CB.summary(s, d, targets=False)
+    real = written(CB.summary(s, d, targets=False), "summaries")  # both versions are made from it
     H.write_summary(real.withColumn("status", F.lit("in_progress")), path, version=1)
     H.write_summary(real.filter("status <> 'in_progress'"), path, version=2)
     return H.read_summary(s, path)
@@ -209,7 +209,7 @@ def _stored_summary(s, d):
 @query("compact_summaries", with_ctes("summary", f"SELECT {SUMMARY_COLUMNS} FROM summary"))
 def _(s, d):
     path = scratch_path(s, "compacted")
-    real = CB.summary(s, d, targets=False)
+    real = written(CB.summary(s, d, targets=False), "summaries")  # both versions are made from it
     H.write_summary(real.withColumn("status", F.lit("in_progress")), path, version=1)
     H.compact_summaries(s, path)
     H.write_summary(real.filter("status <> 'in_progress'"), path, version=2)
