@@ -2,14 +2,18 @@
 
 import os
 
+import pyarrow as pa
+
 from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 from buildlens.operators import benchmarks as M
 from buildlens.operators import builds as B
+from buildlens.operators import targets as T
 from buildlens.plans import standins as D
 from buildlens.sources import event_log as L
 from buildlens.sources import history as H
+from buildlens.streaming import finalize as Z
 
 
 def plan(df) -> str:
@@ -57,3 +61,22 @@ def test_summaries_are_computed_once(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(H, "write_summary", lambda df, path, version: (given.append(plan(df)), write(df, path, version)))
     E.queries()["compact_summaries"](spark, sf_dir).count()
     assert len(given) == 2 and not any("Aggregate" in p or "Join" in p for p in given)
+
+
+def test_equal_arrays_are_reduced_before_their_items_are_taken_apart(spark):
+    rows = spark.createDataFrame([("a", ["x", "y", "x"], 2), ("a", ["x", "y", "x"], 5), ("a", ["z", "y"], 1), ("a", None, 0), ("b", [], 1)], "k string, t array<string>, o int")
+    out = T.distinct_ordered(rows, "k", "t", "o")
+    assert [tuple(r) for r in out.collect()] == [("a", ["z", "y", "x"])]
+    text = plan(out)
+    assert "Aggregate" in text[text.index("Generate"):]
+
+
+def test_first_marks_need_no_state_of_python(spark):
+    table = lambda *rows: pa.RecordBatch.from_pylist([dict(zip(("invocation_id", "done_at", "done_ts"), r)) for r in rows])
+    out = pa.Table.from_batches(Z._first_marks(iter([table((2, 9, 1), (1, 5, 3)), table((1, 4, 7), (2, 9, 0)), table((1, 4, 8))])))
+    assert sorted(tuple(r.values()) for r in out.to_pylist()) == [(1, 4, 7), (2, 9, 0)]
+    events = spark.readStream.format("rate").load().selectExpr(
+        "value AS invocation_id", "'BuildFinished' AS kind", "true AS last_message", "'' AS label", "true AS success", "value AS sequence_number", "timestamp AS ts"
+    )
+    text = Z.finalize_build(events)._jdf.queryExecution().analyzed().toString()
+    assert "TransformWithState" not in text and "DeduplicateWithinWatermark" in text
