@@ -83,9 +83,11 @@ def target_rollup(executions: DataFrame, order: str = "ingest_order") -> DataFra
 
 
 def distinct_ordered(df: DataFrame, key: str, items: str, order: str) -> DataFrame:
-    """Distinct array items per key in first-seen order. Reduced to one row per item before gathering."""
+    """Distinct array items per key in first-seen order. Equal arrays of a key are reduced to the first of them before items
+    are taken apart (the place within it is the same in all), and items to one row each before gathering."""
+    arrays = df.groupBy(key, items).agg(F.min(order).alias(order))
     seen = (
-        df.select(key, order, F.posexplode(items).alias("pos", "item"))
+        arrays.select(key, order, F.posexplode(items).alias("pos", "item"))
         .groupBy(key, "item")
         .agg(F.min(F.struct(order, "pos")).alias("at"))
     )
