@@ -2,8 +2,8 @@
 
 import os
 
+import pandas as pd
 import pyarrow as pa
-
 from pyspark.sql import functions as F
 
 import __spark_entry__ as E
@@ -13,6 +13,7 @@ from buildlens.operators import targets as T
 from buildlens.plans import standins as D
 from buildlens.sources import event_log as L
 from buildlens.sources import history as H
+from buildlens.streaming import builds as S
 from buildlens.streaming import finalize as Z
 
 
@@ -80,3 +81,16 @@ def test_first_marks_need_no_state_of_python(spark):
     )
     text = Z.finalize_build(events)._jdf.queryExecution().analyzed().toString()
     assert "TransformWithState" not in text and "DeduplicateWithinWatermark" in text
+
+
+def test_a_new_key_asks_for_no_timers():
+    from types import SimpleNamespace
+
+    calls = []
+    state = lambda: SimpleNamespace(exists=lambda: False, put=calls.append, update=calls.append, clear=lambda: None)
+    monitor = S.Silence(60_000)
+    monitor.spans, monitor.told = state(), state()
+    monitor.handle = SimpleNamespace(registerTimer=calls.append)  # listTimers and deleteTimer would raise
+    rows = pd.DataFrame({"us": [200_000_000, 0, 30_000_000], "closing": [False, False, False]})
+    assert list(monitor.handleInputRows((1,), iter([rows]), SimpleNamespace(getCurrentWatermarkInMs=lambda: 0))) == []
+    assert [(0, 30_000_000), (200_000_000, 200_000_000)] in calls and (None, False) in calls and 199_999 in calls and 90_001 in calls
