@@ -50,6 +50,56 @@ def test_finalize_emits_once_and_reports_late_rows(spark, arrivals, tmp_path):
     ]
 
 
+def test_finalize_gives_each_row_once_where_builds_share_a_key(spark, arrivals, tmp_path, monkeypatch):
+    import random
+
+    monkeypatch.setattr(Z, "KEYS", 3)
+    rng, batches = random.Random(5), []
+    for at in range(4):
+        kinds = [rng.choice(["TargetComplete", "TestResult", "TestResult", "Progress", "BuildFinished"]) for _ in range(120)]
+        batches.append([(f"b{rng.randrange(40)}", k, k == "Progress" and rng.random() < 0.3, rng.choice([None, "//a", "//b"]), rng.choice([None, True, False]), rng.randrange(100), rng.randrange(9999)) for k in kinds])
+    marks = {}
+    for rows in batches:
+        new = {}
+        for b, k, last, *_, seq, _t in rows:
+            if (k == "BuildFinished" or last) and b not in marks:
+                new[b] = min(seq, new.get(b, seq))
+        marks |= new
+    said = [r for rows in batches for r in rows if r[1] in Z.REPORTED and r[0] in marks]
+    want = [(b, k, label, ok, seq, seq > marks[b]) for b, k, _last, label, ok, seq, _t in said]
+    stream = arrivals(batches, EVENT.replace("invocation_id bigint", "invocation_id string"))
+    out = drain(spark, Z.finalize_build(stream.withColumn("ts", F.timestamp_seconds("t"))), tmp_path)
+    assert want and sorted(map(repr, map(tuple, out.collect()))) == sorted(map(repr, want))
+
+
+def test_finalize_keeps_the_hours_between_rows_and_marks(spark, arrivals, tmp_path):
+    """Also where rows of several times share a pack, and across the bounds of its slices."""
+    hour = 3600
+    rows = [(1, "TestResult", False, f"{h}", True, 1, h * hour) for h in range(100)] + [(b, "BuildFinished", False, None, None, 2, h * hour) for b, h in ((1, 47), (2, 10))]
+    out = drain(spark, Z.finalize_build(arrivals([rows], EVENT).withColumn("ts", F.timestamp_seconds("t")), hours=24), tmp_path)
+    assert sorted(int(r.label) for r in out.collect()) == list(range(23, 72))
+
+
+def test_finalize_keeps_rows_in_packs(spark, arrivals, tmp_path):
+    batch = [(b, "TestResult", False, "//a", True, n, n) for b in (1, 2) for n in range(300)] + [(1, "BuildFinished", False, None, None, 9, 9)]
+    stream = Z.finalize_build(arrivals([batch], EVENT).withColumn("ts", F.timestamp_seconds("t")))
+    q = S.run_available(stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).outputMode("append"), str(tmp_path / "cp"))
+    assert spark.read.schema(stream.schema).parquet(str(tmp_path / "out")).count() == 300
+    kept = {o["operatorName"]: o["numRowsTotal"] for o in q.lastProgress["stateOperators"]}
+    assert kept["symmetricHashJoin"] == 3, kept
+
+
+def test_packs_are_bounded():
+    import pyarrow as pa
+
+    n = 2 * Z.PACK + 5
+    rows = pa.table({"invocation_id": ["a", "b"] * n, "ts": pa.array(range(2 * n), pa.timestamp("us", "UTC")), "_key": pa.array([7, 3] * n, pa.int32()), "_slice": pa.array([0] * n + [1] * n)})
+    out = pa.Table.from_batches(Z._packed(iter(rows.to_batches(max_chunksize=1000)))).to_pylist()
+    assert max(len(r["ts"]) for r in out) <= Z.PACK and {len(r["ts"]) for r in out} == {len(r["invocation_id"]) for r in out}
+    assert sorted(t for r in out for t in r["ts"]) == rows["ts"].to_pylist() and all(max(r["ts"]) == r["_newest"] for r in out)
+    assert {(r["_key"], i) for r in out for i in r["invocation_id"]} == {(7, "a"), (3, "b")}
+
+
 def test_finalize_releases_state(spark, arrivals, tmp_path):
     """Builds a hundred hours apart: marks and rows of the earlier ones are gone."""
     batches = [[(k, "TargetComplete", False, "//a", True, 1, k * 360_000), (k, "BuildFinished", False, None, None, 2, k * 360_000 + 5)] for k in range(1, 7)]
