@@ -89,14 +89,16 @@ def test_finalize_keeps_rows_in_packs(spark, arrivals, tmp_path):
     assert kept["symmetricHashJoin"] == 3, kept
 
 
-def test_packs_are_bounded():
+def test_packs_are_bounded(monkeypatch):
     import pyarrow as pa
 
-    n = 2 * Z.PACK + 5
-    rows = pa.table({"invocation_id": ["a", "b"] * n, "ts": pa.array(range(2 * n), pa.timestamp("us", "UTC")), "_key": pa.array([7, 3] * n, pa.int32()), "_slice": pa.array([0] * n + [1] * n)})
-    out = pa.Table.from_batches(Z._packed(iter(rows.to_batches(max_chunksize=1000)))).to_pylist()
-    assert max(len(r["ts"]) for r in out) <= Z.PACK and {len(r["ts"]) for r in out} == {len(r["invocation_id"]) for r in out}
+    n, hour = 2 * Z.PACK + 5, 3_600_000_000
+    monkeypatch.setattr(Z, "HELD_BYTES", 1 << 16)
+    rows = pa.table({"invocation_id": ["a", "b"] * n, "ts": pa.array([i * hour // 100 for i in range(2 * n)], pa.timestamp("us", "UTC")), "_key": pa.array([7, 3] * n, pa.int32())})
+    out = pa.Table.from_batches(Z._packed(24)(iter(rows.to_batches(max_chunksize=1000)))).to_pylist()
+    assert max(len(r["ts"]) for r in out) <= Z.PACK and all(len(r["ts"]) == len(r["invocation_id"]) for r in out)
     assert sorted(t for r in out for t in r["ts"]) == rows["ts"].to_pylist() and all(max(r["ts"]) == r["_newest"] for r in out)
+    assert all({t.date() for t in r["ts"]} == {r["_newest"].date()} for r in out)
     assert {(r["_key"], i) for r in out for i in r["invocation_id"]} == {(7, "a"), (3, "b")}
 
 
