@@ -102,6 +102,23 @@ def test_packs_are_bounded(monkeypatch):
     assert {(r["_key"], i) for r in out for i in r["invocation_id"]} == {(7, "a"), (3, "b")}
 
 
+def test_settings_hold_for_their_stream_only(spark, arrivals, tmp_path):
+    key, seen = next(iter(Z.BY_ROWS)), []
+    before = spark.conf.get(key)
+    stream = arrivals([[(1, 2)], [(3, 4)]], "a bigint, b bigint")
+    S.run_available(stream.writeStream.foreachBatch(lambda batch, _: seen.append(batch.sparkSession.conf.get(key))), str(tmp_path / "cp"), Z.BY_ROWS)
+    assert seen == [Z.BY_ROWS[key]] * 2 and spark.conf.get(key) == before != Z.BY_ROWS[key]
+
+
+def test_instants_need_no_cast(spark, sf_dir):
+    fields = lambda **given: dict(D.stream_table(spark, sf_dir, "lineitem", **given).dtypes)
+    assert fields() | {"l_shipdate": "timestamp"} == fields(instants=True)
+    read = spark.read.schema(D.stream_table(spark, sf_dir, "lineitem", instants=True).schema).parquet(f"{sf_dir}/lineitem.parquet")
+    days = lambda df: df.select("l_orderkey", F.unix_micros(F.col("l_shipdate").cast("timestamp"))).exceptAll
+    plain = D.table(spark, sf_dir, "lineitem")
+    assert days(read)(plain.select("l_orderkey", F.unix_micros(F.col("l_shipdate").cast("timestamp")))).isEmpty()
+
+
 def test_finalize_releases_state(spark, arrivals, tmp_path):
     """Builds a hundred hours apart: marks and rows of the earlier ones are gone."""
     batches = [[(k, "TargetComplete", False, "//a", True, 1, k * 360_000), (k, "BuildFinished", False, None, None, 2, k * 360_000 + 5)] for k in range(1, 7)]
