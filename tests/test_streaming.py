@@ -81,7 +81,7 @@ def test_finalize_keeps_the_hours_between_rows_and_marks(spark, arrivals, tmp_pa
 
 
 def test_finalize_keeps_rows_in_packs(spark, arrivals, tmp_path):
-    batch = [(b, "TestResult", False, "//a", True, n, n) for b in (1, 2) for n in range(300)] + [(1, "BuildFinished", False, None, None, 9, 9)]
+    batch = [(b, "TestResult", False, "//a", True, n, n + 1) for b in (1, 2) for n in range(300)] + [(1, "BuildFinished", False, None, None, 9, 9)]
     stream = Z.finalize_build(arrivals([batch], EVENT).withColumn("ts", F.timestamp_seconds("t")))
     q = S.run_available(stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).outputMode("append"), str(tmp_path / "cp"))
     assert spark.read.schema(stream.schema).parquet(str(tmp_path / "out")).count() == 300
